@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, fingerprints, mixing, quality, secrets, urlfilter
+from corpusloom.llm import chat, decontamination, fingerprints, language, mixing, quality, secrets, toxicity, urlfilter
 from corpusloom.storage import shared_dir
 
 
@@ -27,6 +27,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.format_paths(messages, chat.paths(messages))))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
@@ -35,6 +39,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -44,6 +52,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, urlfilter.listing(pages))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.judged(_table(spark, sf_dir, "documents"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,7 +65,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op3_secret_scans, op5_quality_classifier, op7_url_filters, op9_document_fingerprints, op10_source_mixing)
+    f.__name__: f for f in (op1_chat_formatting, op2_toxicity, op3_secret_scans, op4_benchmark_decontamination, op5_quality_classifier, op7_url_filters, op8_language_id, op9_document_fingerprints, op10_source_mixing)
 }
 
 _OP1 = r"""

@@ -18,7 +18,7 @@ BLOCK = 512
 PROBES = 6
 
 
-def _gather(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], length: int, kind: str, merge: Callable, chunks: int = 16) -> np.ndarray:
+def gather(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], length: int, kind: str, merge: Callable, chunks: int = 16) -> np.ndarray:
     """Fill one array of ``length`` for each task, merge them chunk by chunk, return the whole."""
     size = length // chunks
 
@@ -77,7 +77,7 @@ class BlockedBloom:
                 for word, bit in cls._places(batch.column(0).to_numpy().view(np.uint64), length):
                     np.bitwise_or.at(own, word, bit)
 
-        return cls(_gather(keys, fill, length, "u8", np.bitwise_or))
+        return cls(gather(keys, fill, length, "u8", np.bitwise_or))
 
     def might_hold(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
@@ -93,4 +93,4 @@ def hashed_counts(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], It
         for h in hashes(batches):
             own += np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(own.dtype)
 
-    return _gather(df, fill, cells, "i8", np.add)
+    return gather(df, fill, cells, "i8", np.add)

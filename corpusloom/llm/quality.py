@@ -224,6 +224,16 @@ def score(docs: DataFrame, model: Additive) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, model: Additive) -> DataFrame:
+    """The documents whose score reaches the threshold, with all their columns and nothing added."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tk.slices(batches):
+            yield batch.filter(pa.array(model.score(features(batch.column("text"))) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     out = score(docs.select("doc_id", "text"), train(docs, labels))

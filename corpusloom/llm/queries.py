@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontamination, fingerprints, language, mixing, quality, secrets, toxicity, urlfilter
+from corpusloom.llm import chat, decontamination, fingerprints, jaccard, language, mixing, quality, secrets, toxicity, urlfilter
 from corpusloom.storage import shared_dir
 
 
@@ -47,6 +47,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.judged(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge(pages, urlfilter.listing(pages))
@@ -65,7 +69,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_toxicity, op3_secret_scans, op4_benchmark_decontamination, op5_quality_classifier, op7_url_filters, op8_language_id, op9_document_fingerprints, op10_source_mixing)
+    f.__name__: f for f in (op1_chat_formatting, op2_toxicity, op3_secret_scans, op4_benchmark_decontamination, op5_quality_classifier, op6_ngram_jaccard_join, op7_url_filters, op8_language_id, op9_document_fingerprints, op10_source_mixing)
 }
 
 _OP1 = r"""

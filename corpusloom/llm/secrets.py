@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textkit as tk
-from corpusloom.storage import materialize, small_enough
+from corpusloom.storage import small_enough
 
 # The contract's base rules and the method's additions, in order of precedence.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -172,23 +172,48 @@ def join_findings(versions: DataFrame, ledger: str, rule_version: str = RULE_VER
     return out.fillna(0, ["n_assign", "n_access", "n_hex"]).fillna("", ["base_spans", "spans"])
 
 
-def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _redact(spans_name: str):
     """Replace every span of ``text`` by its kind in brackets; overlapping spans are replaced together."""
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        sizes = batch.column("n_chars").to_pylist()
-        for r, spans in enumerate(batch.column("spans").to_pylist()):
-            if spans:
-                merged: list[list] = []
-                for x in spans.split(","):
-                    kind, a, b = x.split(":")
-                    if merged and int(a) < merged[-1][2]:
-                        merged[-1][2] = max(merged[-1][2], int(b))
-                    else:
-                        merged.append([kind, int(a), int(b)])
-                for kind, a, b in reversed(merged):
-                    texts[r] = f"{texts[r][:a]}[{kind}]{texts[r][b:]}"
-                sizes[r] = len(texts[r])
-        keep = [k for k in range(batch.num_columns) if batch.schema.names[k] != "spans"]
-        new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
-        yield pa.RecordBatch.from_arrays([new.get(batch.schema.names[k], batch.column(k)) for k in keep], [batch.schema.names[k] for k in keep])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, sizes = batch.column("text"), batch.column("n_chars")
+            spans_of = batch.column(spans_name)
+            rows = [r for r, s in enumerate(spans_of.to_pylist()) if s]
+            if rows:
+                texts, sizes = texts.to_pylist(), sizes.to_pylist()
+                for r in rows:
+                    merged: list[list] = []
+                    for x in spans_of[r].as_py().split(","):
+                        kind, a, b = x.split(":")
+                        if merged and int(a) < merged[-1][2]:
+                            merged[-1][2] = max(merged[-1][2], int(b))
+                        else:
+                            merged.append([kind, int(a), int(b)])
+                    for kind, a, b in reversed(merged):
+                        texts[r] = f"{texts[r][:a]}[{kind}]{texts[r][b:]}"
+                    sizes[r] = len(texts[r])
+                texts, sizes = pa.array(texts, batch.column("text").type), pa.array(sizes, batch.column("n_chars").type)
+            names = [x for x in batch.schema.names if x != spans_name]
+            new = {"text": texts, "n_chars": sizes}
+            yield pa.RecordBatch.from_arrays([new[x] if x in new else batch.column(x) for x in names], names)
+
+    return run
+
+
+def redacted(docs: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Scan what the ledger lacks, then give the documents with every found secret replaced and n_chars to match."""
+    scan_new(docs, ledger, rule_version)
+    blob, spans = (_free(docs, x) for x in ("blob", "spans"))
+    found = read_ledger(docs.sparkSession, ledger, rule_version).where(F.col("spans") != "").select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    if small_enough(found, BROADCAST_ROWS):
+        found = F.broadcast(found)
+    wide = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, blob, "left").select(*docs.columns, spans)
+    return wide.mapInArrow(_redact(spans), docs.schema)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name.lower() in {x.lower() for x in docs.columns}:
+        name = "_" + name
+    return name

@@ -26,6 +26,11 @@ def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return j.select(*calls.columns, cost.alias("cost_usd"))
 
 
+def _millis(among: Column) -> Column:
+    """Milliseconds of some calls to one place, summed as decimals so that the order of rows doesn't matter."""
+    return F.round(F.sum(F.when(among, F.col("latency_ms").cast("decimal(18,4)")).otherwise(F.lit(0).cast("decimal(18,4)"))), 1).cast("double")
+
+
 def rollup(calls: DataFrame) -> DataFrame:
     """One row for each interaction. The first model call decides whether the cache saw the question before."""
     llm = F.col("kind") == "llm"
@@ -34,8 +39,8 @@ def rollup(calls: DataFrame) -> DataFrame:
         F.sum(bill).alias("cost_usd"),
         F.count_if(llm).alias("llm_calls"),
         F.count_if(llm & (F.col("local_cache") == "hit")).alias("local_cache_hits"),
-        F.round(F.sum(F.when(llm, F.col("latency_ms")).otherwise(0)), 1).alias("llm_latency_ms"),
-        F.round(F.sum(F.when(F.col("kind").isin("local_model", "mcp_tool"), F.col("latency_ms")).otherwise(0)), 1).alias("local_latency_ms"),
+        _millis(llm).alias("llm_latency_ms"),
+        _millis(F.col("kind").isin("local_model", "mcp_tool")).alias("local_latency_ms"),
         F.sum(F.when(llm, F.col("input_tokens")).otherwise(0)).alias("input_tokens"),
         F.sum(F.when(llm, F.col("output_tokens")).otherwise(0)).alias("output_tokens"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("ts", "call_id", "error")))), lambda e: e["error"]).alias("errors"),

@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from corpusloom.plans import queries as q
+from corpusloom.plans.sql import SQL
 
+NAMES = (
+    "bm25_topk bm25_term_stats filtered_topk leak_counts query_verdicts vector_topk hybrid_rrf hybrid_stage_scores recall_precision retrieval_summary "
+    "near_empty_decisions decision_counts exact_dups near_dups dup_groups closest_documents quote_survival pii_counts pii_redacted running_lines whitespace_cleaned "
+    "html_blocks html_without_boilerplate fixed_chunks structure_chunks interaction_rollup run_summary latency_percentiles ledger_totals budget_guard cost_model extremes "
+    "newest_transactions accounts_by_member account_lookup json_limit_lookup figure_check authz_decisions reference_resolution cache_probe replay_diff per_run_failures "
+    "confusion orphans round_outcomes rounds_distribution loop_limits source_lines windowed_costs"
+).split()
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(q, name) for name in NAMES}
+flagship = q.bm25_topk
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+__all__ = ["QUERIES", "SQL", "flagship"]

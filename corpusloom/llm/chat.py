@@ -63,11 +63,13 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     pointers = []
     while True:
         reach = materialize(reach, "chat-reach")
-        if not reach.where(F.col("up").isNotNull()).limit(1).count():
+        moving = reach.where(F.col("up").isNotNull())  # messages that have reached their root don't join again
+        if not moving.limit(1).count():
             break
-        pointers.append(reach.where(F.col("up").isNotNull()).select("conv_id", "node", "up"))
+        pointers.append(moving.select("conv_id", "node", "up"))
         above = reach.select("conv_id", F.col("node").alias("up"), F.col("up").alias("next_up"), F.col("path_score").alias("add"))
-        reach = reach.join(above, ["conv_id", "up"], "left").select("conv_id", "node", F.col("next_up").alias("up"), (F.col("path_score") + F.coalesce("add", F.lit(0.0))).alias("path_score"))
+        moved = moving.join(above, ["conv_id", "up"], "left").select("conv_id", "node", F.col("next_up").alias("up"), (F.col("path_score") + F.coalesce("add", F.lit(0.0))).alias("path_score"))
+        reach = moved.unionByName(reach.where(F.col("up").isNull()))
     inner = tree.where(F.col("has")).select("conv_id", F.col("parent").alias("node")).distinct()
     best = Window.partitionBy("conv_id").orderBy(F.desc("path_score"), "node")
     ranked = reach.join(inner, ["conv_id", "node"], "left_anti").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)

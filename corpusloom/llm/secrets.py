@@ -164,11 +164,15 @@ def address(docs: DataFrame) -> DataFrame:
 
 
 def join_findings(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Each row of ``versions`` (with its blob) and the findings of its blob; only blobs that have some are joined."""
+    """Each row of ``versions`` (with its blob) and the findings of its blob; only blobs that have some are joined.
+
+    Columns of ``versions`` that are named like a finding's give way to it.
+    """
     found = read_ledger(versions.sparkSession, ledger, rule_version).where(F.col("spans") != "").drop("rule_version")
     if small_enough(found, BROADCAST_ROWS):
         found = F.broadcast(found)
-    out = versions.join(found, "blob", "left")
+    clash = [c for c in versions.columns if c != "blob" and c.lower() in {x.lower() for x in found.columns}]
+    out = versions.drop(*clash).join(found, "blob", "left")
     return out.fillna(0, ["n_assign", "n_access", "n_hex"]).fillna("", ["base_spans", "spans"])
 
 

@@ -7,7 +7,7 @@ pair is a leak only if they are consistent, that is if each value of the item st
 the document and the other way round. So questions with exchanged parameters are found, too.
 
 Defined cases: null texts count as empty and match nothing; an item shorter than a window is one window of its length; an
-item without tokens matches nothing; repeated documents each get their rows; equal item ids are told apart by
+item without tokens matches nothing; repeated rows of a document count once; equal item ids are told apart by
 text, as items of their own.
 """
 

@@ -4,14 +4,16 @@ A document's set holds the distinct hashes of its five-word shingles. Distance i
 documents link at distance EPSILON = 1/4 or less.
 
 1. Equal sets are one entity from here on.
-2. Neighbourhoods: in one total order of all shingles, linked sets must share one of their first
-   n - ceil(3n/4) + 1 shingles. Shingles that many documents hold are last in the order (hashed counts over all
-   documents decide; whatever the counts, the join stays exact). Each shared shingle among these makes a region.
+2. Neighbourhoods: in one total order of all shingles, linked sets must share some of their first
+   n - ceil(3n/4) + k shingles, and k at least of them. Shingles that many documents hold, or that common words make by chance, are last in
+   the order (hashed counts over all documents decide; whatever the counts, the join stays exact). Each shared shingle
+   among these makes a region.
 3. Pivots: a region's smallest entity is its pivot; each member's exact distance to it is computed.
 4. Windows: members within EPSILON link to the pivot and so are of one class. By the triangle inequality a link
    between two other members needs distances to the pivot that differ by EPSILON at most, so a region goes on only
-   with members of different classes inside that window of each other: its boundary members.
-5. Recursion: such regions elect new pivots among the members outside the pivot's class, until none is left.
+   with members of different classes inside that window of each other: its boundary members. A member with too many
+   shingles of its own is out of reach of all others and leaves.
+5. Recursion: such regions, joined where they share members, elect new pivots among members of different classes, until none is left.
 
 Classes are connected components, found by min-label rounds with shortcuts; nothing of the documents goes through the driver.
 
@@ -23,6 +25,7 @@ below all others and has a null class.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +34,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.llm import textkit as tk
-from corpusloom.llm.sketches import BlockedBloom, hashed_counts
+from corpusloom.llm.sketches import BlockedBloom, gather
 from corpusloom.storage import materialize, small_enough
 
 NEED, OF = 75, 100
 EPSILON = 1 - NEED / OF
-CELLS = 1 << 20
+CELLS = 1 << 22
+WORD_CELLS = 1 << 20
 BLOOM_BYTES = 32 << 20
 PIVOTS_PER_ROUND = 8
+BUCKETS = 64
+#: Ids are broadcast up to this many rows (8 bytes each); beyond it they are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+#: Linked sets must share one more leading shingle for each so many shingles.
+SHARED_OF = 16
 
 
 def _entity(shingles: np.ndarray) -> int:
@@ -65,35 +74,60 @@ def name_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, entity long")
 
 
-def _levels(docs: DataFrame) -> np.ndarray:
-    """How far above the mean each cell of shingles is hit, in steps of doubling: the leading part of the order. One byte a cell."""
+@dataclass
+class Order:
+    """The order of all shingles, of fixed size: by level, then by hash. A high level means that many documents hold the shingle.
+
+    ``seen``: by cell of shingles, how far its count is above chance, in logarithmic steps. ``words``: by cell of
+    words, the log of its share. A shingle's words tell how often it comes about by chance in ``shingles`` windows.
+    """
+
+    seen: np.ndarray
+    words: np.ndarray
+    shingles: int
+
+    def levels(self, shingles: np.ndarray, log_shares: np.ndarray) -> np.ndarray:
+        chance = 4 * (log_shares + np.log2(max(self.shingles, 1)) + 10)
+        return np.maximum(self.seen[(shingles & np.uint64(CELLS - 1)).astype(np.int64)], np.clip(chance, 0, 255).astype(np.uint8))
+
+
+def _word_cells(words: tk.Words) -> np.ndarray:
+    return (tk.mix(words.hashes()) & np.uint64(WORD_CELLS - 1)).astype(np.int64)
+
+
+def _order(docs: DataFrame) -> Order:
+    """Count words and shingles of all documents into cells."""
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in tk.slices(batches, most=8 << 20):
-            h, rows = tk.shingle_hashes(tk.Words(batch.column("text")))
-            yield h
+    def fill(batches: Iterator[pa.RecordBatch], own: np.ndarray) -> None:
+        for batch in tk.slices(batches):
+            words = tk.Words(batch.column("text"))
+            np.add.at(own, (tk.shingle_hashes(words)[0] & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
+            np.add.at(own, CELLS + _word_cells(words), np.uint32(1))
 
-    counts = hashed_counts(docs.select("text"), hashes, CELLS).astype(np.float64)
-    ratio = counts / max(1.0, counts.mean())
-    return np.where(ratio > 2, np.floor(np.log2(np.maximum(ratio, 1))), 0).astype(np.uint8)
+    counts = gather(docs.select("text"), fill, CELLS + WORD_CELLS, "u4", np.add, chunks=80).astype(np.float64)
+    shingles, words = counts[:CELLS], counts[CELLS:]
+    above = (shingles - shingles.mean()) / np.sqrt(shingles.mean() + 1)
+    seen = np.where(above > 1, np.minimum(8 * np.log2(1 + np.maximum(above, 0)), 255), 0).astype(np.uint8)
+    return Order(seen, np.log2(np.maximum(words, 1) / max(words.sum(), 1)).astype(np.float32), int(shingles.sum()))
 
 
-def neighbourhoods(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """region (a shingle), entity, size: the leading shingles of each set, in the order of (level, hash)."""
-    sent = docs.sparkSession.sparkContext.broadcast(levels)
+def neighbourhoods(docs: DataFrame, order: Order) -> DataFrame:
+    """region (a shingle), entity, size: the leading n - ceil(3n/4) + 1 + n // SHARED_OF shingles of each set in the order."""
+    sent = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = sent.value
+        o = sent.value
         for batch in tk.slices(batches):
+            words = tk.Words(batch.column("text"))
+            h, rows, log_shares = tk.shingle_hashes(words, weights=o.words[_word_cells(words)])
+            level = o.levels(h, log_shares)
+            at = np.searchsorted(rows, np.arange(words.rows + 1))
             regions, names, sizes = [], [], []
-            for s in _sets(batch):
+            for r in np.flatnonzero(at[1:] > at[:-1]):
+                s, first = np.unique(h[at[r] : at[r + 1]], return_index=True)
                 n = len(s)
-                if not n:
-                    continue
-                keep = n - -(-NEED * n // OF) + 1
-                high = level[(s & np.uint64(CELLS - 1)).astype(np.int64)]
-                order = np.argsort(high, kind="stable")[:keep] if high.any() else slice(0, keep)
-                regions.append(s[order])
+                keep = n - -(-NEED * n // OF) + 1 + n // SHARED_OF
+                regions.append(s[np.argsort(level[at[r] : at[r + 1]][first], kind="stable")[:keep]])
                 names.append(np.full(keep, _entity(s)))
                 sizes.append(np.full(keep, n))
             if regions:
@@ -130,7 +164,7 @@ def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_set = None, None
-        for batch in tk.slices(batches, most=1 << 19):
+        for batch in tk.slices(batches, most=1 << 18):
             mine = list(_sets(batch))
             pivots = batch.column("pivot").to_pylist()
             texts_of = batch.column("pivot_text")
@@ -170,14 +204,34 @@ def _compatible(size: str, other: str):
     return (100 * F.least(size, other) >= NEED * F.greatest(size, other))
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of regions with two entities or more that share enough regions, each once.
+
+    Linked sets of n and m shingles share 1 + min(n, m) // SHARED_OF of their leading ones at least, and the smaller
+    one has 3/4 of the other's size at least. Sets that share fewer regions with all others together link with nothing. A region's
+    rows are read in order, so that no region is held in memory.
+    """
+    order = Window.partitionBy("region").orderBy("entity")
+    rows = rows.withColumn("first", F.first("entity").over(order)).withColumn("next", F.lead("entity").over(order))
+    shared = rows.where((F.col("entity") != F.col("first")) | (F.col("next") != F.col("entity"))).select("region", "entity", "size").distinct()
+    shared = materialize(shared, "shared-regions")
+    for _ in range(2):  # what leaves makes others leave
+        least = 1 + F.floor(F.ceil(F.col("size") * NEED / OF) / SHARED_OF)
+        enough = shared.groupBy("entity", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("entity")
+        shared = shared.join(enough, "entity", "left_semi")
+        many = shared.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("region")
+        shared = materialize(shared.join(many, "region", "left_semi"), "shared-regions")
+    return shared
+
+
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, entity of every document; entity, class of every linked entity)."""
     named = materialize(name_sets(docs), "sets")
-    members = neighbourhoods(docs, _levels(docs))
-    # a region's members in order, streamed: every later member meets the first one, the region's pivot
-    order = Window.partitionBy("region").orderBy("entity")
-    members = members.withColumn("pivot", F.first("entity").over(order)).withColumn("pivot_size", F.first("size").over(order))
-    members = materialize(members.where(F.col("entity") != F.col("pivot")).distinct(), "regions")
+    shared = _shared(neighbourhoods(docs, _order(docs)))
+    # the pivot of a region is its first entity: every other member meets it
+    pivots = shared.groupBy("region").agg(F.min(F.struct("entity", "size")).alias("p"))
+    members = shared.join(pivots, "region").select("region", "entity", "size", F.col("p.entity").alias("pivot"), F.col("p.size").alias("pivot_size"))
+    members = materialize(members.where(F.col("entity") != F.col("pivot")), "regions")
     empty = members.select("entity", "pivot").limit(0)
     pairs = materialize(members.where(_compatible("size", "pivot_size")).select("entity", "pivot").distinct(), "pairs")
     rest = _regions_with_more(members)
@@ -197,39 +251,102 @@ def _regions_with_more(members: DataFrame) -> DataFrame:
     return members.join(many, "region", "left_semi")
 
 
+def _mixed(regions: DataFrame, labels: DataFrame) -> DataFrame:
+    """The regions that still hold members of different classes, with the members' classes of now."""
+    own = regions.drop("class").join(labels, "entity", "left").withColumn("class", F.coalesce("class", "entity"))
+    mixed = own.groupBy("region").agg(F.min("class").alias("a"), F.max("class").alias("b")).where(F.col("a") != F.col("b")).select("region")
+    return materialize(own.join(mixed, "region", "left_semi"), "mixed-regions")
+
+
+def _profiles(regions: DataFrame, texts: DataFrame) -> DataFrame:
+    """entity, reach, profile: bounds on what an entity can still link to, from the shingles it has alone.
+
+    All links still to be found are between entities of these regions. With u of its n shingles in no other of them, an
+    entity shares at most n - u with a set of m, and (n - u) / (m + u) >= 3/4 needs m <= (4n - 7u) / 3: its reach. Its
+    profile counts the shingles that others have, too, in BUCKETS buckets; two sets have at most the sum of the
+    buckets' minima in common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tk.slices(batches):
+            sets = list(_sets(batch))
+            names = np.repeat(batch.column("entity").to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate(sets).view(np.int64))], ["entity", "shingle"])
+
+    inside = regions.select("entity", "size").distinct()
+    texts = texts.join(inside.select("entity"), "entity", "left_semi")
+    each = texts.select("entity", "text").mapInArrow(run, "entity long, shingle long")
+    held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("entity").alias("entity"))
+    alone = held.where(F.col("n") == 1).groupBy("entity", F.pmod("shingle", F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).cast("int").alias("u"))
+    alone = alone.groupBy("entity").agg(F.sum("u").alias("u"), F.map_from_entries(F.collect_list(F.struct("bucket", "u"))).alias("alone"))
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tk.slices(batches):
+            rows = [np.bincount((s.view(np.int64) % BUCKETS).astype(np.int64), minlength=BUCKETS).tolist() for s in _sets(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("entity"), pa.array(rows, pa.list_(pa.int32()))], ["entity", "all"])
+
+    counts = texts.select("entity", "text").mapInArrow(buckets, "entity long, all array<int>")
+    j = inside.join(alone, "entity", "left").join(counts, "entity")
+    return j.select(
+        "entity",
+        F.floor((OF * F.col("size") - (NEED + OF) * F.coalesce("u", F.lit(0))) / NEED).alias("reach"),
+        F.transform("all", lambda n, b: n - F.coalesce(F.try_element_at("alone", b), F.lit(0))).alias("profile"),
+    )
+
+
 def _recurse(members: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
     """Elect pivots in the regions that still hold members of different classes inside one another's window, until none does."""
     edges = materialize(known.where("linked").select("entity", "pivot"), "edges")
     labels = components(edges)
     regions = _regions_with_more(members).select("region", "entity", "size", "pivot")
-    regions = regions.join(known.select("entity", "pivot", "distance"), ["entity", "pivot"], "left").select("region", "entity", "size", "distance")
+    regions = regions.join(known.select("entity", "pivot", "distance"), ["entity", "pivot"], "left")
+    regions = _mixed(regions, labels)
+    if not regions.limit(1).count():
+        return labels
+    # members out of everyone's reach leave the regions
+    profiles = materialize(_profiles(regions, texts), "profiles")
+    regions = regions.join(profiles.select("entity", "reach"), "entity")
+    least = regions.groupBy("region").agg(F.min("size").alias("least"))
+    regions = _mixed(regions.join(least, "region").where(F.col("reach") >= F.col("least")).drop("least"), labels)
+    if not regions.limit(1).count():
+        return labels
+    regions = materialize(_joined(regions).join(profiles.select("entity", "profile"), "entity"), "joined-regions")
     each = PIVOTS_PER_ROUND
     while True:
-        own = regions.join(labels, "entity", "left").select("region", "entity", "size", "distance", F.coalesce("class", "entity").alias("class"))
-        mixed = own.groupBy("region").agg(F.min("class").alias("a"), F.max("class").alias("b")).where(F.col("a") != F.col("b")).select("region")
-        regions = materialize(own.join(mixed, "region", "left_semi"), "mixed-regions")
+        regions = _mixed(regions, labels)
         if not regions.limit(1).count():
             return labels
-        # regions with the same members are one region
-        region_of = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("entity").cast("decimal(38,0)")).alias("sum"))
-        keep = region_of.groupBy("n", "sum").agg(F.min("region").alias("region")).select("region")
-        regions = regions.join(keep, "region", "left_semi")
         # pivots: a few members of each region, of different classes first (one of each class), in a hashed order
         turn = Window.partitionBy("region", "class").orderBy(F.xxhash64("entity", F.lit(each)), "entity")
         rank = Window.partitionBy("region").orderBy("turn", F.xxhash64("class", F.lit(each)), "entity")
         ranked = materialize(regions.withColumn("turn", F.row_number().over(turn)).withColumn("place", F.row_number().over(rank)), "ranked-regions")
-        pivots = ranked.where(F.col("place") <= each).select("region", F.col("entity").alias("pivot"), F.col("size").alias("p_size"), F.col("distance").alias("p_distance"), F.col("class").alias("p_class"), F.col("place").alias("p_place"))
-        near = F.col("distance").isNull() | F.col("p_distance").isNull() | (F.abs(F.col("distance") - F.col("p_distance")) <= EPSILON + 1e-9)
-        asked = ranked.join(pivots, "region").where((F.col("class") != F.col("p_class")) & (F.col("place") > F.col("p_place")) & near & _compatible("size", "p_size"))
-        pairs = materialize(asked.select(F.greatest("entity", "pivot").alias("entity"), F.least("entity", "pivot").alias("pivot")).distinct(), "pairs")
+        pivots = ranked.where(F.col("place") <= each).select("region", *[F.col(c).alias(f"p_{c}") for c in ("entity", "size", "reach", "pivot", "distance", "class", "place", "profile")])
+        window = (F.col("pivot") != F.col("p_pivot")) | F.col("distance").isNull() | F.col("p_distance").isNull() | (F.abs(F.col("distance") - F.col("p_distance")) <= EPSILON + 1e-9)
+        common = F.aggregate(F.zip_with("profile", "p_profile", lambda a, b: F.least(a, b)), F.lit(0), lambda t, x: t + x)
+        able = _compatible("size", "p_size") & (F.col("reach") >= F.col("p_size")) & (F.col("p_reach") >= F.col("size")) & ((OF + NEED) * common >= NEED * (F.col("size") + F.col("p_size")))
+        asked = ranked.join(pivots, "region").where((F.col("class") != F.col("p_class")) & (F.col("place") > F.col("p_place")) & window & able)
+        pairs = materialize(asked.select(F.greatest("entity", "p_entity").alias("entity"), F.least("entity", "p_entity").alias("pivot")).distinct(), "pairs")
         found = materialize(distances(pairs, texts).where("linked").select("entity", "pivot"), "edges")
         if found.limit(1).count():
             edges = edges.union(found)
             labels = components(edges)
-        regions = ranked.where(F.col("place") > each).select("region", "entity", "size", "distance")
+        regions = ranked.where(F.col("place") > each).drop("turn", "place")
         each *= 4
 
 
+def _joined(regions: DataFrame) -> DataFrame:
+    """Regions that share members are joined into one, so that a pair of members is asked about once.
+
+    Each member keeps the distance to one pivot: that with the most members of the joined region.
+    """
+    first = regions.groupBy("region").agg(F.min("entity").alias("first"))
+    groups = components(regions.join(first, "region").select("entity", F.col("first").alias("pivot")).distinct())
+    rows = regions.join(groups.withColumnRenamed("class", "joined"), "entity").drop("region").withColumnRenamed("joined", "region")
+    heads = rows.groupBy("region", "pivot").agg(F.countDistinct("entity").alias("n")).groupBy("region").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("head"))
+    own = F.when(F.col("pivot") == F.col("head"), F.col("distance"))
+    return rows.join(heads, "region").groupBy("region", "entity").agg(F.first("size").alias("size"), F.first("reach").alias("reach"), F.first("head").alias("pivot"), F.max(own).alias("distance"))
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     named, labels = link(docs)
@@ -240,10 +357,6 @@ def judged(docs: DataFrame) -> DataFrame:
     return named.join(of, "entity", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-#: Ids to drop are broadcast up to this many rows (8 bytes each); beyond it they are joined by shuffle.
-BROADCAST_IDS = 1_000_000
-
-
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose doc_id is not among ``ids`` (one column doc_id)."""
     return docs.join(F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids, "doc_id", "left_anti").select(*docs.columns)

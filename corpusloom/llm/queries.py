@@ -105,4 +105,55 @@ WITH cut AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM ruled
 """
 
-SQL: dict[str, str] = {"op1_chat_formatting": _OP1, "op7_url_filters": _OP7}
+_CODES = """list_transform({0}, lambda t, i: CASE WHEN t < ':' THEN '1' WHEN t = lower(t) THEN CASE WHEN t IN ({1}) AND i > 1 AND {0}[i - 1] < ':' THEN '2' ELSE t END
+  WHEN (t <> upper(t) OR length(t) = 1) AND left(t, 1) <> lower(left(t, 1)) THEN '3' ELSE lower(t) END)""".format("toks", ", ".join(f"'{u}'" for u in decontamination.UNITS))
+
+_OP4 = rf"""
+WITH items AS (
+  SELECT *, {_CODES} AS codes, least(len(toks), {decontamination.WINDOW}) AS size FROM (
+    SELECT item_id, text AS item, regexp_extract_all(coalesce(text, ''), '{decontamination.TOKEN}') AS toks FROM (SELECT DISTINCT item_id, text FROM benchmark)) WHERE len(toks) > 0
+), marks AS (
+  SELECT item_id, item, size, pos, array_to_string(codes[pos:pos + size - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(codes) - size + 2)) AS pos FROM items)
+  WHERE len(list_filter(codes[pos:pos + size - 1], lambda c: c NOT IN ('1', '2', '3'))) >= size * {decontamination.PLAIN}
+), docs AS (
+  SELECT *, {_CODES} AS codes FROM (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{decontamination.TOKEN}') AS toks FROM (SELECT DISTINCT doc_id, text FROM documents))
+), places AS (
+  SELECT doc_id, text, size, toks, d_at, array_to_string(codes[d_at:d_at + size - 1], ' ') AS win FROM (SELECT docs.*, size, unnest(range(1, len(codes) - size + 2)) AS d_at FROM docs, (SELECT DISTINCT size FROM items))
+), steps AS (SELECT p.doc_id, p.text, p.toks AS d_toks, p.d_at, m.* FROM places p JOIN marks m USING (size, win)),
+pairs AS (
+  SELECT doc_id, item_id, item, count(DISTINCT win) AS matched, n_windows FROM steps JOIN (SELECT item_id, item, count(DISTINCT win) AS n_windows FROM marks GROUP BY ALL) USING (item_id, item)
+  GROUP BY doc_id, item_id, item, n_windows HAVING count(DISTINCT win) >= {decontamination.COVERAGE} * n_windows
+), good AS (SELECT steps.*, d_at - pos AS shift FROM steps SEMI JOIN pairs USING (doc_id, item_id, item)),
+here AS (SELECT doc_id, text, item_id, item, shift, count(DISTINCT win) AS here FROM good GROUP BY ALL),
+slots AS (
+  SELECT DISTINCT doc_id, text, item_id, item, shift, k, i.codes[k] AS kind, i.toks[k] AS ours, d_toks[k + shift] AS theirs
+  FROM (SELECT *, unnest(range(pos, pos + size)) AS k FROM good) JOIN (SELECT item_id, item, codes, toks FROM items) i USING (item_id, item) WHERE i.codes[k] IN ('1', '2', '3')
+), ours AS (
+  SELECT doc_id, text, item_id, item, shift, max(n) AS n, sum(slots) AS n_slots, sum(changed) AS n_changed FROM (
+    SELECT doc_id, text, item_id, item, shift, kind, ours, count(DISTINCT theirs) AS n, count(DISTINCT k) AS slots, count(DISTINCT k) FILTER (ours <> theirs) AS changed FROM slots GROUP BY ALL) GROUP BY ALL
+), theirs AS (
+  SELECT doc_id, text, item_id, item, shift, max(n) AS m FROM (SELECT doc_id, text, item_id, item, shift, kind, theirs, count(DISTINCT ours) AS n FROM slots GROUP BY ALL) GROUP BY ALL
+), best AS (
+  SELECT doc_id, item_id, item, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed, row_number() OVER (PARTITION BY doc_id, item_id, item ORDER BY here DESC, coalesce(n_slots, 0) DESC, coalesce(n_changed, 0)) AS p
+  FROM here LEFT JOIN ours USING (doc_id, text, item_id, item, shift) LEFT JOIN theirs USING (doc_id, text, item_id, item, shift) WHERE coalesce(n, 1) = 1 AND coalesce(m, 1) = 1
+)
+SELECT doc_id, item_id, matched, n_windows, round(matched / n_windows, 6) AS coverage, cast(n_slots AS BIGINT) AS n_slots, cast(n_changed AS BIGINT) AS n_changed FROM best JOIN pairs USING (doc_id, item_id, item) WHERE p = 1
+"""
+
+_OP6 = r"""
+WITH RECURSIVE words AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM words WHERE len(w) > 0)
+), sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS same FROM shingles GROUP BY doc_id),
+firsts AS (SELECT same, n, min(doc_id) AS id FROM sets GROUP BY same, n),
+kept AS (SELECT doc_id AS id, s FROM shingles SEMI JOIN firsts ON doc_id = id),
+links AS (
+  SELECT a, b FROM (SELECT x.id AS a, y.id AS b, count(*) AS c FROM kept x JOIN kept y ON x.s = y.s AND x.id <> y.id GROUP BY ALL)
+  JOIN firsts f ON f.id = a JOIN firsts g ON g.id = b WHERE 100 * c >= 75 * (f.n + g.n - c)
+), reach AS (SELECT id, id AS other FROM firsts UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(g, d.doc_id) AS component_id FROM documents d
+LEFT JOIN (SELECT doc_id, s.n, g FROM sets s JOIN firsts f USING (same) JOIN (SELECT id, min(other) AS g FROM reach GROUP BY id) r ON r.id = f.id) USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op1_chat_formatting": _OP1, "op4_benchmark_decontamination": _OP4, "op6_ngram_jaccard_join": _OP6, "op7_url_filters": _OP7}

@@ -33,8 +33,8 @@ def gather(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], np.ndarray],
     def together(batches):
         kept: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, part in zip(batch.column("chunk").to_pylist(), batch.column("part").to_pylist(), strict=True):
-                new = np.frombuffer(part, kind)
+            for k, part in zip(batch.column("chunk").to_pylist(), batch.column("part"), strict=True):
+                new = np.frombuffer(part.as_buffer(), kind)  # no copy: parts are large
                 kept[k] = merge(kept[k], new) if k in kept else new.copy()
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int32()), pa.array([x.tobytes() for x in kept.values()], pa.binary())], ["chunk", "part"])
@@ -84,13 +84,3 @@ class BlockedBloom:
         for word, bit in self._places(keys.view(np.uint64), len(self.words)):
             out &= (self.words[word] & bit) != 0
         return out
-
-
-def hashed_counts(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], cells: int) -> np.ndarray:
-    """How often each cell is hit by the 64-bit hashes that ``hashes`` draws from the rows; a power of two of cells."""
-
-    def fill(batches, own):
-        for h in hashes(batches):
-            own += np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(own.dtype)
-
-    return gather(df, fill, cells, "i8", np.add)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _RNG = np.random.default_rng(20240229)
 BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 PLACE_CODES = _RNG.integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
@@ -112,27 +112,33 @@ class Words:
         return np.where(self.end - self.start < suffix, np.uint64(0), mix(total + np.uint64(7_000_003 * suffix)))
 
 
-def shingle_hashes(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every ``size``-word window; a row with fewer words gives one window of them all."""
+def shingle_hashes(words: Words, size: int = 5, weights: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(hash, row) of every ``size``-word window; a row with fewer words gives one window of them all.
+
+    With ``weights`` (one for each word), also the sum of the words' weights in each window.
+    """
     h = words.hashes()
     n = len(h)
-    out, rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    w = np.zeros(n) if weights is None else weights
+    out, rows, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
     if n >= size:
-        total = np.zeros(n - size + 1, np.uint64)
+        total, weight = np.zeros(n - size + 1, np.uint64), np.zeros(n - size + 1)
         for k in range(size):
             total += h[k : n - size + 1 + k] * SHINGLE_CODES[k]
+            weight += w[k : n - size + 1 + k]
         whole = words.doc[: n - size + 1] == words.doc[size - 1 :]
-        out, rows = mix(total[whole]), words.doc[: n - size + 1][whole]
+        out, rows, sums = mix(total[whole]), words.doc[: n - size + 1][whole], weight[whole]
     short = np.flatnonzero((words.count > 0) & (words.count < size))
     if len(short):
         at = np.arange(n) - words.first[words.doc]
         part = h * SHINGLE_CODES[np.minimum(at, 14)]
-        sums = np.array([part[words.first[r] : words.first[r + 1]].sum(dtype=np.uint64) for r in short], np.uint64)
-        out = np.concatenate([out, mix(sums + words.count[short].astype(np.uint64))])
+        ends = [(words.first[r], words.first[r + 1]) for r in short]
+        out = np.concatenate([out, mix(np.array([part[a:b].sum(dtype=np.uint64) for a, b in ends], np.uint64) + words.count[short].astype(np.uint64))])
+        sums = np.concatenate([sums, [w[a:b].sum() for a, b in ends]])
         rows = np.concatenate([rows, short])
         order = np.argsort(rows, kind="stable")
-        out, rows = out[order], rows[order]
-    return out, rows
+        out, rows, sums = out[order], rows[order], sums[order]
+    return (out, rows) if weights is None else (out, rows, sums)
 
 
 def shingle_sets(words: Words, size: int = 5) -> Iterator[np.ndarray]:
@@ -141,7 +147,3 @@ def shingle_sets(words: Words, size: int = 5) -> Iterator[np.ndarray]:
     at = np.searchsorted(rows, np.arange(words.rows + 1))
     for r in range(words.rows):
         yield np.unique(h[at[r] : at[r + 1]])
-
-
-def strings(values) -> pa.Array:
-    return pa.array(values, pa.string())

@@ -159,6 +159,12 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.withColumn("n", F.row_number().over(one)).where(F.col("n") == 1).drop("n")
 
 
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of these entities; few ids are sent to the texts, so that the other texts aren't shuffled."""
+    ids = ids.distinct()
+    return texts.join(F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids, "entity", "left_semi")
+
+
 def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (entity, pivot) with common, union and distance, from the whole sets of both."""
 
@@ -177,7 +183,9 @@ def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 union.append(len(s) + len(held_set) - both)
             yield pa.RecordBatch.from_arrays([batch.column("entity"), batch.column("pivot"), pa.array(common, pa.int64()), pa.array(union, pa.int64())], ["entity", "pivot", "common", "union"])
 
-    wide = pairs.join(texts, "entity").join(texts.select(F.col("entity").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+    mine = _only(texts, pairs.select("entity"))
+    pivots = _only(texts, pairs.select(F.col("pivot").alias("entity"))).select(F.col("entity").alias("pivot"), F.col("text").alias("pivot_text"))
+    wide = pairs.join(mine, "entity").join(pivots, "pivot")
     done = wide.select("entity", "pivot", "text", "pivot_text").mapInArrow(run, "entity long, pivot long, common long, union long")
     return done.withColumn("linked", 100 * F.col("common") >= NEED * F.col("union")).withColumn("distance", 1 - F.col("common") / F.col("union"))
 
@@ -274,7 +282,7 @@ def _profiles(regions: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate(sets).view(np.int64))], ["entity", "shingle"])
 
     inside = regions.select("entity", "size").distinct()
-    texts = texts.join(inside.select("entity"), "entity", "left_semi")
+    texts = _only(texts, inside.select("entity"))
     each = texts.select("entity", "text").mapInArrow(run, "entity long, shingle long")
     held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("entity").alias("entity"))
     alone = held.where(F.col("n") == 1).groupBy("entity", F.pmod("shingle", F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).cast("int").alias("u"))

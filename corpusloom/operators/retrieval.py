@@ -21,18 +21,22 @@ def ranked(hits: DataFrame, n: int, query: str = "query_id", item: str = "doc_id
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, term, tf, length: the lexical index. Partial sums keep a common term's rows in the map tasks."""
-    toks = docs.select("doc_id", tx.bm25_tokens(F.coalesce("text", F.lit(""))).alias("toks"))
+def tokenized(docs: DataFrame) -> DataFrame:
+    """doc_id, toks, written once: as an expression, the tokens would be made anew for each use."""
+    return materialize(docs.select("doc_id", tx.bm25_tokens(F.coalesce("text", F.lit(""))).alias("toks")), "tokens")
+
+
+def postings(toks: DataFrame) -> DataFrame:
+    """doc_id, length, term, tf: the lexical index. Partial sums keep a common term's rows in the map tasks."""
     rows = toks.select("doc_id", F.size("toks").alias("length"), F.explode("toks").alias("term"))
     return rows.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_statistics(index: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def term_statistics(index: DataFrame, toks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, idf) and one row (n_docs, avg_length). Negative idf becomes a share of the mean idf."""
-    whole = docs.select(F.size(tx.bm25_tokens(F.coalesce("text", F.lit("")))).alias("length")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
+    whole = toks.select(F.size("toks").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(whole.select("n_docs")))
-    raw = df.select("term", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
+    raw = materialize(df.select("term", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw")), "terms")
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, params.BM25["floor"] * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     return idf, whole
@@ -41,8 +45,9 @@ def term_statistics(index: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
 def bm25_scores(docs: DataFrame, queries: DataFrame, places: int = 6) -> DataFrame:
     """query_id, doc_id, score > 0 of every query (query_id, text); repeated query tokens count each."""
     k1, b = params.BM25["k1"], params.BM25["b"]
-    index = materialize(postings(docs), "postings")
-    idf, whole = term_statistics(index, docs)
+    toks = tokenized(docs)
+    index = materialize(postings(toks), "postings")
+    idf, whole = term_statistics(index, toks)
     asked = queries.select("query_id", F.explode(tx.bm25_tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = materialize(asked.join(idf, "term"), "query-terms")
     if small_enough(asked, params.BROADCAST_ROWS):

@@ -35,8 +35,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    idf, whole = retrieval.term_statistics(retrieval.postings(docs), docs)
+    toks = retrieval.tokenized(_docs(spark, sf_dir))
+    idf, _ = retrieval.term_statistics(retrieval.postings(toks), toks)
     return idf.select("term", F.round("idf", 6).alias("idf"))
 
 

@@ -6,8 +6,12 @@ document and an item that share enough windows, the slots of the matched windows
 pair is a leak only if they are consistent, that is if each value of the item stands for one value of
 the document and the other way round. So questions with exchanged parameters are found, too.
 
+A window with too few plain tokens (rich in numbers, names or units) has a template that says too little; it is joined by its tokens
+as they stand instead. So sums, date lists and questions of proper names match word for word. A pair may reach the
+coverage on the windows joined by template alone, as exchanged parameters leave no other, or on all windows.
+
 Defined cases: null texts count as empty and match nothing; an item shorter than a window is one window of its length; an
-item without tokens matches nothing; repeated rows of a document count once; equal item ids are told apart by
+item without tokens matches nothing; an item all of whose windows are joined by their tokens matches exact copies only; repeated rows of a document count once; equal item ids are told apart by
 text, as items of their own.
 """
 
@@ -22,7 +26,7 @@ from corpusloom.storage import materialize, small_enough
 WINDOW = 8
 #: At least this share of an item's windows must be in the document.
 COVERAGE = 0.4
-#: A window with fewer plain tokens than this share says too little.
+#: The template of a window with fewer plain tokens than this share says too little: its tokens are compared instead.
 PLAIN = 0.5
 TOKEN = r"[0-9]+(?:[.,][0-9]+)*|\p{L}+"
 # Units of measure and money.
@@ -70,29 +74,34 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The leaking pairs: doc_id, item_id, matched (windows of the item), n_windows, coverage, n_slots, n_changed (slots with another value).
 
+    ``matched`` and ``n_windows`` count the windows joined by template if these reach the coverage, else all windows.
     Documents are scanned once for windows and once more, those with a candidate only, for slots.
     """
     items = materialize(_items(benchmark), "leak-items")
     plain = F.size(F.filter(F.slice("codes", F.col("at") + 1, F.col("size")), lambda c: (c < NUMBER) | (c > NAME)))
-    marks = items.select("item_key", "codes", "size", F.posexplode(windows(F.col("codes"), F.col("size"))).alias("at", "window"))
-    marks = materialize(marks.where(plain >= F.col("size") * PLAIN).select("item_key", "at", "size", "window"), "leak-windows")
-    needed = marks.groupBy("item_key").agg(F.countDistinct("window").alias("n_windows"))
-    sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most WINDOW values
+    marks = items.select("item_key", "toks", "codes", "size", F.posexplode(windows(F.col("codes"), F.col("size"))).alias("at", "template"))
+    marks = marks.withColumn("exact", plain < F.col("size") * PLAIN).withColumn("window", F.when(F.col("exact"), F.xxhash64(F.slice("toks", F.col("at") + 1, F.col("size")))).otherwise(F.col("template")))
+    marks = materialize(marks.select("item_key", "at", "size", "exact", "window"), "leak-windows")
+    needed = marks.groupBy("item_key").agg(F.countDistinct("window").alias("n_all"), F.countDistinct(F.when(~F.col("exact"), F.col("window"))).alias("n_plain"))
+    sizes = sorted((r.size, r.exact) for r in marks.select("size", "exact").distinct().collect())  # at most 2 * WINDOW values
     keys = marks.select("window").distinct()
     bounded = small_enough(keys, BROADCAST_WINDOWS)
     keys = F.broadcast(keys) if bounded else keys
-    scan = docs.select("doc_id", "text").withColumn("codes", template(tokens(F.col("text"))))
-    each = F.concat(*[windows(F.col("codes"), F.lit(s)) for s in sizes]) if sizes else F.array().cast("array<bigint>")
+    scan = docs.select("doc_id", tokens(F.col("text")).alias("toks")).withColumn("codes", template(F.col("toks")))
+    each = F.concat(*[windows(F.col("toks" if exact else "codes"), F.lit(s)) for s, exact in sizes]) if sizes else F.array().cast("array<bigint>")
     # a document's windows meet the item windows one by one; equal windows of a document count once
     seen = scan.select("doc_id", F.explode(F.array_distinct(each)).alias("window")).join(keys, "window", "left_semi")
     seen = materialize(seen, "leak-seen")
-    pairs = seen.join(marks.select("item_key", "window").distinct(), "window").groupBy("doc_id", "item_key").agg(F.countDistinct("window").alias("matched"))
-    pairs = pairs.join(needed, "item_key").where(F.col("matched") >= coverage * F.col("n_windows"))
+    pairs = seen.join(marks.select("item_key", "exact", "window").distinct(), "window").distinct().groupBy("doc_id", "item_key").agg(F.count(F.lit(1)).alias("all"), F.count_if(~F.col("exact")).alias("plain"))
+    pairs = pairs.join(needed, "item_key")
+    by_plain = (F.col("n_plain") > 0) & (F.col("plain") >= coverage * F.col("n_plain"))
+    pairs = pairs.where(by_plain | (F.col("all") >= coverage * F.col("n_all")))
+    pairs = pairs.select("doc_id", "item_key", F.when(by_plain, F.col("plain")).otherwise(F.col("all")).alias("matched"), F.when(by_plain, F.col("n_plain")).otherwise(F.col("n_all")).alias("n_windows"))
     pairs = materialize(pairs, "leak-pairs")
-    return _consistent(docs, items, marks, pairs)
+    return _consistent(docs, items, marks, sizes, pairs)
 
 
-def _consistent(docs: DataFrame, items: DataFrame, marks: DataFrame, pairs: DataFrame) -> DataFrame:
+def _consistent(docs: DataFrame, items: DataFrame, marks: DataFrame, sizes: list[tuple[int, bool]], pairs: DataFrame) -> DataFrame:
     """Keep the pairs whose slots are consistent at some place of the document."""
     wanted = pairs.select("doc_id").distinct()
     if small_enough(wanted, BROADCAST_PAIRS):
@@ -101,9 +110,9 @@ def _consistent(docs: DataFrame, items: DataFrame, marks: DataFrame, pairs: Data
     texts = texts.withColumn("toks", tokens(F.col("text"))).withColumn("codes", template(F.col("toks"))).select(F.xxhash64("doc_id", "text").alias("doc_key"), "doc_id", "toks", "codes")
     texts = materialize(texts, "leak-texts")
     found = None
-    for size in sorted(r.size for r in items.select("size").distinct().collect()):
-        part = texts.select("doc_key", "doc_id", "toks", F.posexplode(windows(F.col("codes"), F.lit(size))).alias("d_at", "window")).withColumn("d_toks", F.slice("toks", F.col("d_at") + 1, size)).drop("toks")
-        part = part.join(marks.where(F.col("size") == size).drop("size"), "window")
+    for size, exact in sizes:
+        part = texts.select("doc_key", "doc_id", "toks", F.posexplode(windows(F.col("toks" if exact else "codes"), F.lit(size))).alias("d_at", "window")).withColumn("d_toks", F.slice("toks", F.col("d_at") + 1, size)).drop("toks")
+        part = part.join(marks.where((F.col("size") == size) & (F.col("exact") == exact)).drop("size", "exact"), "window")
         # where an item's windows lie in the text: the same offset for one copy of the passage
         part = part.withColumn("shift", F.col("d_at") - F.col("at"))
         found = part if found is None else found.unionByName(part)

@@ -251,6 +251,25 @@ def test_decontamination(spark):
     assert decontamination.find_leaks(docs_of(spark, []), items).count() == 0
 
 
+def test_decontamination_of_windows_without_plain_tokens(spark):
+    rng = random.Random(12)
+    names = "Anna Berg Carl Dahl Emil Falk Greta Holm Ida Jung Karl Lund Mona Nord"
+    mixed = "Add 12 and 7 to 30 and 45 and 61 and 18 and 22 then tell us what the sum of all of these numbers would be"
+    items = spark.createDataFrame([(1, "What is 12 + 34 * 56?"), (2, names), (3, "1914 1918 1939 1945 1949 1961 1989 1990 1991"), (4, mixed)], "item_id long, text string")
+    rows = [
+        (1, prose(rng, 20) + " What is 12 + 34 * 56? " + prose(rng, 20), "en", "s"),
+        (2, "What is 13 + 34 * 56? " + prose(rng, 20), "en", "s"),
+        (3, prose(rng, 5) + " " + names + " " + prose(rng, 5), "en", "s"),
+        (4, names.replace("a", "e").replace("e", "i"), "en", "s"),
+        (5, "see 1914 1918 1939 1945 1949 1961 1989 1990 1991", "en", "s"),
+        (6, mixed.replace("12", "13").replace("45", "46").replace("22", "23"), "en", "s"),
+        (7, " ".join(mixed.split()[:17]), "en", "s"),
+    ]
+    got = {(r.doc_id, r.item_id): (r.matched, r.n_windows) for r in decontamination.find_leaks(docs_of(spark, rows), items).collect()}
+    assert set(got) == {(1, 1), (3, 2), (5, 3), (6, 4), (7, 4)}
+    assert got[1, 1] == (1, 1) and got[3, 2] == (7, 7) and got[5, 3] == (2, 2)
+
+
 # ------------------------------------------------------------- op6
 
 

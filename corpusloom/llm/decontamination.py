@@ -2,9 +2,11 @@
 
 Texts and benchmark items are cut into tokens; numbers, names (capitalised words) and units (after a number)
 become typed placeholders. Windows of eight template tokens are hash-joined. For each pair of a
-document and an item that share enough windows, the slots of the matched windows are laid side by side: the
-pair is a leak only if they are consistent, that is if each value of the item stands for one value of
-the document and the other way round. So questions with exchanged parameters are found, too.
+document and an item that share enough windows, the slots of the matched windows are laid side by side. They
+are consistent if nearly all of an item value's slots hold one value of the document, and most slots of
+a document value stand for one value of the item. The pair is a leak if, at one place of the document, windows with consistent slots
+reach the coverage, or if windows that are the same word for word reach VERBATIM, whatever the slots say.
+So questions with exchanged parameters are found, too.
 
 A window with too few plain tokens (rich in numbers, names or units) has a template that says too little; it is joined by its tokens
 as they stand instead. So sums, date lists and questions of proper names match word for word. A pair may reach the
@@ -28,6 +30,12 @@ WINDOW = 8
 COVERAGE = 0.4
 #: The template of a window with fewer plain tokens than this share says too little: its tokens are compared instead.
 PLAIN = 0.5
+#: At least this share of the slots must hold the value that most slots of the same item value hold.
+CONSISTENT = 0.9
+#: At least this share of the slots must stand for the item value that most slots with the same document value stand for.
+APART = 0.5
+#: Windows that are the same word for word leak at this share of the item's windows even if the slots are not consistent.
+VERBATIM = 0.75
 TOKEN = r"[0-9]+(?:[.,][0-9]+)*|\p{L}+"
 # Units of measure and money.
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "cl", "l", "s", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "years", "months", "miles", "mile", "feet", "foot", "inches", "inch", "meters", "metres", "kilometers", "grams", "kilograms", "litres", "liters", "euros", "euro", "dollars", "dollar", "cents", "percent", "mph", "kmh", "w", "kw", "v", "hz")
@@ -74,7 +82,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The leaking pairs: doc_id, item_id, matched (windows of the item), n_windows, coverage, n_slots, n_changed (slots with another value).
 
-    ``matched`` and ``n_windows`` count the windows joined by template if these reach the coverage, else all windows.
+    All counts are of the windows joined by template if these reach the coverage, else of all windows.
     Documents are scanned once for windows and once more, those with a candidate only, for slots.
     """
     items = materialize(_items(benchmark), "leak-items")
@@ -96,13 +104,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     pairs = pairs.join(needed, "item_key")
     by_plain = (F.col("n_plain") > 0) & (F.col("plain") >= coverage * F.col("n_plain"))
     pairs = pairs.where(by_plain | (F.col("all") >= coverage * F.col("n_all")))
-    pairs = pairs.select("doc_id", "item_key", F.when(by_plain, F.col("plain")).otherwise(F.col("all")).alias("matched"), F.when(by_plain, F.col("n_plain")).otherwise(F.col("n_all")).alias("n_windows"))
+    pairs = pairs.select("doc_id", "item_key", F.when(by_plain, F.col("plain")).otherwise(F.col("all")).alias("matched"), F.when(by_plain, F.col("n_plain")).otherwise(F.col("n_all")).alias("n_windows"), by_plain.alias("by_template"))
     pairs = materialize(pairs, "leak-pairs")
-    return _consistent(docs, items, marks, sizes, pairs)
+    return _consistent(docs, items, marks, sizes, pairs, needed, coverage)
 
 
-def _consistent(docs: DataFrame, items: DataFrame, marks: DataFrame, sizes: list[tuple[int, bool]], pairs: DataFrame) -> DataFrame:
-    """Keep the pairs whose slots are consistent at some place of the document."""
+def _consistent(docs: DataFrame, items: DataFrame, marks: DataFrame, sizes: list[tuple[int, bool]], pairs: DataFrame, needed: DataFrame, coverage: float) -> DataFrame:
+    """Keep the pairs that reach the coverage at some place of the document, by windows with consistent slots or word for word."""
     wanted = pairs.select("doc_id").distinct()
     if small_enough(wanted, BROADCAST_PAIRS):
         wanted = F.broadcast(wanted)
@@ -112,23 +120,34 @@ def _consistent(docs: DataFrame, items: DataFrame, marks: DataFrame, sizes: list
     found = None
     for size, exact in sizes:
         part = texts.select("doc_key", "doc_id", "toks", F.posexplode(windows(F.col("toks" if exact else "codes"), F.lit(size))).alias("d_at", "window")).withColumn("d_toks", F.slice("toks", F.col("d_at") + 1, size)).drop("toks")
-        part = part.join(marks.where((F.col("size") == size) & (F.col("exact") == exact)).drop("size", "exact"), "window")
+        part = part.join(marks.where((F.col("size") == size) & (F.col("exact") == exact)).drop("size"), "window")
         # where an item's windows lie in the text: the same offset for one copy of the passage
         part = part.withColumn("shift", F.col("d_at") - F.col("at"))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matched long, n_windows long, coverage double, n_slots long, n_changed long")
     item_toks = items.select("item_key", "item_id", F.col("toks").alias("i_toks"), F.col("codes").alias("i_codes"), "size")
-    steps = found.join(item_toks, "item_key").join(pairs.select("doc_id", "item_key"), ["doc_id", "item_key"])
+    steps = found.join(item_toks, "item_key").join(pairs.select("doc_id", "item_key", "by_template"), ["doc_id", "item_key"])
     zipped = F.filter(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.struct((F.col("at") + i).alias("k"), F.get("i_codes", F.col("at") + i).alias("kind"), F.get("i_toks", F.col("at") + i).alias("ours"), F.get("d_toks", i).alias("theirs"))), lambda z: z["kind"].between(NUMBER, NAME))
-    steps = steps.select("doc_id", "doc_key", "item_key", "item_id", "shift", "window", zipped.alias("slots"))
-    place = ["doc_id", "doc_key", "item_key", "item_id", "shift"]
-    whole = steps.groupBy(*place).agg(F.countDistinct("window").alias("here"))
-    slots = steps.select(*place, F.explode("slots").alias("s")).select(*place, "s.*").distinct()
-    by_ours = slots.groupBy(*place, "kind", "ours").agg(F.countDistinct("theirs").alias("n"), F.countDistinct("k").alias("slots"), F.countDistinct(F.when(F.col("ours") != F.col("theirs"), F.col("k"))).alias("changed")).groupBy(*place).agg(F.max("n").alias("most_theirs"), F.sum("slots").alias("n_slots"), F.sum("changed").alias("n_changed"))
-    by_theirs = slots.groupBy(*place, "kind", "theirs").agg(F.countDistinct("ours").alias("n")).groupBy(*place).agg(F.max("n").alias("most_ours"))
-    places = whole.join(by_ours, place, "left").join(by_theirs, place, "left")
-    places = places.where((F.coalesce("most_theirs", F.lit(1)) == 1) & (F.coalesce("most_ours", F.lit(1)) == 1))
-    best = places.groupBy("doc_id", "item_key", "item_id").agg(F.max(F.struct("here", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), (-F.coalesce("n_changed", F.lit(0))).alias("kept"))).alias("b"))
+    same = F.forall("slots", lambda z: z["ours"] == z["theirs"])
+    steps = steps.select("doc_id", "doc_key", "item_key", "item_id", "shift", "window", "exact", (~(F.col("by_template") & F.col("exact"))).alias("counts"), F.size("i_toks").alias("reach"), zipped.alias("slots")).withColumn("same", same)
+    place = ["doc_id", "doc_key", "item_key", "item_id", "reach", "shift"]
+    whole = steps.groupBy(*place).agg(F.countDistinct(F.when(F.col("counts"), F.col("window"))).alias("here"))
+    slots = steps.where("counts").select(*place, F.explode("slots").alias("s")).select(*place, "s.*").distinct()
+    values = slots.groupBy(*place, "kind", "ours", "theirs").agg(F.count(F.lit(1)).alias("n"))
+    by_ours = values.groupBy(*place, "kind", "ours").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.sum(F.when(F.col("ours") != F.col("theirs"), F.col("n")).otherwise(0)).alias("changed")).groupBy(*place).agg(F.sum("most").alias("most_theirs"), F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed"))
+    by_theirs = values.groupBy(*place, "kind", "theirs").agg(F.max("n").alias("most")).groupBy(*place).agg(F.sum("most").alias("most_ours"))
+    places = whole.join(by_ours, place, "left").join(by_theirs, place, "left").na.fill(0, ["n_slots", "n_changed", "most_theirs", "most_ours"])
+    places = places.withColumn("consistent", (F.col("most_theirs") >= CONSISTENT * F.col("n_slots")) & (F.col("most_ours") >= APART * F.col("n_slots")))
+    # words put in or left out move the shift: windows count together if their shifts are at most the item's length apart
+    nth = F.floor(F.col("shift") / F.col("reach"))
+    spots = F.explode(F.array(nth, nth + 1)).alias("spot")
+    spot = ["doc_key", "item_key", "spot"]
+    covered = steps.join(places.select("doc_key", "item_key", "shift", "consistent"), ["doc_key", "item_key", "shift"]).select("doc_key", "item_key", "window", "exact", "same", "consistent", spots)
+    covered = covered.groupBy(*spot, "window").agg(F.max("exact").alias("exact"), F.max("same").alias("same"), F.max("consistent").alias("consistent"))
+    covered = covered.groupBy(*spot).agg(F.count_if(F.col("consistent") & ~F.col("exact")).alias("plain"), F.count_if("consistent").alias("all"), F.count_if("same").alias("same")).join(needed, "item_key")
+    reached = ((F.col("n_plain") > 0) & (F.col("plain") >= coverage * F.col("n_plain"))) | (F.col("all") >= coverage * F.col("n_all")) | (F.col("same") >= max(coverage, VERBATIM) * F.col("n_all"))
+    places = places.select("*", spots).join(covered.where(reached).select(*spot), spot, "left_semi")
+    best = places.groupBy("doc_id", "item_key", "item_id").agg(F.max(F.struct("consistent", "here", "n_slots", (-F.col("n_changed")).alias("kept"))).alias("b"))
     out = best.join(pairs, ["doc_id", "item_key"])
     return out.select("doc_id", "item_id", "matched", "n_windows", F.round(F.col("matched") / F.col("n_windows"), 6).alias("coverage"), F.col("b.n_slots").alias("n_slots"), (-F.col("b.kept")).alias("n_changed"))

@@ -270,6 +270,23 @@ def test_decontamination_of_windows_without_plain_tokens(spark):
     assert got[1, 1] == (1, 1) and got[3, 2] == (7, 7) and got[5, 3] == (2, 2)
 
 
+def test_decontamination_of_slots_and_places(spark):
+    rng = random.Random(13)
+    said = [prose(rng, 14) for _ in range(4)]
+    item = f"The {said[0]} 3 {said[1]} 5 {said[2]} The {said[3]}"
+    merged = item.replace("3", "4").replace("5", "4")
+    words = item.split()
+    parts = [" ".join(words[k : k + 12]) for k in (1, 17, 32, 48)]
+    scattered = "".join(p + " " + prose(rng, 120) + " " for p in parts)
+    longer = " ".join(words[:30] + ["extra", "words"] + words[30:])
+    once = prose(rng, 3) + " " + item.replace("The " + said[3], "A " + said[3])
+    rows = [(1, once, "en", "s"), (2, merged, "en", "s"), (3, " ".join(words[:20] + words[40:]), "en", "s"), (4, longer, "en", "s"), (5, scattered, "en", "s"), (6, merged + " " + prose(rng, 40) + " " + item, "en", "s")]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.find_leaks(docs_of(spark, rows), items, 0.3).collect()}
+    assert set(got) == {1, 2, 3, 4, 6}
+    assert (got[2].n_slots, got[2].n_changed) == (4, 2) and got[4].n_changed == 0 and got[6].n_changed == 0
+
+
 # ------------------------------------------------------------- op6
 
 

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from corpusloom import params
 from corpusloom.functions import text as tx
+from corpusloom.storage import small_enough
+
+#: Quotes of one or two tokens are looked up by so many characters.
+GRAM = 8
+#: Quotes are broadcast up to this many rows; beyond it they are joined by shuffle.
+BROADCAST_QUOTES = 10_000
 
 
 def scored(matches: DataFrame, items: DataFrame, ks: tuple[int, ...] = params.EVAL_K) -> DataFrame:
@@ -74,17 +80,26 @@ def best_configuration(rows: DataFrame) -> DataFrame:
 def quote_hits(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """quote_id, doc_id of every document that contains the quote, normalised on both sides.
 
-    A containment join has no key of its own: each quote's longest token selects candidate documents by an
-    equality join on words, and only those are searched for the whole quote. A quote whose longest token
-    touches another word in the document (no spaces round the quote) is not found.
+    A containment join has no key of its own, so equality joins select candidate documents, and only those are searched
+    for the whole quote. Tokens inside a quote are whole tokens of any text that holds it; the first and last may touch other characters.
+    So the key is the longest inner token; for one or two tokens it is the first GRAM characters of the quote, or all if there
+    are fewer, among the text's runs of as many characters.
     """
+    inner = F.slice(F.split("quote", " "), 2, F.greatest(F.size(F.split("quote", " ")) - 2, F.lit(0)))
+    longest = F.reduce(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
     q = quotes.select("quote_id", tx.normalise("quote").alias("quote")).where(F.col("quote") != "")
-    inner = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    longest = F.reduce(inner("quote"), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    q = q.withColumn("gram", F.when(F.size(inner) == 0, F.least(F.length("quote"), F.lit(GRAM))))
+    q = q.withColumn("token", F.when(F.col("gram").isNull(), longest).otherwise(F.substring("quote", 1, GRAM)))
+    grams = sorted(r.gram for r in q.select("gram").where(F.col("gram").isNotNull()).distinct().collect())  # at most GRAM values
     d = docs.select("doc_id", tx.normalise(F.coalesce("text", F.lit(""))).alias("norm"))
-    tokens = d.select("doc_id", "norm", F.explode(F.array_distinct(inner("norm"))).alias("token"))
-    asked = q.withColumn("token", longest)
-    return tokens.join(F.broadcast(asked), "token").where(F.col("norm").contains(F.col("quote"))).select("quote_id", "doc_id").distinct()
+    keys = F.array_distinct(F.concat(F.split("norm", " "), *[F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in grams]))
+    holds = F.col("norm").contains(F.col("quote"))
+    if small_enough(q, BROADCAST_QUOTES):
+        tokens = d.select("doc_id", "norm", F.explode(keys).alias("token"))
+        return tokens.join(F.broadcast(q), "token").where(holds).select("quote_id", "doc_id").distinct()
+    d, q = d.withColumn("doc_key", F.xxhash64("doc_id", "norm")), q.withColumn("quote_key", F.xxhash64("quote_id", "quote"))
+    pairs = d.select("doc_key", F.explode(keys).alias("token")).join(q.select("quote_key", "token"), "token").select("doc_key", "quote_key").distinct()
+    return pairs.join(q, "quote_key").join(d, "doc_key").where(holds).select("quote_id", "doc_id").distinct()
 
 
 def quote_survival(locations: DataFrame, docs: DataFrame) -> DataFrame:

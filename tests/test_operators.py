@@ -313,3 +313,16 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.window.start, r.purpose): float(r.cost) for r in spark.table("w").collect()}
     want = {(r.window.start, r.purpose): float(r.cost) for r in costs.windowed(src, "purpose", "cost").collect()}
     assert got == want and len(got) == 10
+
+
+@pytest.mark.parametrize("bound", [10_000, 0])
+def test_quotes_that_touch_other_characters(spark, monkeypatch, bound):
+    monkeypatch.setattr(metrics, "BROADCAST_QUOTES", bound)
+    texts = ['He said "overdraft fee is waived" twice', "see (non-overdraft fee is waived, always)", "overdraft  FEE is waived", "a pre-approved loan", "(loan)", "overdraft fees", None, "", "x\nwaived\U0001f600, ok"]
+    quotes = ["overdraft fee is waived", "overdraft fee", "loan", "approved", "is", "waived\U0001f600", "o", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    q = spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string")
+    low = [" ".join((t or "").lower().split()) for t in texts]
+    want = {(i, k) for i, quote in enumerate(quotes) if quote for k, t in enumerate(low) if quote in t}
+    got = [(r.quote_id, r.doc_id) for r in metrics.quote_hits(d, q).collect()]
+    assert set(got) == want and len(got) == len(want)

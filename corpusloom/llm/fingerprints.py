@@ -5,8 +5,8 @@ paragraphs' vectors modulo powers of two. So the order of paragraphs doesn't mat
 deleting a paragraph adds or subtracts its vector without reading the rest.
 
 The vector has two parts. EQUAL_LANES lanes of 64 bits, from a keyed hash of the whole paragraph, sum
-modulo 2**64 and decide equality. LIKE_LANES lanes sum modulo 2**16: each three-word window of
-the paragraph adds +1 or -1 to one lane, so that the cosine of two fingerprints estimates how many
+modulo 2**64 and decide equality. LIKE_LANES lanes sum modulo 2**32: each three-word window of
+the paragraph adds +1 or -1 to one lane (a text of at most 2**31 bytes has fewer than 2**31 windows, so no lane wraps), so that the cosine of two fingerprints estimates how many
 windows the texts share.
 
 Defined cases: null text counts as empty; an empty text has the all-zero fingerprint (empty
@@ -52,7 +52,7 @@ def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(equality lanes uint64 [rows, EQUAL_LANES], likeness lanes int16 [rows, LIKE_LANES]) of a batch of texts."""
+    """(equality lanes uint64 [rows, EQUAL_LANES], likeness lanes int32 [rows, LIKE_LANES]) of a batch of texts."""
     lines, line_row, _ = _lines(column)
     rows = len(column)
     equal = np.zeros((rows, EQUAL_LANES), np.uint64)
@@ -80,7 +80,7 @@ def vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lane = words.doc[keep] * LIKE_LANES + (mixed & np.uint64(LIKE_LANES - 1)).astype(np.int64)
         sign = ((mixed >> np.uint64(32)) & np.uint64(1)).astype(np.int64) * 2 - 1
         like = np.bincount(lane, weights=sign, minlength=rows * LIKE_LANES).astype(np.int64)
-    return equal, like.reshape(rows, LIKE_LANES).astype(np.int16)
+    return equal, like.reshape(rows, LIKE_LANES).astype(np.int32)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,13 +95,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def encode(equal: np.ndarray, like: np.ndarray) -> list[str]:
     """Hex of all lanes, big-endian."""
-    wide = np.concatenate([equal.astype(">u8").view(np.uint8).reshape(len(equal), -1), like.astype(">i2").view(np.uint8).reshape(len(like), -1)], axis=1)
+    wide = np.concatenate([equal.astype(">u8").view(np.uint8).reshape(len(equal), -1), like.astype(">i4").view(np.uint8).reshape(len(like), -1)], axis=1)
     return [row.tobytes().hex() for row in np.ascontiguousarray(wide)]
 
 
 def decode(text: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(text)
-    return np.frombuffer(raw[: 8 * EQUAL_LANES], ">u8").astype(np.uint64), np.frombuffer(raw[8 * EQUAL_LANES :], ">i2").astype(np.int16)
+    return np.frombuffer(raw[: 8 * EQUAL_LANES], ">u8").astype(np.uint64), np.frombuffer(raw[8 * EQUAL_LANES :], ">i4").astype(np.int32)
 
 
 def combine(one: str, other: str, sign: int = 1) -> str:

@@ -376,6 +376,14 @@ def test_fingerprint_is_homomorphic():
     assert fp("") == "0" * len(fp(a))
 
 
+def test_likeness_of_long_repetitive_texts():
+    _, like = fingerprints.vectors(pa.array(["a b c\n" * 40_000, "a b c\n" * 20_000, "one " * 40_000]))
+    assert np.abs(like).max(1).tolist() == [40_000, 20_000, 39_998]
+    assert fingerprints.likeness(like[:1], like[1:2])[0] == 1
+    one, other = fingerprints.encode(*fingerprints.vectors(pa.array(["a b c\n" * 30_000, "a b c\n" * 10_000])))
+    assert np.abs(fingerprints.decode(fingerprints.combine(one, other))[1]).max() == 40_000
+
+
 def test_fingerprints_of_few(spark):
     assert fingerprints.with_edits(docs_of(spark, [])).count() == 0
     r = fingerprints.with_edits(docs_of(spark, [(7, "abcdef", "en", "s")])).collect()

@@ -4,22 +4,27 @@ A document's set holds the distinct hashes of its five-word shingles. Distance i
 documents link at distance EPSILON = 1/4 or less.
 
 1. Equal sets are one entity from here on.
-2. Neighbourhoods: in one total order of all shingles, linked sets must share some of their first
-   n - ceil(3n/4) + k shingles, and k at least of them. Shingles that many documents hold, or that common words make by chance, are last in
-   the order (hashed counts over all documents decide; whatever the counts, the join stays exact). Each shared shingle
-   among these makes a region.
-3. Pivots: a region's smallest entity is its pivot; each member's exact distance to it is computed.
-4. Windows: members within EPSILON link to the pivot and so are of one class. By the triangle inequality a link
-   between two other members needs distances to the pivot that differ by EPSILON at most, so a region goes on only
-   with members of different classes inside that window of each other: its boundary members. A member with too many
-   shingles of its own is out of reach of all others and leaves.
-5. Recursion: such regions, joined where they share members, elect new pivots among members of different classes, until none is left.
-
+2. Pivots: in one total order of all shingles, linked sets must share some of their first n - ceil(3n/4) + k shingles, and
+   k at least of them. Shingles that many documents hold, or that common words make by chance, are last in the order
+   (hashed counts over all documents decide; whatever the counts, the join stays exact). The smallest entity that holds a
+   leading shingle is a pivot, and known to all that hold it. So linked entities know a common pivot, and the number of pivots
+   follows the number of neighbourhoods, where pivots drawn at random would be at distance 1 from nearly all documents.
+3. Cells: every entity meets the pivots it knows, at exact distances. One within EPSILON of a pivot is of its class. It is
+   in the cell of its nearest known pivot, and a boundary replica in those of the others.
+4. Windows: by the triangle inequality, a link inside a cell needs distances to the pivot that differ by EPSILON at most (and
+   sizes that fit). Entities with nobody of another class in their window leave the cell.
+5. Recursion: what is left of a cell elects new pivots among its members outside its largest class; all members meet them
+   and pivots leave, having met everybody. If not all of these can be pivots at once, the cell is divided into the Voronoi cells of the new
+   pivots (all distances are known now), with replicas at 2 EPSILON from a boundary, where that makes smaller cells; and so on.
+
+A cell is worked on in groups of at most GROUP members with a copy of its pivots, so no cell is in one task, and no task holds
+more than the sets of one group's pivots. Of the links found in a group only those that join classes go on: at most one for each member.
 Classes are connected components, found by min-label rounds with shortcuts; nothing of the documents goes through the driver.
 
 Defined cases: null or empty texts, and texts without words, have the empty set, link with nothing and are their own
 class (repeated rows of one doc_id share theirs); fewer than five words give one shingle; a null doc_id sorts
-below all others and has a null class.
+below all others and has a null class; equal texts are one class; very long texts and words are taken whole; other columns, whatever their
+names, don't take part and come back from ``keep_one`` as they were; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,20 +39,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.llm import textkit as tk
-from corpusloom.llm.sketches import BlockedBloom, gather
+from corpusloom.llm.sketches import chunk_rows, merge_chunks
 from corpusloom.storage import materialize, small_enough
 
 NEED, OF = 75, 100
 EPSILON = 1 - NEED / OF
-CELLS = 1 << 22
-WORD_CELLS = 1 << 20
-BLOOM_BYTES = 32 << 20
-PIVOTS_PER_ROUND = 8
-BUCKETS = 64
+CELLS = 1 << 21
+WORD_CELLS = 1 << 18
+CHUNKS = 64
 #: Ids are broadcast up to this many rows (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Linked sets must share one more leading shingle for each so many shingles.
 SHARED_OF = 16
+#: Members of a cell that meet its pivots in one group; pivots of a cell in one round, and the shingles these may hold together.
+GROUP, PIVOTS, PIVOT_SHINGLES = 256, 256, 1 << 21
+#: A member this near to more pivots than that isn't replicated: its cell stays whole.
+MOST_REPLICAS = 8
 
 
 def _entity(shingles: np.ndarray) -> int:
@@ -60,18 +67,34 @@ def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     return tk.shingle_sets(tk.Words(batch.column("text")))
 
 
+def _word_cells(words: tk.Words) -> np.ndarray:
+    return (tk.mix(words.hashes()) & np.uint64(WORD_CELLS - 1)).astype(np.int64)
+
+
 def name_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, entity (null for the empty set): one pass, no shuffle."""
+    """doc_id, n_shingles, entity (null for the empty set) of every row, and each task's counts of words and shingles.
+
+    One pass: the counts follow a task's rows as chunks (chunk, part; elsewhere null).
+    """
+    fields = ["doc_id", "n_shingles", "entity", "chunk", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(CELLS + WORD_CELLS, np.uint32)
         for batch in tk.slices(batches):
-            sizes, names = [], []
-            for s in _sets(batch):
-                sizes.append(len(s))
-                names.append(_entity(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["doc_id", "n_shingles", "entity"])
+            words = tk.Words(batch.column("text"))
+            h, rows = tk.shingle_hashes(words)
+            np.add.at(own, (h & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
+            np.add.at(own, CELLS + _word_cells(words), np.uint32(1))
+            at = np.searchsorted(rows, np.arange(words.rows + 1))
+            sets = [np.unique(h[at[r] : at[r + 1]]) for r in range(words.rows)]
+            nulls = pa.nulls(len(sets))
+            arrays = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_entity(s) if len(s) else None for s in sets], pa.int64()), nulls.cast(pa.int32()), nulls.cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, fields)
+        for chunk, part in chunk_rows(own, CHUNKS):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), chunk, part], fields)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, entity long")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, entity long, chunk int, part binary")
 
 
 @dataclass
@@ -86,113 +109,181 @@ class Order:
     words: np.ndarray
     shingles: int
 
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Order:
+        shingles, words = counts[:CELLS].astype(np.float64), counts[CELLS:].astype(np.float64)
+        above = (shingles - shingles.mean()) / np.sqrt(shingles.mean() + 1)
+        seen = np.where(above > 1, np.minimum(8 * np.log2(1 + np.maximum(above, 0)), 255), 0).astype(np.uint8)
+        return cls(seen, np.log2(np.maximum(words, 1) / max(words.sum(), 1)).astype(np.float32), int(shingles.sum()))
+
     def levels(self, shingles: np.ndarray, log_shares: np.ndarray) -> np.ndarray:
         chance = 4 * (log_shares + np.log2(max(self.shingles, 1)) + 10)
         return np.maximum(self.seen[(shingles & np.uint64(CELLS - 1)).astype(np.int64)], np.clip(chance, 0, 255).astype(np.uint8))
 
 
-def _word_cells(words: tk.Words) -> np.ndarray:
-    return (tk.mix(words.hashes()) & np.uint64(WORD_CELLS - 1)).astype(np.int64)
-
-
-def _order(docs: DataFrame) -> Order:
-    """Count words and shingles of all documents into cells."""
-
-    def fill(batches: Iterator[pa.RecordBatch], own: np.ndarray) -> None:
-        for batch in tk.slices(batches):
-            words = tk.Words(batch.column("text"))
-            np.add.at(own, (tk.shingle_hashes(words)[0] & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
-            np.add.at(own, CELLS + _word_cells(words), np.uint32(1))
-
-    counts = gather(docs.select("text"), fill, CELLS + WORD_CELLS, "u4", np.add, chunks=80).astype(np.float64)
-    shingles, words = counts[:CELLS], counts[CELLS:]
-    above = (shingles - shingles.mean()) / np.sqrt(shingles.mean() + 1)
-    seen = np.where(above > 1, np.minimum(8 * np.log2(1 + np.maximum(above, 0)), 255), 0).astype(np.uint8)
-    return Order(seen, np.log2(np.maximum(words, 1) / max(words.sum(), 1)).astype(np.float32), int(shingles.sum()))
-
-
-def neighbourhoods(docs: DataFrame, order: Order) -> DataFrame:
-    """region (a shingle), entity, size: the leading n - ceil(3n/4) + 1 + n // SHARED_OF shingles of each set in the order."""
-    sent = docs.sparkSession.sparkContext.broadcast(order)
+def leading_shingles(docs: DataFrame, sent) -> DataFrame:
+    """shingle, entity, size: the leading n - ceil(3n/4) + 1 + n // SHARED_OF shingles of each set in the broadcast order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o = sent.value
+        o, seen = sent.value, set()
         for batch in tk.slices(batches):
             words = tk.Words(batch.column("text"))
             h, rows, log_shares = tk.shingle_hashes(words, weights=o.words[_word_cells(words)])
             level = o.levels(h, log_shares)
             at = np.searchsorted(rows, np.arange(words.rows + 1))
-            regions, names, sizes = [], [], []
+            found, names, sizes = [], [], []
             for r in np.flatnonzero(at[1:] > at[:-1]):
                 s, first = np.unique(h[at[r] : at[r + 1]], return_index=True)
-                n = len(s)
+                name, n = _entity(s), len(s)
+                if name in seen:  # copies in one task go on once
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(name)
                 keep = n - -(-NEED * n // OF) + 1 + n // SHARED_OF
-                regions.append(s[np.argsort(level[at[r] : at[r + 1]][first], kind="stable")[:keep]])
-                names.append(np.full(keep, _entity(s)))
+                found.append(s[np.argsort(level[at[r] : at[r + 1]][first], kind="stable")[:keep]])
+                names.append(np.full(keep, name))
                 sizes.append(np.full(keep, n))
-            if regions:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regions).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes).astype(np.int32))], ["region", "entity", "size"])
-
-    return docs.select("text").mapInArrow(run, "region long, entity long, size int")
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes).astype(np.int32))], ["shingle", "entity", "size"])
 
+    return docs.select("text").mapInArrow(run, "shingle long, entity long, size int")
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """entity, text of the wanted entities (one text each); a bounded Bloom filter drops nearly all others before the shuffle."""
-    bloom = BlockedBloom.build(wanted.select("entity"), wanted.count(), BLOOM_BYTES)
-    sent = docs.sparkSession.sparkContext.broadcast(bloom.words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve, seen = BlockedBloom(sent.value), set()
-        for batch in tk.slices(batches):
-            names = np.array([_entity(s) if len(s) else 0 for s in _sets(batch)], np.int64)
-            keep = []
-            for r in np.flatnonzero(sieve.might_hold(names)):
-                if names[r] not in seen:  # copies in one task go on once
-                    if len(seen) < 1_000_000:
-                        seen.add(names[r])
-                    keep.append(r)
-            if keep:
-                yield pa.RecordBatch.from_arrays([pa.array(names[keep]), batch.column("text").take(pa.array(keep)).cast(pa.string())], ["entity", "text"])
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of shingles with two entities or more, of entities that share enough of them, each once.
 
-    found = docs.select("text").mapInArrow(run, "entity long, text string").join(wanted.select("entity"), "entity", "left_semi")
-    one = Window.partitionBy("entity").orderBy(F.length("text"), "text")
-    return found.withColumn("n", F.row_number().over(one)).where(F.col("n") == 1).drop("n")
+    Linked sets of n and m shingles share 1 + min(n, m) // SHARED_OF of their leading ones at least, and the smaller
+    one has 3/4 of the other's size at least. Sets that share fewer shingles with all others together link with nothing. A shingle's
+    rows are read in order, so that they aren't held in memory.
+    """
+    order = Window.partitionBy("shingle").orderBy("entity")
+    rows = rows.withColumn("first", F.first("entity").over(order)).withColumn("next", F.lead("entity").over(order))
+    shared = rows.where((F.col("entity") != F.col("first")) | (F.col("next") != F.col("entity"))).select("shingle", "entity", "size").distinct()
+    shared = materialize(shared, "shared-shingles")
+    for _ in range(2):  # what leaves makes others leave
+        least = 1 + F.floor(F.ceil(F.col("size") * NEED / OF) / SHARED_OF)
+        enough = shared.groupBy("entity", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("entity")
+        shared = shared.join(enough, "entity", "left_semi")
+        many = shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("shingle")
+        shared = materialize(shared.join(many, "shingle", "left_semi"), "shared-shingles")
+    return shared
 
 
-def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of these entities; few ids are sent to the texts, so that the other texts aren't shuffled."""
-    ids = ids.distinct()
-    return texts.join(F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids, "entity", "left_semi")
+def _first_cells(shared: DataFrame) -> DataFrame:
+    """cell (its pivot), entity, size: every entity in the cells of the pivots it knows; no cell with one pair whose sizes don't fit."""
+    pivots = shared.groupBy("shingle").agg(F.min(F.struct("entity", "size")).alias("p"))
+    rows = shared.join(pivots, "shingle").where(F.col("entity") != F.col("p.entity"))
+    cells = rows.groupBy(F.col("p.entity").alias("cell"), "entity").agg(F.first("size").alias("size"), F.first("p.size").alias("pivot_size"))
+    cells = materialize(cells, "known-pivots")
+    fits = 100 * F.least("size", "pivot_size") >= NEED * F.greatest("size", "pivot_size")
+    wide = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("cell", F.lit(True).alias("wide"))
+    return cells.join(wide, "cell", "left").where(fits | F.col("wide")).select("cell", "entity", "size")
 
 
-def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (entity, pivot) with common, union and distance, from the whole sets of both."""
+def _texts(docs: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """entity, text of the wanted entities: the text of the smallest doc_id that has it."""
+    firsts = named.where(F.col("entity").isNotNull()).groupBy("entity").agg(F.min("doc_id").alias("doc_id"))
+    firsts = materialize(firsts.join(wanted, "entity", "left_semi"), "wanted")
+    ids = firsts.select(F.col("doc_id").alias("id")).distinct()
+    ids = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.join(ids, rows.doc_id.eqNullSafe(ids.id), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_set = None, None
-        for batch in tk.slices(batches, most=1 << 18):
-            mine = list(_sets(batch))
-            pivots = batch.column("pivot").to_pylist()
-            texts_of = batch.column("pivot_text")
-            common, union = [], []
-            for r, s in enumerate(mine):
-                if pivots[r] != held:
-                    held, held_set = pivots[r], next(tk.shingle_sets(tk.Words(texts_of.slice(r, 1))))
-                both = len(np.intersect1d(s, held_set, assume_unique=True))
-                common.append(both)
-                union.append(len(s) + len(held_set) - both)
-            yield pa.RecordBatch.from_arrays([batch.column("entity"), batch.column("pivot"), pa.array(common, pa.int64()), pa.array(union, pa.int64())], ["entity", "pivot", "common", "union"])
-
-    mine = _only(texts, pairs.select("entity"))
-    pivots = _only(texts, pairs.select(F.col("pivot").alias("entity"))).select(F.col("entity").alias("pivot"), F.col("text").alias("pivot_text"))
-    wide = pairs.join(mine, "entity").join(pivots, "pivot")
-    done = wide.select("entity", "pivot", "text", "pivot_text").mapInArrow(run, "entity long, pivot long, common long, union long")
-    return done.withColumn("linked", 100 * F.col("common") >= NEED * F.col("union")).withColumn("distance", 1 - F.col("common") / F.col("union"))
+        for batch in tk.slices(batches):
+            names = [_entity(s) if len(s) else None for s in _sets(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.int64()), batch.column("text").cast(pa.string())], ["doc_id", "entity", "text"])
+
+    own = rows.mapInArrow(run, "doc_id long, entity long, text string").alias("o")
+    f = firsts.alias("f")
+    found = own.join(f, (F.col("o.entity") == F.col("f.entity")) & F.col("o.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
+    return found.dropDuplicates(["entity"]).select("entity", "text")
+
+
+class _Pivots:
+    """The pivots of one group and an index of their shingles; which classes the group has joined so far."""
+
+    def __init__(self):
+        self.names: list[int] = []
+        self.classes: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.keys: np.ndarray | None = None
+        self.up: dict[int, int] = {}
+
+    def add(self, name: int, klass: int, shingles: np.ndarray) -> None:
+        self.names.append(name)
+        self.classes.append(klass)
+        self.sets.append(shingles)
+        self.keys = None
+
+    def meet(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(common, union) with every pivot."""
+        if self.keys is None:
+            self.sizes = np.array([len(s) for s in self.sets], np.int64)
+            keys, owners = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.sizes)
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.owners = keys[order], owners[order]
+        low, high = np.searchsorted(self.keys, shingles, "left"), np.searchsorted(self.keys, shingles, "right")
+        n = high - low
+        places = np.repeat(high - np.cumsum(n), n) + np.arange(int(n.sum()))
+        common = np.bincount(self.owners[places], minlength=len(self.sets))
+        return common, len(shingles) + self.sizes - common
+
+    def root(self, klass: int) -> int:
+        while self.up.get(klass, klass) != klass:
+            self.up[klass] = self.up.get(self.up[klass], self.up[klass])
+            klass = self.up[klass]
+        return klass
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+_MET = "cell long, entity long, size int, distance double, links array<struct<a:long,b:long>>, near array<struct<pivot:long,distance:double>>"
+_MET_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.struct([("pivot", pa.int64()), ("distance", pa.float64())]))]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of groups (cell, part), pivots first: each member's distances to all pivots of its group."""
+    held, pivots = None, _Pivots()
+    for batch in tk.slices(batches, most=1 << 18):
+        sets = list(_sets(batch))
+        cells, parts, members, entities, classes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "part", "member", "entity", "class"))
+        out = []
+        for r, s in enumerate(sets):
+            if (cells[r], parts[r]) != held:
+                held, pivots = (cells[r], parts[r]), _Pivots()
+            if not members[r]:
+                pivots.add(int(entities[r]), int(classes[r]), s)
+                continue
+            common, union = pivots.meet(s)
+            links = [{"a": int(classes[r]), "b": pivots.classes[k]} for k in np.flatnonzero(100 * common >= NEED * union) if pivots.join(int(classes[r]), pivots.classes[k])]
+            distance = 1 - common / union
+            least = float(distance.min())
+            near = np.flatnonzero(distance <= least + 2 * EPSILON + 1e-9)
+            near = [{"pivot": pivots.names[k], "distance": float(distance[k])} for k in near] if 1 < len(distance) and len(near) <= MOST_REPLICAS else None
+            out.append((int(cells[r]), int(entities[r]), len(s), least, links, near))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), _MET_TYPES, strict=True)], ["cell", "entity", "size", "distance", "links", "near"])
+
+
+def meet(members: DataFrame, pivots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Every member (cell, entity, class) with all pivots (the same columns) of its cell, see ``_MET``.
+
+    A cell's members are dealt to groups by a hash, and each group gets a copy of the cell's pivots.
+    """
+    parts = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+    dealt = members.join(parts, "cell").select("cell", F.pmod(F.xxhash64("entity"), F.col("parts")).alias("part"), F.lit(True).alias("member"), "entity", "class")
+    copies = pivots.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), "entity", "class")
+    rows = dealt.unionByName(copies).join(texts, "entity").select("cell", "part", "member", "entity", "class", "text")
+    return rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "member", "entity").mapInArrow(_meet, _MET)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """entity, class (smallest entity reachable) of every entity on an edge (entity, pivot): min labels with shortcuts."""
-    both = edges.select("entity", "pivot").union(edges.select("pivot", "entity")).toDF("entity", "other")
+    """entity, class (smallest entity reachable) of every entity on an edge (a, b): min labels with shortcuts."""
+    both = edges.select(F.col("a").alias("entity"), F.col("b").alias("other")).union(edges.select("b", "a"))
     both = materialize(both.distinct(), "links")
     labels = materialize(both.groupBy("entity").agg(F.least(F.col("entity"), F.min("other")).alias("class")), "classes")
     while True:
@@ -207,152 +298,76 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _compatible(size: str, other: str):
-    """Sets whose sizes differ more than this can't link."""
-    return (100 * F.least(size, other) >= NEED * F.greatest(size, other))
+def _in_windows(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their classes of now, that have somebody of another class in their window of distance and size.
 
+    Windows are EPSILON (of sizes: a factor 4/3) wide bins and their neighbours; a bin is known by its least and greatest class.
+    """
+    own = cells.join(labels, "entity", "left").withColumn("class", F.coalesce("class", "entity"))
+    own = own.withColumn("d", F.floor((F.col("distance") + 1e-9) / EPSILON)).withColumn("s", F.floor(F.log("size") / F.log(F.lit(OF / NEED)) + 1e-9))
+    bins = own.groupBy("cell", "d", "s").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    around = F.explode(F.expr("flatten(transform(sequence(d - 1, d + 1), x -> transform(sequence(s - 1, s + 1), y -> struct(x AS d, y AS s))))"))
+    wide = bins.select("cell", around.alias("at"), "low", "high").groupBy("cell", F.col("at.d").alias("d"), F.col("at.s").alias("s")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    open_ = own.join(wide, ["cell", "d", "s"]).where((F.col("low") != F.col("class")) | (F.col("high") != F.col("class")))
+    return materialize(open_.select("cell", "entity", "size", "distance", "class"), "open-cells")
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows of regions with two entities or more that share enough regions, each once.
 
-    Linked sets of n and m shingles share 1 + min(n, m) // SHARED_OF of their leading ones at least, and the smaller
-    one has 3/4 of the other's size at least. Sets that share fewer regions with all others together link with nothing. A region's
-    rows are read in order, so that no region is held in memory.
+def _elect(cells: DataFrame, turn: int) -> DataFrame:
+    """The members with ``pivot`` (is it one in this turn) and ``more`` (the cell has more to elect).
+
+    Only members outside a cell's largest class need to meet the others.
     """
-    order = Window.partitionBy("region").orderBy("entity")
-    rows = rows.withColumn("first", F.first("entity").over(order)).withColumn("next", F.lead("entity").over(order))
-    shared = rows.where((F.col("entity") != F.col("first")) | (F.col("next") != F.col("entity"))).select("region", "entity", "size").distinct()
-    shared = materialize(shared, "shared-regions")
-    for _ in range(2):  # what leaves makes others leave
-        least = 1 + F.floor(F.ceil(F.col("size") * NEED / OF) / SHARED_OF)
-        enough = shared.groupBy("entity", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("entity")
-        shared = shared.join(enough, "entity", "left_semi")
-        many = shared.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("region")
-        shared = materialize(shared.join(many, "region", "left_semi"), "shared-regions")
-    return shared
+    by_class = cells.groupBy("cell", "class").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    by_cell = by_class.groupBy("cell").agg((F.sum("n") - F.max("n")).alias("outside"), F.max_by("class", F.struct("n", "class")).alias("main"), F.greatest(F.lit(8), F.least(F.lit(PIVOTS), F.floor(F.lit(PIVOT_SHINGLES) / F.max("size")))).alias("seats"))
+    drawn = F.pmod(F.xxhash64("entity", F.lit(turn)), F.lit(1 << 30)) < (F.col("seats") / F.col("outside")) * (1 << 30)
+    rows = cells.join(by_cell, "cell")
+    return rows.select(*cells.columns, ((F.col("class") != F.col("main")) & drawn).alias("pivot"), (F.col("outside") > F.col("seats")).alias("more"))
+
+
+def _divided(elected: DataFrame, met: DataFrame) -> DataFrame:
+    """What goes on of the cells that have more to elect, without this turn's pivots: in Voronoi cells where these are smaller, else whole."""
+    left = elected.where("more AND NOT pivot").select("cell", "entity", "size", "distance")
+    near = met.select("cell", "entity", "near").join(left.select("cell", "entity"), ["cell", "entity"], "left_semi")
+    few = near.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("near"), F.lit(0))).alias("copies"), F.max(F.col("near").isNull()).alias("whole"))
+    few = few.where(~F.col("whole") & (F.col("copies") <= 2 * F.col("n"))).select("cell", "n")
+    replicas = near.join(few, "cell").select("cell", "entity", "n", F.explode("near").alias("at"))
+    largest = replicas.groupBy("cell", "n", F.col("at.pivot").alias("pivot")).agg(F.count(F.lit(1)).alias("m")).groupBy("cell", "n").agg(F.max("m").alias("m"))
+    smaller = largest.where(2 * F.col("m") <= F.col("n")).select("cell")
+    new = replicas.join(smaller, "cell", "left_semi").join(left.select("cell", "entity", "size"), ["cell", "entity"])
+    new = new.select(F.xxhash64("cell", "at.pivot").alias("cell"), "entity", "size", F.col("at.distance").alias("distance"))
+    return left.join(smaller, "cell", "left_anti").unionByName(new)
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, entity of every document; entity, class of every linked entity)."""
-    named = materialize(name_sets(docs), "sets")
-    shared = _shared(neighbourhoods(docs, _order(docs)))
-    # the pivot of a region is its first entity: every other member meets it
-    pivots = shared.groupBy("region").agg(F.min(F.struct("entity", "size")).alias("p"))
-    members = shared.join(pivots, "region").select("region", "entity", "size", F.col("p.entity").alias("pivot"), F.col("p.size").alias("pivot_size"))
-    members = materialize(members.where(F.col("entity") != F.col("pivot")), "regions")
-    empty = members.select("entity", "pivot").limit(0)
-    pairs = materialize(members.where(_compatible("size", "pivot_size")).select("entity", "pivot").distinct(), "pairs")
-    rest = _regions_with_more(members)
-    wanted = pairs.select("entity").union(pairs.select("pivot")).union(rest.select("entity")).distinct()
-    wanted = materialize(wanted, "wanted")
-    texts = materialize(_texts(docs, wanted), "texts")
-    known = materialize(distances(pairs, texts), "distances")
-    edges = known.where("linked").select("entity", "pivot")
-    if not edges.limit(1).count() and not rest.limit(1).count():
-        return named, empty.withColumnRenamed("pivot", "class")
-    return named, _recurse(members, known, texts)
-
-
-def _regions_with_more(members: DataFrame) -> DataFrame:
-    """Members of the regions that have two or more besides their pivot: the others are settled by the pivot's distances."""
-    many = members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("region")
-    return members.join(many, "region", "left_semi")
-
-
-def _mixed(regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """The regions that still hold members of different classes, with the members' classes of now."""
-    own = regions.drop("class").join(labels, "entity", "left").withColumn("class", F.coalesce("class", "entity"))
-    mixed = own.groupBy("region").agg(F.min("class").alias("a"), F.max("class").alias("b")).where(F.col("a") != F.col("b")).select("region")
-    return materialize(own.join(mixed, "region", "left_semi"), "mixed-regions")
-
-
-def _profiles(regions: DataFrame, texts: DataFrame) -> DataFrame:
-    """entity, reach, profile: bounds on what an entity can still link to, from the shingles it has alone.
-
-    All links still to be found are between entities of these regions. With u of its n shingles in no other of them, an
-    entity shares at most n - u with a set of m, and (n - u) / (m + u) >= 3/4 needs m <= (4n - 7u) / 3: its reach. Its
-    profile counts the shingles that others have, too, in BUCKETS buckets; two sets have at most the sum of the
-    buckets' minima in common.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches):
-            sets = list(_sets(batch))
-            names = np.repeat(batch.column("entity").to_numpy(), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate(sets).view(np.int64))], ["entity", "shingle"])
-
-    inside = regions.select("entity", "size").distinct()
-    texts = _only(texts, inside.select("entity"))
-    each = texts.select("entity", "text").mapInArrow(run, "entity long, shingle long")
-    held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("entity").alias("entity"))
-    alone = held.where(F.col("n") == 1).groupBy("entity", F.pmod("shingle", F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).cast("int").alias("u"))
-    alone = alone.groupBy("entity").agg(F.sum("u").alias("u"), F.map_from_entries(F.collect_list(F.struct("bucket", "u"))).alias("alone"))
-
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches):
-            rows = [np.bincount((s.view(np.int64) % BUCKETS).astype(np.int64), minlength=BUCKETS).tolist() for s in _sets(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("entity"), pa.array(rows, pa.list_(pa.int32()))], ["entity", "all"])
-
-    counts = texts.select("entity", "text").mapInArrow(buckets, "entity long, all array<int>")
-    j = inside.join(alone, "entity", "left").join(counts, "entity")
-    return j.select(
-        "entity",
-        F.floor((OF * F.col("size") - (NEED + OF) * F.coalesce("u", F.lit(0))) / NEED).alias("reach"),
-        F.transform("all", lambda n, b: n - F.coalesce(F.try_element_at("alone", b), F.lit(0))).alias("profile"),
-    )
-
-
-def _recurse(members: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
-    """Elect pivots in the regions that still hold members of different classes inside one another's window, until none does."""
-    edges = materialize(known.where("linked").select("entity", "pivot"), "edges")
+    raw = materialize(name_sets(docs), "sets")
+    named = raw.where(F.col("chunk").isNull()).select("doc_id", "n_shingles", "entity")
+    counts = merge_chunks(raw.where(F.col("chunk").isNotNull()).select("chunk", "part"), CELLS + WORD_CELLS, CHUNKS)
+    sent = docs.sparkSession.sparkContext.broadcast(Order.of(counts))
+    shared = _shared(leading_shingles(docs, sent))
+    sent.destroy()
+    cells = materialize(_first_cells(shared), "cells")
+    wanted = cells.select("entity").union(cells.select("cell")).distinct()
+    texts = materialize(_texts(docs, named, wanted), "texts")
+    members = cells.select("cell", "entity", F.col("entity").alias("class"))
+    pivots = cells.select("cell").distinct().select("cell", F.col("cell").alias("entity"), F.col("cell").alias("class"))
+    met = materialize(meet(members, pivots, texts), "met")
+    edges = met.select(F.explode("links").alias("l")).select("l.a", "l.b")
     labels = components(edges)
-    regions = _regions_with_more(members).select("region", "entity", "size", "pivot")
-    regions = regions.join(known.select("entity", "pivot", "distance"), ["entity", "pivot"], "left")
-    regions = _mixed(regions, labels)
-    if not regions.limit(1).count():
-        return labels
-    # members out of everyone's reach leave the regions
-    profiles = materialize(_profiles(regions, texts), "profiles")
-    regions = regions.join(profiles.select("entity", "reach"), "entity")
-    least = regions.groupBy("region").agg(F.min("size").alias("least"))
-    regions = _mixed(regions.join(least, "region").where(F.col("reach") >= F.col("least")).drop("least"), labels)
-    if not regions.limit(1).count():
-        return labels
-    regions = materialize(_joined(regions).join(profiles.select("entity", "profile"), "entity"), "joined-regions")
-    each = PIVOTS_PER_ROUND
+    cells, turn = met.select("cell", "entity", "size", "distance"), 0
     while True:
-        regions = _mixed(regions, labels)
-        if not regions.limit(1).count():
-            return labels
-        # pivots: a few members of each region, of different classes first (one of each class), in a hashed order
-        turn = Window.partitionBy("region", "class").orderBy(F.xxhash64("entity", F.lit(each)), "entity")
-        rank = Window.partitionBy("region").orderBy("turn", F.xxhash64("class", F.lit(each)), "entity")
-        ranked = materialize(regions.withColumn("turn", F.row_number().over(turn)).withColumn("place", F.row_number().over(rank)), "ranked-regions")
-        pivots = ranked.where(F.col("place") <= each).select("region", *[F.col(c).alias(f"p_{c}") for c in ("entity", "size", "reach", "pivot", "distance", "class", "place", "profile")])
-        window = (F.col("pivot") != F.col("p_pivot")) | F.col("distance").isNull() | F.col("p_distance").isNull() | (F.abs(F.col("distance") - F.col("p_distance")) <= EPSILON + 1e-9)
-        common = F.aggregate(F.zip_with("profile", "p_profile", lambda a, b: F.least(a, b)), F.lit(0), lambda t, x: t + x)
-        able = _compatible("size", "p_size") & (F.col("reach") >= F.col("p_size")) & (F.col("p_reach") >= F.col("size")) & ((OF + NEED) * common >= NEED * (F.col("size") + F.col("p_size")))
-        asked = ranked.join(pivots, "region").where((F.col("class") != F.col("p_class")) & (F.col("place") > F.col("p_place")) & window & able)
-        pairs = materialize(asked.select(F.greatest("entity", "p_entity").alias("entity"), F.least("entity", "p_entity").alias("pivot")).distinct(), "pairs")
-        found = materialize(distances(pairs, texts).where("linked").select("entity", "pivot"), "edges")
+        open_ = _in_windows(cells, labels)
+        if not open_.limit(1).count():
+            return named, labels
+        elected = materialize(_elect(open_, turn), "elected")
+        met = materialize(meet(elected.select("cell", "entity", "class"), elected.where("pivot").select("cell", "entity", "class"), texts), "met")
+        found = met.select(F.explode("links").alias("l")).select("l.a", "l.b")
         if found.limit(1).count():
             edges = edges.union(found)
             labels = components(edges)
-        regions = ranked.where(F.col("place") > each).drop("turn", "place")
-        each *= 4
-
-
-def _joined(regions: DataFrame) -> DataFrame:
-    """Regions that share members are joined into one, so that a pair of members is asked about once.
-
-    Each member keeps the distance to one pivot: that with the most members of the joined region.
-    """
-    first = regions.groupBy("region").agg(F.min("entity").alias("first"))
-    groups = components(regions.join(first, "region").select("entity", F.col("first").alias("pivot")).distinct())
-    rows = regions.join(groups.withColumnRenamed("class", "joined"), "entity").drop("region").withColumnRenamed("joined", "region")
-    heads = rows.groupBy("region", "pivot").agg(F.countDistinct("entity").alias("n")).groupBy("region").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("head"))
-    own = F.when(F.col("pivot") == F.col("head"), F.col("distance"))
-    return rows.join(heads, "region").groupBy("region", "entity").agg(F.first("size").alias("size"), F.first("reach").alias("reach"), F.first("head").alias("pivot"), F.max(own).alias("distance"))
+        if not elected.where("more").limit(1).count():
+            return named, labels
+        cells, turn = materialize(_divided(elected, met), "cells"), turn + 1
 
 
 def judged(docs: DataFrame) -> DataFrame:

@@ -18,34 +18,49 @@ BLOCK = 512
 PROBES = 6
 
 
-def gather(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], length: int, kind: str, merge: Callable, chunks: int = 16) -> np.ndarray:
-    """Fill one array of ``length`` for each task, merge them chunk by chunk, return the whole."""
-    size = length // chunks
+def chunk_rows(own: np.ndarray, chunks: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """A task's array as (chunk, part) columns of one row each; parts of zeros are left out."""
+    size = len(own) // chunks
+    for k in range(chunks):
+        part = own[k * size : (k + 1) * size]
+        if part.any():
+            yield pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())
 
-    def each(batches):
-        own = np.zeros(length, kind)
-        fill(batches, own)
-        for k in range(chunks):
-            part = own[k * size : (k + 1) * size]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "part"])
+
+def merge_chunks(parts: DataFrame, length: int, chunks: int, kind: str = "u4", merge: Callable = np.add) -> np.ndarray:
+    """Merge the parts (chunk, part) of all tasks chunk by chunk on executors, return the whole."""
+    size = length // chunks
 
     def together(batches):
         kept: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column("chunk").to_pylist(), batch.column("part"), strict=True):
                 new = np.frombuffer(part.as_buffer(), kind)  # no copy: parts are large
-                kept[k] = merge(kept[k], new) if k in kept else new.copy()
-        if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int32()), pa.array([x.tobytes() for x in kept.values()], pa.binary())], ["chunk", "part"])
+                if k in kept:
+                    merge(kept[k], new, out=kept[k])
+                else:
+                    kept[k] = new.copy()
+        for k, x in kept.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["chunk", "part"])
 
     whole = np.zeros(length, kind)
-    spread = df.mapInArrow(each, "chunk int, part binary").repartition(chunks, "chunk").mapInArrow(together, "chunk int, part binary")
-    for row in spread.toLocalIterator():
+    for row in parts.repartition(chunks, "chunk").mapInArrow(together, "chunk int, part binary").toLocalIterator():
         whole[row.chunk * size : (row.chunk + 1) * size] = np.frombuffer(bytes(row.part), kind)
     return whole
 
 
+def gather(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], length: int, kind: str, merge: Callable, chunks: int = 16) -> np.ndarray:
+    """Fill one array of ``length`` for each task, merge them chunk by chunk, return the whole."""
+
+    def each(batches):
+        own = np.zeros(length, kind)
+        fill(batches, own)
+        for chunk, part in chunk_rows(own, chunks):
+            yield pa.RecordBatch.from_arrays([chunk, part], ["chunk", "part"])
+
+    return merge_chunks(df.mapInArrow(each, "chunk int, part binary"), length, chunks, kind, merge)
+
+
 class BlockedBloom:
     """A Bloom filter whose probes for a key all lie in one 512-bit block."""
 

@@ -15,6 +15,7 @@ SLICE_BYTES = 1 << 19
 _RNG = np.random.default_rng(20240229)
 BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 PLACE_CODES = _RNG.integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
+FAR_CODE = np.uint64(0x9E3779B97F4A7C15)
 SHINGLE_CODES = _RNG.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -94,7 +95,10 @@ class Words:
         if not len(self.start):
             return np.zeros(0, np.uint64)
         place = self.places()
-        values = BYTE_CODES[self.bytes] * PLACE_CODES[place & 4095]
+        codes = PLACE_CODES[place & 4095]
+        if place.size and place.max() > 4095:  # long words: each further stretch of places has codes of its own
+            codes += (place >> 12).astype(np.uint64) * FAR_CODE
+        values = BYTE_CODES[self.bytes] * codes
         values[~self.table[self.raw]] = 0
         size = self.end - self.start
         if prefix is None:

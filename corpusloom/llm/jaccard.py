@@ -149,35 +149,24 @@ def leading_shingles(docs: DataFrame, sent) -> DataFrame:
     return docs.select("text").mapInArrow(run, "shingle long, entity long, size int")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows of shingles with two entities or more, of entities that share enough of them, each once.
+def _known_pivots(rows: DataFrame) -> DataFrame:
+    """cell (its pivot), entity, size, with a row for the pivot itself: every entity in the cells of the pivots it knows.
 
-    Linked sets of n and m shingles share 1 + min(n, m) // SHARED_OF of their leading ones at least, and the smaller
-    one has 3/4 of the other's size at least. Sets that share fewer shingles with all others together link with nothing. A shingle's
-    rows are read in order, so that they aren't held in memory.
+    A shingle's rows are read in order, so that they aren't held in memory; its first entity is the pivot. Linked sets of n and m shingles
+    share 1 + min(n, m) // SHARED_OF of their leading ones at least, and the smaller one has 3/4 of the other's size at least: sets
+    that share fewer shingles with all others together link with nothing.
     """
     order = Window.partitionBy("shingle").orderBy("entity")
-    rows = rows.withColumn("first", F.first("entity").over(order)).withColumn("next", F.lead("entity").over(order))
-    shared = rows.where((F.col("entity") != F.col("first")) | (F.col("next") != F.col("entity"))).select("shingle", "entity", "size").distinct()
-    shared = materialize(shared, "shared-shingles")
-    for _ in range(2):  # what leaves makes others leave
-        least = 1 + F.floor(F.ceil(F.col("size") * NEED / OF) / SHARED_OF)
-        enough = shared.groupBy("entity", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("entity")
-        shared = shared.join(enough, "entity", "left_semi")
-        many = shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("shingle")
-        shared = materialize(shared.join(many, "shingle", "left_semi"), "shared-shingles")
-    return shared
-
-
-def _first_cells(shared: DataFrame) -> DataFrame:
-    """cell (its pivot), entity, size: every entity in the cells of the pivots it knows; no cell with one pair whose sizes don't fit."""
-    pivots = shared.groupBy("shingle").agg(F.min(F.struct("entity", "size")).alias("p"))
-    rows = shared.join(pivots, "shingle").where(F.col("entity") != F.col("p.entity"))
-    cells = rows.groupBy(F.col("p.entity").alias("cell"), "entity").agg(F.first("size").alias("size"), F.first("p.size").alias("pivot_size"))
-    cells = materialize(cells, "known-pivots")
-    fits = 100 * F.least("size", "pivot_size") >= NEED * F.greatest("size", "pivot_size")
-    wide = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("cell", F.lit(True).alias("wide"))
-    return cells.join(wide, "cell", "left").where(fits | F.col("wide")).select("cell", "entity", "size")
+    rows = rows.withColumn("p", F.first(F.struct("entity", "size")).over(order)).withColumn("before", F.lag("entity").over(order)).withColumn("next", F.lead("entity").over(order))
+    own, is_pivot = F.col("entity"), F.col("entity") == F.col("p.entity")
+    once = rows.where(F.when(is_pivot, F.col("next") != own).otherwise(F.col("before") != own))
+    known = once.groupBy(F.col("p.entity").alias("cell"), "entity", "size", F.col("p.size").alias("pivot_size")).agg(F.count(F.lit(1)).alias("n"))
+    known = materialize(known, "known-pivots")
+    least = 1 + F.floor(F.ceil(F.first("size") * NEED / OF) / SHARED_OF)
+    enough = known.groupBy("entity").agg(F.sum("n").alias("n"), least.alias("least")).where("n >= least").select("entity")
+    members = known.where(F.col("entity") != F.col("cell")).join(enough, "entity", "left_semi")
+    pivots = members.groupBy("cell").agg(F.first("pivot_size").alias("size")).select("cell", F.col("cell").alias("entity"), "size")
+    return members.select("cell", "entity", "size").unionByName(pivots)
 
 
 def _texts(docs: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -302,9 +291,10 @@ def _in_windows(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """The members, with their classes of now, that have somebody of another class in their window of distance and size.
 
     Windows are EPSILON (of sizes: a factor 4/3) wide bins and their neighbours; a bin is known by its least and greatest class.
+    Before distances are known, all are null and windows are of sizes alone.
     """
     own = cells.join(labels, "entity", "left").withColumn("class", F.coalesce("class", "entity"))
-    own = own.withColumn("d", F.floor((F.col("distance") + 1e-9) / EPSILON)).withColumn("s", F.floor(F.log("size") / F.log(F.lit(OF / NEED)) + 1e-9))
+    own = own.withColumn("d", F.floor((F.coalesce("distance", F.lit(0.0)) + 1e-9) / EPSILON)).withColumn("s", F.floor(F.log("size") / F.log(F.lit(OF / NEED)) + 1e-9))
     bins = own.groupBy("cell", "d", "s").agg(F.min("class").alias("low"), F.max("class").alias("high"))
     around = F.explode(F.expr("flatten(transform(sequence(d - 1, d + 1), x -> transform(sequence(s - 1, s + 1), y -> struct(x AS d, y AS s))))"))
     wide = bins.select("cell", around.alias("at"), "low", "high").groupBy("cell", F.col("at.d").alias("d"), F.col("at.s").alias("s")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -344,9 +334,9 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = raw.where(F.col("chunk").isNull()).select("doc_id", "n_shingles", "entity")
     counts = merge_chunks(raw.where(F.col("chunk").isNotNull()).select("chunk", "part"), CELLS + WORD_CELLS, CHUNKS)
     sent = docs.sparkSession.sparkContext.broadcast(Order.of(counts))
-    shared = _shared(leading_shingles(docs, sent))
+    known = materialize(_known_pivots(leading_shingles(docs, sent)).withColumn("distance", F.lit(None).cast("double")), "known-cells")
     sent.destroy()
-    cells = materialize(_first_cells(shared), "cells")
+    cells = _in_windows(known, known.select("entity", F.col("entity").alias("class")).limit(0)).where(F.col("entity") != F.col("cell"))
     wanted = cells.select("entity").union(cells.select("cell")).distinct()
     texts = materialize(_texts(docs, named, wanted), "texts")
     members = cells.select("cell", "entity", F.col("entity").alias("class"))

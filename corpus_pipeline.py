@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages from documents to a training mix, each by one operator of ``corpusloom.llm``."""
+"""The corpus pipeline: five stages from documents to a training mix, each by one operator of ``corpusloom.llm``.
+
+Defined cases of every stage: an empty table goes through as an empty table of the same columns. Null and empty texts are documents: the classifier
+judges them like any others, they link with nothing, hold no benchmark item and no secret, and have size 0. Very long texts are read whole.
+Repeated rows of a doc_id are one document from the second stage on; rows with a null doc_id are kept each for itself. Of equal documents the
+smallest doc_id stays. Extra columns, whatever their names, come through the first four stages unchanged; in the last, those
+named like a column of the mix give way to it.
+"""
 
 from __future__ import annotations
 
@@ -32,8 +39,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Taken words and training positions of all documents, in training order."""
-    return mixing.mix(docs)
+    """Taken words, training positions and texts of all documents, in training order."""
+    return mixing.mix(docs, carry=True)
 
 
 STAGES = [

@@ -5,7 +5,8 @@ become typed placeholders. Windows of eight template tokens are hash-joined. For
 document and an item that share enough windows, the slots of the matched windows are laid side by side. They
 are consistent if nearly all of an item value's slots hold one value of the document, and most slots of
 a document value stand for one value of the item. The pair is a leak if, at one place of the document, windows with consistent slots
-reach the coverage, or if windows that are the same word for word reach VERBATIM, whatever the slots say.
+reach the coverage, or if windows that are the same word for word reach VERBATIM, whatever the slots say. Where words were put in or left out, parts
+of a copy lie side by side with different shifts; their slots must be consistent together, unless one part alone reaches VERBATIM.
 So questions with exchanged parameters are found, too.
 
 A window with too few plain tokens (rich in numbers, names or units) has a template that says too little; it is joined by its tokens
@@ -14,7 +15,8 @@ coverage on the windows joined by template alone, as exchanged parameters leave
 
 Defined cases: null texts count as empty and match nothing; an item shorter than a window is one window of its length; an
 item without tokens matches nothing; an item all of whose windows are joined by their tokens matches exact copies only; repeated rows of a document count once; equal item ids are told apart by
-text, as items of their own.
+text, as items of their own; very long texts are read whole; a pair that leaks at several places is reported once, by its best place; other columns
+don't take part; an empty table on either side gives no pair.
 """
 
 from __future__ import annotations
@@ -79,7 +81,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return rows.withColumn("size", F.least(F.size("toks"), F.lit(WINDOW))).where(F.col("size") > 0).select("item_key", "item_id", "toks", "codes", "size")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, verbatim: float = VERBATIM) -> DataFrame:
     """The leaking pairs: doc_id, item_id, matched (windows of the item), n_windows, coverage, n_slots, n_changed (slots with another value).
 
     All counts are of the windows joined by template if these reach the coverage, else of all windows.
@@ -106,10 +108,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     pairs = pairs.where(by_plain | (F.col("all") >= coverage * F.col("n_all")))
     pairs = pairs.select("doc_id", "item_key", F.when(by_plain, F.col("plain")).otherwise(F.col("all")).alias("matched"), F.when(by_plain, F.col("n_plain")).otherwise(F.col("n_all")).alias("n_windows"), by_plain.alias("by_template"))
     pairs = materialize(pairs, "leak-pairs")
-    return _consistent(docs, items, marks, sizes, pairs, needed, coverage)
+    return _consistent(docs, items, marks, sizes, pairs, needed, coverage, verbatim)
 
 
-def _consistent(docs: DataFrame, items: DataFrame, marks: DataFrame, sizes: list[tuple[int, bool]], pairs: DataFrame, needed: DataFrame, coverage: float) -> DataFrame:
+def _consistent(docs: DataFrame, items: DataFrame, marks: DataFrame, sizes: list[tuple[int, bool]], pairs: DataFrame, needed: DataFrame, coverage: float, verbatim: float) -> DataFrame:
     """Keep the pairs that reach the coverage at some place of the document, by windows with consistent slots or word for word."""
     wanted = pairs.select("doc_id").distinct()
     if small_enough(wanted, BROADCAST_PAIRS):
@@ -134,11 +136,7 @@ def _consistent(docs: DataFrame, items: DataFrame, marks: DataFrame, sizes: list
     place = ["doc_id", "doc_key", "item_key", "item_id", "reach", "shift"]
     whole = steps.groupBy(*place).agg(F.countDistinct(F.when(F.col("counts"), F.col("window"))).alias("here"))
     slots = steps.where("counts").select(*place, F.explode("slots").alias("s")).select(*place, "s.*").distinct()
-    values = slots.groupBy(*place, "kind", "ours", "theirs").agg(F.count(F.lit(1)).alias("n"))
-    by_ours = values.groupBy(*place, "kind", "ours").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.sum(F.when(F.col("ours") != F.col("theirs"), F.col("n")).otherwise(0)).alias("changed")).groupBy(*place).agg(F.sum("most").alias("most_theirs"), F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed"))
-    by_theirs = values.groupBy(*place, "kind", "theirs").agg(F.max("n").alias("most")).groupBy(*place).agg(F.sum("most").alias("most_ours"))
-    places = whole.join(by_ours, place, "left").join(by_theirs, place, "left").na.fill(0, ["n_slots", "n_changed", "most_theirs", "most_ours"])
-    places = places.withColumn("consistent", (F.col("most_theirs") >= CONSISTENT * F.col("n_slots")) & (F.col("most_ours") >= APART * F.col("n_slots")))
+    places = whole.join(_agreement(slots, place), place, "left").na.fill(0, ["n_slots", "n_changed"]).na.fill(True, ["consistent"])
     # words put in or left out move the shift: windows count together if their shifts are at most the item's length apart
     nth = F.floor(F.col("shift") / F.col("reach"))
     spots = F.explode(F.array(nth, nth + 1)).alias("spot")
@@ -146,8 +144,26 @@ def _consistent(docs: DataFrame, items: DataFrame, marks: DataFrame, sizes: list
     covered = steps.join(places.select("doc_key", "item_key", "shift", "consistent"), ["doc_key", "item_key", "shift"]).select("doc_key", "item_key", "window", "exact", "same", "consistent", spots)
     covered = covered.groupBy(*spot, "window").agg(F.max("exact").alias("exact"), F.max("same").alias("same"), F.max("consistent").alias("consistent"))
     covered = covered.groupBy(*spot).agg(F.count_if(F.col("consistent") & ~F.col("exact")).alias("plain"), F.count_if("consistent").alias("all"), F.count_if("same").alias("same")).join(needed, "item_key")
-    reached = ((F.col("n_plain") > 0) & (F.col("plain") >= coverage * F.col("n_plain"))) | (F.col("all") >= coverage * F.col("n_all")) | (F.col("same") >= max(coverage, VERBATIM) * F.col("n_all"))
+    # the slots of all consistent parts of a spot together, and the share of the part that reaches furthest
+    parts = places.where("consistent").select(*place, spots)
+    together = _agreement(slots.join(parts, place).select(*spot, "kind", "k", "ours", "theirs").distinct(), spot).select(*spot, F.col("consistent").alias("together"))
+    alone = parts.join(places.select(*place, "here"), place).groupBy(*spot).agg(F.max("here").alias("alone"))
+    covered = covered.join(together, spot, "left").join(alone, spot, "left")
+    agreed = F.coalesce("together", F.lit(True)) | (F.coalesce("alone", F.lit(0)) >= verbatim * F.when(F.col("n_plain") > 0, F.col("n_plain")).otherwise(F.col("n_all")))
+    by_slots = ((F.col("n_plain") > 0) & (F.col("plain") >= coverage * F.col("n_plain"))) | (F.col("all") >= coverage * F.col("n_all"))
+    reached = (by_slots & agreed) | (F.col("same") >= max(coverage, verbatim) * F.col("n_all"))
     places = places.select("*", spots).join(covered.where(reached).select(*spot), spot, "left_semi")
     best = places.groupBy("doc_id", "item_key", "item_id").agg(F.max(F.struct("consistent", "here", "n_slots", (-F.col("n_changed")).alias("kept"))).alias("b"))
     out = best.join(pairs, ["doc_id", "item_key"])
     return out.select("doc_id", "item_id", "matched", "n_windows", F.round(F.col("matched") / F.col("n_windows"), 6).alias("coverage"), F.col("b.n_slots").alias("n_slots"), (-F.col("b.kept")).alias("n_changed"))
+
+
+def _agreement(slots: DataFrame, by: list[str]) -> DataFrame:
+    """n_slots, n_changed and consistent of each group of slots (kind, ours, theirs)."""
+    values = slots.groupBy(*by, "kind", "ours", "theirs").agg(F.count(F.lit(1)).alias("n"))
+    changed = F.sum(F.when(F.col("ours") != F.col("theirs"), F.col("n")).otherwise(0))
+    by_ours = values.groupBy(*by, "kind", "ours").agg(F.max("n").alias("most"), F.sum("n").alias("n"), changed.alias("changed"))
+    by_ours = by_ours.groupBy(*by).agg(F.sum("most").alias("most_theirs"), F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed"))
+    by_theirs = values.groupBy(*by, "kind", "theirs").agg(F.max("n").alias("most")).groupBy(*by).agg(F.sum("most").alias("most_ours"))
+    consistent = (F.col("most_theirs") >= CONSISTENT * F.col("n_slots")) & (F.col("most_ours") >= APART * F.col("n_slots"))
+    return by_ours.join(by_theirs, by).select(*by, "n_slots", "n_changed", consistent.alias("consistent"))

@@ -5,7 +5,8 @@ hashed counts of whole words, prefixes and suffixes; Viterbi with a switching pe
 the document's language is the one that labels most words.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; equal word counts go to the larger total
-score, then to the first language in code point order; without any text to learn from every text is ``und``.
+score, then to the first language in code point order; of equally good paths that with one label throughout counts; repeated rows each get
+the same answer; very long texts are walked whole; other columns don't take part; without any text to learn from every text is ``und``.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ UNITS = 5
 SWITCH = 12.0
 #: A language is a candidate for a script that holds at least this share of its words.
 SCRIPT_SHARE = 0.01
-# Lead bytes of UTF-8 by script; 0 Latin, 1 Greek, 2 Cyrillic, 3 Hebrew and Arabic, 4 Indic, 5 Kana, 6 Han, 7 Hangul.
+# Lead bytes of UTF-8 by script; 0 Latin (and what lead bytes 0xE1 and 0xE2 begin), 1 Greek, 2 Cyrillic, 3 Hebrew and Arabic, 4 Indic, Thai and Lao, 5 Kana, 6 Han, 7 Hangul.
 SCRIPTS = 8
 _SCRIPT = np.zeros(256, np.int64)
 _SCRIPT[0xCD:0xD0] = 1
@@ -50,7 +51,7 @@ def _units(words: tk.Words) -> np.ndarray:
 
 
 def _scripts(words: tk.Words) -> np.ndarray:
-    """Each word's script: that of its first byte, or of its second character if it starts with ASCII or Latin."""
+    """Each word's script: that of its first byte."""
     return _SCRIPT[words.bytes[words.start]]
 
 
@@ -119,7 +120,7 @@ def viterbi(scores: list[np.ndarray], penalty: float = SWITCH) -> list[np.ndarra
     most, k = int(lengths[0]), scores[0].shape[1]
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     flat = np.concatenate([scores[i] for i in order])
-    came = np.zeros(flat.shape, np.int8)
+    came = np.zeros(flat.shape, np.int32)
     best = np.zeros((len(order), k))
     label = np.arange(k)
     for t in range(most):
@@ -133,7 +134,7 @@ def viterbi(scores: list[np.ndarray], penalty: float = SWITCH) -> list[np.ndarra
         stay = best[:live] >= jump[:, None]
         came[at] = np.where(stay, label, top[:, None])
         best[:live] = np.where(stay, best[:live], jump[:, None]) + flat[at]
-    path = np.zeros(len(flat), np.int8)
+    path = np.zeros(len(flat), np.int32)
     now = best.argmax(1)
     for t in range(most - 1, -1, -1):
         live = int(np.searchsorted(-lengths, -t, side="left"))
@@ -141,7 +142,7 @@ def viterbi(scores: list[np.ndarray], penalty: float = SWITCH) -> list[np.ndarra
         path[at] = now[:live]
         if t:
             now[:live] = came[at, now[:live]]
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(order)
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(order)
     for j, i in enumerate(order):
         out[i] = path[first[j] : first[j] + lengths[j]]
     return out
@@ -150,16 +151,20 @@ def viterbi(scores: list[np.ndarray], penalty: float = SWITCH) -> list[np.ndarra
 def label_words(words: tk.Words, scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
     """Each word's label on its document's best path.
 
-    A document keeps one label throughout if no stretch of words gains more than the penalty under another
-    label (the largest sub-sum of score differences, for all documents at once); only the others are walked.
+    A document keeps its best single label throughout where no other path can be better, so that only the others are walked. A path that
+    uses the best label somewhere gains at most its stretches under other labels, each of which costs a penalty: none pays if no stretch
+    of words gains more than the penalty. A path that never uses it changes labels at least once and gains at most its first stretch, its
+    last one, and stretches between that pay a penalty each: it can't pay if the best start and the best end together gain no more than the penalty.
     """
     n, k = words.rows, scores.shape[1]
     total = np.zeros((n, k))
     for l in range(k):
         total[:, l] = np.bincount(words.doc, weights=scores[:, l], minlength=n)
     main = total.argmax(1)
-    path = main[words.doc].astype(np.int8)
+    path = main[words.doc].astype(np.int32)
     mixed = np.zeros(n, bool)
+    starts, ends = np.zeros(n), np.zeros(n)
+    held = np.flatnonzero(words.count)
     for l in range(k):
         gain = scores[:, l] - scores[np.arange(len(scores)), main[words.doc]]
         run = np.cumsum(gain)
@@ -167,6 +172,11 @@ def label_words(words: tk.Words, scores: np.ndarray, penalty: float = SWITCH) ->
         apart = words.doc * (2.0 * (np.abs(run).max(initial=0.0) + 1.0))  # keeps the running minimum inside a document
         lowest = np.minimum.accumulate(before - apart) + apart
         np.logical_or.at(mixed, words.doc, run - lowest > penalty)
+        if len(held):
+            first = words.first[held]
+            starts[held] = np.maximum(starts[held], np.maximum.reduceat(run, first) - before[first])
+            ends[held] = np.maximum(ends[held], run[words.first[held + 1] - 1] - np.minimum.reduceat(before, first))
+    mixed |= starts + ends > penalty
     rows = np.flatnonzero(mixed)
     for r, labels in zip(rows, viterbi([scores[words.first[r] : words.first[r + 1]] for r in rows], penalty), strict=True):
         path[words.first[r] : words.first[r + 1]] = labels

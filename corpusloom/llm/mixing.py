@@ -5,7 +5,8 @@ The schedule is integrated, each source's cumulative token demand is inverted to
 which a token is due, and documents are range-sorted by that position.
 
 Defined cases: null or empty text has size 0 and takes 0 words; a null source is a source of its
-own, ordered last; repeated rows count each; an empty table gives an empty result.
+own, ordered last; repeated rows count each; documents of equal id and size are dealt side by side in any order, which changes no row's
+result; very long texts count whole; other columns are left out, or carried on request; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
 ROWS_PER_BUCKET = 4096
+OWN = ("size", "source_size", "target", "taken", "position", "positions")
+SCRATCH = ("d_source", "ordinal", "n_docs", "unit", "bucket", "bucket_before", "before")
 #: Relative weight of a source at times 0, 1/2 and 1; repeated over the sources like WEIGHTS.
 SCHEDULES = ((1.0, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 2.0))
 
@@ -73,20 +76,25 @@ def _due(knots: Sequence[float], start: Column, lap: Column, e: Column) -> Colum
     return _inverse(knots, F.least(start + e * lap, F.lit(1.0)))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MOST_EPOCHS, schedules: Sequence[Sequence[float]] = SCHEDULES, sort: bool = True) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MOST_EPOCHS, schedules: Sequence[Sequence[float]] = SCHEDULES, sort: bool = True, carry: bool = False) -> DataFrame:
     """Assign every document its taken words and training position.
 
     Returns doc_id, source, size, source_size, target, taken, position (of its first copy; 1 if it has
     none) and positions (of each copy). Within a source, documents are
     dealt in the order of a hash. Running word totals are built in two levels (buckets of about
     ROWS_PER_BUCKET rows, then rows of a bucket), so no source is ever in one task. All documents take
-    the target's whole multiples; the rest is taken in order up to the exact word.
+    the target's whole multiples; the rest is taken in order up to the exact word. With ``carry`` the documents' other columns (their texts)
+    follow; those named like one of the mix's own give way to it.
     """
-    sizes = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long").alias("size")), "mix-sizes")
+    own = [F.col("doc_id"), F.col("source").cast("string").alias("source"), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long").alias("size")]
+    sizes = materialize(docs.select(*own), "mix-sizes")
     targets = materialize(source_targets(sizes, weights, epochs), "mix-targets")
     deal = F.xxhash64(F.lit("deal"), F.col("doc_id"), F.col("size"))
     unit = (F.shiftrightunsigned(deal, 11).cast("double")) / F.lit(float(1 << 53))
     bucket = F.floor(unit * F.ceil(F.col("n_docs") / F.lit(ROWS_PER_BUCKET))).cast("long")
+    taken_names = {"doc_id", "source", *OWN, *SCRATCH}
+    carried = [c for c in docs.columns if c.lower() not in taken_names] if carry else []
+    sizes = docs.select(*own, *carried) if carry else sizes
     # one row a source: small beside the documents, but its size isn't known beforehand, so the optimizer chooses the join
     rows = sizes.withColumnRenamed("source", "d_source").join(targets, F.col("d_source").eqNullSafe(F.col("source")), "left").drop("d_source")
     rows = rows.withColumn("unit", unit).withColumn("bucket", bucket)
@@ -105,5 +113,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MOST_
     for k, knots in enumerate(schedules):
         one = F.transform(laps, partial(_due, knots, start, lap))
         positions = one if positions is None else F.when(F.col("ordinal") % len(schedules) == k, one).otherwise(positions)
-    out = rows.withColumn("positions", positions).select("doc_id", "source", "size", "source_size", "target", "taken", F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(1.0)).alias("position"), "positions")
+    out = rows.withColumn("positions", positions).select("doc_id", "source", "size", "source_size", "target", "taken", F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(1.0)).alias("position"), "positions", *carried)
     return out.orderBy("position", "source", "doc_id") if sort else out

@@ -2,9 +2,10 @@
 
 Features are measured on whole texts. Shallow trees on one feature at a time are boosted in cycles; their
 sum is a lookup table for each feature. Pairs with the largest gain on the residuals get tables of two
-dimensions in the same way. A text is scored by adding up the table entries of its bins.
+dimensions, sums of shallow trees over both features. A text is scored by adding up the table entries of its bins.
 
-Defined cases: null text counts as empty; an empty text has zero features and a score like any other; if no labelled
+Defined cases: null text counts as empty; an empty text has zero features and a score like any other; a text's features don't depend on the rows
+beside it; repeated rows score alike; very long texts are read whole; if no labelled
 row (or a single class) is there to learn from, every score is the share of label 1, or 0.5 without labels.
 """
 
@@ -58,12 +59,26 @@ def features(column: pa.Array) -> np.ndarray:
         return np.bincount(words.doc, weights=values, minlength=n) / count
 
     out[:, 0] = np.log1p(words.count)
+    for k, table in ((2, _LETTER), (3, _UPPER), (4, _DIGIT), (5, _SYMBOL), (6, _PIPE), (7, _MARK), (17, _ACCENT)):
+        out[:, k] = share(table)
+    # lines: their repeats, and words to a line
+    feeds = np.flatnonzero(raw == 10)
+    starts = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], feeds[feeds + 1 < len(raw)] + 1]))
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    codes = tk.PLACE_CODES[place & 4095] + (place >> 12).astype(np.uint64) * tk.FAR_CODE
+    line_row = np.searchsorted(offsets, starts, side="right") - 1
+    line = tk.mix(np.add.reduceat(tk.BYTE_CODES[raw] * codes, starts))
+    lo = np.lexsort((line, line_row))
+    same = np.zeros(len(line), bool)
+    same[1:] = (line[lo][1:] == line[lo][:-1]) & (line_row[lo][1:] == line_row[lo][:-1])
+    lines = np.maximum(np.bincount(line_row, minlength=n), 1)
+    out[:, 12] = np.bincount(line_row[lo], weights=same, minlength=n) / lines
+    out[:, 13] = np.log1p(words.count / lines)
     if not len(words.start):
         return out
+    # words: a text without any has zeros here, alone as among others
     length = words.end - words.start
     out[:, 1] = per_word(length)
-    for k, table in ((2, _LETTER), (3, _UPPER), (4, _DIGIT), (5, _SYMBOL), (6, _PIPE), (7, _MARK)):
-        out[:, k] = share(table)
     h = words.hashes()
     order = np.lexsort((h, words.doc))
     hs, ds = h[order], words.doc[order]
@@ -82,22 +97,10 @@ def features(column: pa.Array) -> np.ndarray:
     run = np.zeros(n)
     np.maximum.at(run, words.doc[edge], np.diff(np.append(edge, len(h))))
     out[:, 11] = np.log1p(run)
-    feeds = np.flatnonzero(raw == 10)
-    starts = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], feeds[feeds + 1 < len(raw)] + 1]))
-    place = np.arange(len(raw)) - np.repeat(np.append(starts, len(raw))[:-1], np.diff(np.append(starts, len(raw)))) if starts[0] == 0 else np.arange(len(raw))
-    line_row = np.searchsorted(offsets, starts, side="right") - 1
-    line = tk.mix(np.add.reduceat(tk.BYTE_CODES[raw] * tk.PLACE_CODES[place & 4095], starts))
-    lo = np.lexsort((line, line_row))
-    same = np.zeros(len(line), bool)
-    same[1:] = (line[lo][1:] == line[lo][:-1]) & (line_row[lo][1:] == line_row[lo][:-1])
-    lines = np.maximum(np.bincount(line_row, minlength=n), 1)
-    out[:, 12] = np.bincount(line_row[lo], weights=same, minlength=n) / lines
-    out[:, 13] = np.log1p(words.count / lines)
     out[:, 14] = per_word(length > 20)
     ends = raw[words.end - 1]
     out[:, 15] = per_word(_SYMBOL[ends] | ((ends == ord("!")) & (length > 1) & _MARK[raw[np.maximum(words.end - 2, 0)]]))
     out[:, 16] = per_word(_UPPER[raw[words.start]] & _UPPER[raw[np.minimum(words.start + 1, len(raw) - 1)]] & (length > 1))
-    out[:, 17] = share(_ACCENT)
     return out
 
 
@@ -152,8 +155,29 @@ def _tree(g: np.ndarray, h: np.ndarray, splits: int = 2) -> np.ndarray:
     return out
 
 
+def _cut(g: np.ndarray, h: np.ndarray) -> tuple[float, int, int]:
+    """(gain, axis, place) of the best straight cut of a block of cells; gain 0 if none helps."""
+    best = (0.0, 0, 0)
+    for axis in (0, 1):
+        G, H = np.cumsum(g.sum(1 - axis)), np.cumsum(h.sum(1 - axis))
+        if len(G) > 1:
+            gain = G[:-1] ** 2 / (H[:-1] + 1) + (G[-1] - G[:-1]) ** 2 / (H[-1] - H[:-1] + 1) - G[-1] ** 2 / (H[-1] + 1)
+            c = int(np.argmax(gain))
+            best = max(best, (float(gain[c]), axis, c + 1), key=lambda b: b[0])
+    return best
+
+
+def _pair_tree(g: np.ndarray, h: np.ndarray, depth: int = 2) -> np.ndarray:
+    """A shallow tree over the cells of two features: straight cuts to ``depth``, Newton steps as leaves."""
+    gain, axis, c = _cut(g, h) if depth else (0.0, 0, 0)
+    if gain <= 1e-9:
+        return np.full(g.shape, g.sum() / (h.sum() + 1))
+    parts = [_pair_tree(a, b, depth - 1) for a, b in zip(np.split(g, [c], axis), np.split(h, [c], axis), strict=True)]
+    return np.concatenate(parts, axis)
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> Additive:
-    """Boost one-feature trees in cycles, then tables of the strongest pairs; classes count alike."""
+    """Boost one-feature trees in cycles, then shallow two-feature trees of the strongest pairs; classes count alike."""
     n = x.shape[1] if x.ndim == 2 else len(FEATURES)
     share = float(y.mean()) if len(y) else 0.5
     if not len(y) or share in (0.0, 1.0):
@@ -190,9 +214,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
             p = 1 / (1 + np.exp(-margin))
             g = np.bincount(cell, weights=weight * (y - p), minlength=(PAIR_BINS + 1) ** 2)
             h = np.bincount(cell, weights=weight * p * (1 - p), minlength=(PAIR_BINS + 1) ** 2)
-            step = RATE * g / (h + 5)
-            pair_tables[k] += step.reshape(PAIR_BINS + 1, PAIR_BINS + 1)
-            margin += step[cell]
+            step = RATE * _pair_tree(g.reshape(PAIR_BINS + 1, -1), h.reshape(PAIR_BINS + 1, -1))
+            pair_tables[k] += step
+            margin += step.ravel()[cell]
     # classes were weighted alike, so 1/2 divides them best: move that point to the threshold of the contract
     base += float(np.log(THRESHOLD / (1 - THRESHOLD)))
     return Additive(base, edges, tables, pairs, pair_edges, pair_tables)
@@ -207,29 +231,36 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Additive:
             x = features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["label", "x"])
 
-    got = sample.mapInArrow(measure, "label int, x array<double>").orderBy("label", "x").toArrow()
+    got = sample.mapInArrow(measure, "label int, x array<double>").toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-    return fit(x, np.array(got.column("label").to_pylist(), dtype=float))
+    y = np.array(got.column("label").to_pylist(), dtype=float)
+    order = np.lexsort((*x.T, y))  # sums in one order, however the rows came
+    return fit(x[order], y[order])
+
+
+def _scores(model: Additive, batch: pa.RecordBatch) -> np.ndarray:
+    return np.round(model.score(features(batch.column("text"))), 9)
 
 
 def score(docs: DataFrame, model: Additive) -> DataFrame:
-    """The documents with score and predicted; all their columns stay."""
+    """The documents with score and predicted; all their other columns stay, columns of these names give way."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted")])
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches):
-            s = np.round(model.score(features(batch.column("text"))), 9)
+            s = _scores(model, batch)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     return docs.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, model: Additive) -> DataFrame:
-    """The documents whose score reaches the threshold, with all their columns and nothing added."""
+    """The documents whose score (as ``score`` gives it) reaches the threshold, with all their columns and nothing added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches):
-            yield batch.filter(pa.array(model.score(features(batch.column("text"))) >= THRESHOLD))
+            yield batch.filter(pa.array(_scores(model, batch) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import chat, decontamination, fingerprints, jaccard, language, mixing, quality, secrets, toxicity, urlfilter
-from corpusloom.storage import shared_dir
+from corpusloom.storage import materialize, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +24,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", HOSTILE), (-7, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
     messages = chat.linear_tree(given.unionByName(extra))
-    return chat.digest(chat.read_back(chat.format_paths(messages, chat.paths(messages))))
+    return chat.digest(chat.read_back(chat.format_paths(messages, chat.paths(messages, unique=True), unique=True)))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,8 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    return urlfilter.judge(pages, urlfilter.listing(pages))
+    listed = urlfilter.listing(pages).unionByName(urlfilter.mirrored(pages)).distinct()
+    return urlfilter.judge(pages, materialize(listed, "listed-urls"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +101,12 @@ WITH cut AS (
     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule,
-    regexp_matches(host, '(^|\.)(casino-win|free-bets|ads-track|spam-farm|cheap-pills|adult-x)\.') AS listed FROM parts
+    regexp_matches(host, '(^|\.)(casino-win|free-bets|ads-track|spam-farm|cheap-pills|adult-x)\.') AS named,
+    regexp_replace(regexp_replace(host, ':\d+$', ''), '^(www|m|blog)\.', '') || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/+$', '') AS canonical FROM parts
+), judged AS (
+  SELECT *, canonical IN (SELECT canonical FROM ruled WHERE named UNION ALL SELECT canonical FROM ruled WHERE host <> '' GROUP BY canonical HAVING count(DISTINCT host) >= 2) AS listed FROM ruled
 )
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM ruled
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM judged
 """
 
 _CODES = """list_transform({0}, lambda t, i: CASE WHEN t < ':' THEN '1' WHEN t = lower(t) THEN CASE WHEN t IN ({1}) AND i > 1 AND {0}[i - 1] < ':' THEN '2' ELSE t END

@@ -9,6 +9,8 @@ from corpusloom.storage import materialize
 
 #: A classifier is fitted on at most this many labelled rows.
 FIT_ROWS = 24_000
+#: The label model of weak supervision sees at most this many rows besides, without their labels.
+UNLABELLED_ROWS = 8_000
 
 
 def remainder(folds: int) -> Column:
@@ -26,3 +28,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: i
     known = known.where(remainder(folds) != held).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id").limit(rows)
     return materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"), f"sample-{label}")
+
+
+def unlabelled(docs: DataFrame, folds: int, held: int, rows: int = UNLABELLED_ROWS) -> DataFrame:
+    """text of at most ``rows`` documents outside the held-out fold, whether labelled or not, taken in the order of a hash."""
+    known = docs.select("doc_id").where(F.col("doc_id").isNotNull() & (remainder(folds) != held)).distinct()
+    chosen = known.orderBy(F.xxhash64(F.lit("more"), "doc_id"), "doc_id").limit(rows)
+    return materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text"), "sample-unlabelled")

@@ -6,7 +6,8 @@ the blobs that the ledger lacks for the current rule version, then joins finding
 (document rows) that hold the blob.
 
 Defined cases: null text counts as empty; an empty text has no finding; repeated rows share their blob and
-each get its findings; an empty table writes an empty ledger part.
+each get its findings; a blob that the ledger holds more than once (a repeated or concurrent append) counts once; very long texts are scanned whole;
+equal spans of two kinds stand in the order of KINDS; an empty table writes an empty ledger part.
 """
 
 from __future__ import annotations
@@ -130,23 +131,20 @@ def scan_new(docs: DataFrame, ledger: str, rule_version: str = RULE_VERSION) ->
     known = read_ledger(spark, ledger, rule_version).select("blob").distinct()
     blobs = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_first_in_task, "blob string, text string")
     unseen = blobs.join(known, "blob", "left_anti")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    unseen.repartition(parts, "blob").mapInArrow(_once(_scan(rule_version)), FINDINGS).write.mode("append").parquet(ledger)
+    unseen.repartition("blob").sortWithinPartitions("blob").mapInArrow(_once(_scan(rule_version)), FINDINGS).write.mode("append").parquet(ledger)
 
 
 def _once(scan):
-    """Drop blobs that came from several tasks; all copies of a blob are in one partition, one for each task at most."""
+    """Drop blobs that came from several tasks; all copies of a blob follow one another in one partition, one for each task at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-
         def fresh():
+            last = None
             for batch in batches:
                 keep = []
                 for r, blob in enumerate(batch.column("blob").to_pylist()):
-                    d = bytes.fromhex(blob)
-                    if d not in seen:
-                        seen.add(d)
+                    if blob != last:
+                        last = blob
                         keep.append(r)
                 if len(keep) == batch.num_rows:
                     yield batch
@@ -168,7 +166,7 @@ def join_findings(versions: DataFrame, ledger: str, rule_version: str = RULE_VER
 
     Columns of ``versions`` that are named like a finding's give way to it.
     """
-    found = read_ledger(versions.sparkSession, ledger, rule_version).where(F.col("spans") != "").drop("rule_version")
+    found = read_ledger(versions.sparkSession, ledger, rule_version).where(F.col("spans") != "").drop("rule_version").dropDuplicates(["blob"])
     if small_enough(found, BROADCAST_ROWS):
         found = F.broadcast(found)
     clash = [c for c in versions.columns if c != "blob" and c.lower() in {x.lower() for x in found.columns}]
@@ -181,11 +179,12 @@ def _redact(spans_name: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sizes = batch.column("text"), batch.column("n_chars")
+            texts = batch.column("text")
+            sizes = batch.column("n_chars") if "n_chars" in batch.schema.names else None
             spans_of = batch.column(spans_name)
             rows = [r for r, s in enumerate(spans_of.to_pylist()) if s]
             if rows:
-                texts, sizes = texts.to_pylist(), sizes.to_pylist()
+                texts, sizes = texts.to_pylist(), sizes.to_pylist() if sizes is not None else {}
                 for r in rows:
                     merged: list[list] = []
                     for x in spans_of[r].as_py().split(","):
@@ -197,7 +196,8 @@ def _redact(spans_name: str):
                     for kind, a, b in reversed(merged):
                         texts[r] = f"{texts[r][:a]}[{kind}]{texts[r][b:]}"
                     sizes[r] = len(texts[r])
-                texts, sizes = pa.array(texts, batch.column("text").type), pa.array(sizes, batch.column("n_chars").type)
+                texts = pa.array(texts, batch.column("text").type)
+                sizes = pa.array(sizes, batch.column("n_chars").type) if isinstance(sizes, list) else None
             names = [x for x in batch.schema.names if x != spans_name]
             new = {"text": texts, "n_chars": sizes}
             yield pa.RecordBatch.from_arrays([new[x] if x in new else batch.column(x) for x in names], names)
@@ -206,10 +206,10 @@ def _redact(spans_name: str):
 
 
 def redacted(docs: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Scan what the ledger lacks, then give the documents with every found secret replaced and n_chars to match."""
+    """Scan what the ledger lacks, then give the documents with every found secret replaced, and n_chars (if they have it) to match."""
     scan_new(docs, ledger, rule_version)
     blob, spans = (_free(docs, x) for x in ("blob", "spans"))
-    found = read_ledger(docs.sparkSession, ledger, rule_version).where(F.col("spans") != "").select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    found = read_ledger(docs.sparkSession, ledger, rule_version).where(F.col("spans") != "").select(F.col("blob").alias(blob), F.col("spans").alias(spans)).dropDuplicates([blob])
     if small_enough(found, BROADCAST_ROWS):
         found = F.broadcast(found)
     wide = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, blob, "left").select(*docs.columns, spans)

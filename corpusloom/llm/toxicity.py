@@ -1,12 +1,14 @@
 """Operator 2: toxicity by weak supervision.
 
 Many voters fire on a text: words of a seed lexicon, word forms and stems mined from labelled texts, and
-patterns. A generative label model (EM over the voters' fire rates given the hidden label) estimates their
-accuracies; voters whose firings stay correlated within a class are damped by their correlations. Its
-posteriors are the training labels of a linear classifier over voters and counts, which scores all texts.
+patterns. A generative label model estimates the voters' accuracies (their fire rates given the hidden label) by EM over a
+sample of texts with and without labels; labels give the first rates only. What two voters fire together beyond their
+class's rates is their correlation, estimated for each pair; a voter counts as one over the voters it repeats. The model's
+posteriors alone are the training labels of a linear classifier over the voters, which scores all texts.
 
 Defined cases: null text counts as empty; an empty text fires no voter and scores the classifier's base rate; without
-labelled texts only the seed lexicon and patterns vote.
+labelled texts (or with one class only) the seed lexicon alone decides; repeated rows score alike; very long texts are read whole; equally strong
+mined forms are taken in the order of their hashes; other columns don't take part; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textkit as tk
-from corpusloom.llm.samples import FIT_ROWS, labelled, remainder
+from corpusloom.llm.samples import FIT_ROWS, UNLABELLED_ROWS, labelled, remainder, unlabelled
 
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
@@ -129,7 +131,7 @@ def mine(sample: DataFrame, most: int = MINED) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Of fixed size: at most MINED forms and a weight for each voter."""
+    """Of fixed size: at most MINED forms and a weight for each voter; what the label model estimated of them."""
 
     mined: np.ndarray
     weights: np.ndarray
@@ -142,64 +144,71 @@ class Model:
 
 
 def label_model(v: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """EM for binary voters given a hidden label; returns posteriors, [2, voters] fire rates, and damping from correlations.
+    """EM for binary voters given a hidden label; returns posteriors, [2, voters] fire rates, and [voters, voters] correlations.
 
-    ``start`` are the first posteriors. After half the rounds, the correlations of what a voter does beyond its class's rate are
-    measured; a voter that repeats others counts as one over the number of voters it stands for.
+    ``start`` are the first posteriors; rows where they are NaN join after the first round. After half the rounds, the correlations of what
+    voters do beyond their class's rates are measured; from then on a voter that repeats others counts as one over the number it stands for.
     """
-    q = start.astype(np.float64)
-    damp = np.ones(v.shape[1])
+    given = ~np.isnan(start)
+    q, seen = np.where(given, start, 0.0), given.astype(np.float64)
+    damp, corr = np.ones(v.shape[1]), np.eye(v.shape[1])
     rates = np.zeros((2, v.shape[1]))
     for r in range(rounds):
-        for c, w in ((1, q), (0, 1 - q)):
+        for c, w in ((1, q * seen), (0, (1 - q) * seen)):
             rates[c] = (w @ v + 0.1) / (w.sum() + 1.0)
         rates = np.clip(rates, 1e-5, 1 - 1e-5)
         if r == rounds // 2:
             rest = v - q[:, None] * rates[1] - (1 - q)[:, None] * rates[0]
             scale = np.sqrt((rest**2).mean(0) + 1e-9)
-            corr = np.abs(rest.T @ rest / len(v)) / np.outer(scale, scale)
-            damp = 1 / np.maximum(np.where(corr > 0.2, corr, 0).sum(0), 1.0)
-        prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
+            corr = rest.T @ rest / len(v) / np.outer(scale, scale)
+            damp = 1 / np.maximum(np.where(np.abs(corr) > 0.2, np.abs(corr), 0).sum(0), 1.0)
+        prior = np.clip((q * seen).sum() / max(seen.sum(), 1.0), 1e-3, 1 - 1e-3)
         odds = np.log(prior / (1 - prior)) + (v * np.log(rates[1] / rates[0]) + (1 - v) * np.log((1 - rates[1]) / (1 - rates[0]))) @ damp
-        q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return q, rates, damp
+        q, seen = 1 / (1 + np.exp(-np.clip(odds, -30, 30))), np.ones(len(v))
+    return q, rates, corr
 
 
 def fit(v: np.ndarray, y: np.ndarray, mined: np.ndarray) -> Model:
-    """Label model from the labelled start, then a ridge logistic regression on its posteriors (Newton steps)."""
+    """Label model over all rows (``y`` is NaN where no label is known), then a ridge logistic regression on its posteriors (Newton steps)."""
     m = v.shape[1] - 1
     fires = v[:, :m].astype(np.float64)
-    q, rates, damp = label_model(fires, np.where(y == 1, 0.95, 0.05)) if len(y) else (np.zeros(0), np.full((2, m), 0.5), np.ones(m))
-    x = np.concatenate([fires, np.ones((len(v), 1))], axis=1)
     w = np.zeros(m + 1)
-    if not len(y) or y.max() == y.min():
+    known = y[~np.isnan(y)]
+    if not len(known) or known.max() == known.min():
         w[: len(SEED_HASHES)], w[-1] = 4.0, -3.0
-        return Model(mined, np.append(w[:-1], 0.0), float(w[-1]), rates, damp)
-    target = 0.5 * q + 0.5 * y  # the posteriors, kept honest by the labels they came from
+        return Model(mined, np.append(w[:-1], 0.0), float(w[-1]), np.full((2, m), 0.5), np.eye(m))
+    q, rates, corr = label_model(fires, np.where(np.isnan(y), np.nan, np.where(y == 1, 0.95, 0.05)))
+    x = np.concatenate([fires, np.ones((len(v), 1))], axis=1)
     ridge = np.full(m + 1, 0.5)
     ridge[-1] = 1e-6
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (target - p) - ridge * w
+        g = x.T @ (q - p) - ridge * w
         h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(h, g)
         w += np.clip(step, -3, 3)
-    return Model(mined, np.append(w[:-1], 0.0), float(w[-1]), rates, damp)
+    return Model(mined, np.append(w[:-1], 0.0), float(w[-1]), rates, corr)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, more: int = UNLABELLED_ROWS) -> Model:
+    """Fit on at most ``rows`` labelled texts and ``more`` others, both outside the held-out fold."""
     sample = labelled(docs, labels, "toxic", FOLDS, HELD, rows)
     mined = mine(sample)
+    others = unlabelled(docs, FOLDS, HELD, more)
 
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches):
             v = votes(batch.column("text"), mined)
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary())], ["label", "v"])
 
-    got = sample.mapInArrow(cast, "label int, v binary").orderBy("label", "v").toArrow()
+    both = sample.unionByName(others.withColumn("label", F.lit(None).cast("int")))
+    got = both.mapInArrow(cast, "label int, v binary").toArrow()
     wide = len(SEED_HASHES) + len(mined) + len(PATTERNS) + 1
-    v = np.array([np.frombuffer(x, np.float16) for x in got.column("v").to_pylist()], dtype=np.float32).reshape(-1, wide)
-    return fit(v, np.array(got.column("label").to_pylist(), dtype=float), mined)
+    y = np.array([np.nan if x is None else x for x in got.column("label").to_pylist()], dtype=float)
+    rows_of = got.column("v").to_pylist()
+    order = sorted(range(len(rows_of)), key=lambda r: (-1.0 if np.isnan(y[r]) else y[r], rows_of[r]))  # sums in one order, however the rows came
+    v = np.array([np.frombuffer(rows_of[r], np.float16) for r in order], dtype=np.float32).reshape(-1, wide)
+    return fit(v, y[order], mined)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

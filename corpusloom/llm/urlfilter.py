@@ -1,11 +1,11 @@
 """Operator 7: URL filters.
 
-Two layers. Rules (host suffix and path prefix, allow or block) are matched by hash: a URL's
-candidate keys are its host suffixes joined with the path prefixes whose lengths occur among the rules.
+Two layers. Rules (host suffix and path prefix, allow or block) are compared with each URL, the longest first: rule lists are short.
 The listing holds canonical URLs that are blocked when no rule speaks: a blocked Bloom filter
-of the listing passes possible hits on to an exact hash join, which removes the filter's false positives.
+of the listing passes possible hits on to an exact hash join, which removes the filter's false positives. Other pages aren't shuffled.
+A listing is derived from all pages: canonical URLs that several hosts serve (mirrors and aliases), and those of hosts named on a list.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; an
+Defined cases: rules of equal length are tried in their order; very long urls are compared whole; other columns don't take part; an empty table gives an empty table; a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; an
 empty path fits no rule, as all rule paths start with a slash; repeated rows each get their verdict.
 """
 
@@ -19,11 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.sketches import BlockedBloom
+from corpusloom.storage import materialize
 
 #: Fixed values of the contract: verdict, host, path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Names of hosts whose pages are listed.
 LISTED = r"(^|\.)(casino-win|free-bets|ads-track|spam-farm|cheap-pills|adult-x)\."
+#: A canonical URL that so many hosts serve is listed.
+MIRRORS = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,7 +46,7 @@ def canonical(host: Column, path: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
-    """The longest rule that fits (its index), by a lookup of suffix and prefix keys in the rules' map; null if none fits."""
+    """The longest rule that fits (its index), one comparison for each rule; null if none fits."""
     ranked = sorted(range(len(rules)), key=lambda k: -len(rules[k][1] + rules[k][2]))
     fits = [F.when(((host == rules[k][1]) | host.endswith("." + rules[k][1])) & path.startswith(rules[k][2]), F.lit(k)) for k in ranked]
     return F.coalesce(*fits) if fits else F.lit(None).cast("int")
@@ -56,6 +59,14 @@ def listing(pages: DataFrame, pattern: str = LISTED) -> DataFrame:
     return listed.select(canonical(F.col("host"), F.col("path")).alias("canonical")).distinct().withColumn("key", F.xxhash64("canonical"))
 
 
+def mirrored(pages: DataFrame, hosts: int = MIRRORS) -> DataFrame:
+    """Canonical URLs that at least so many different hosts of the pages serve: key, canonical."""
+    host, path = parts(F.col("url"))
+    each = pages.select(host.alias("host"), path.alias("path")).where(F.col("host") != "")
+    each = each.select("host", canonical(F.col("host"), F.col("path")).alias("canonical")).distinct()
+    return each.groupBy("canonical").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hosts).select("canonical", F.xxhash64("canonical").alias("key"))
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, listed of each page."""
     host, path = parts(F.col("url"))
@@ -70,10 +81,10 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "maybe"])
 
     rows = rows.mapInArrow(probe, "page_id long, host string, path string, canonical string, key long, maybe boolean")
-    # only possible hits have a key for the join: the others stay where they are, under a key that is nowhere listed
-    rows = rows.withColumn("wanted", F.when(F.col("maybe"), F.col("canonical")).otherwise(F.concat(F.lit("\n"), F.col("page_id").cast("string"))))
-    exact = listed.select(F.col("canonical").alias("wanted"), F.lit(True).alias("is_listed"))
-    rows = rows.join(exact, "wanted", "left")
+    rows = materialize(rows, "probed-pages")
+    words.destroy()
+    hits = rows.where("maybe").join(listed.select("canonical").distinct().withColumn("is_listed", F.lit(True)), "canonical", "left")
+    rows = hits.unionByName(rows.where(~F.col("maybe")).withColumn("is_listed", F.lit(False)))
     number = rule_of(F.col("host"), F.col("path"), rules)
     names = F.array(*[F.lit(h + p) for _, h, p in rules]) if rules else F.array().cast("array<string>")
     verdicts = F.array(*[F.lit(v) for v, _, _ in rules]) if rules else F.array().cast("array<string>")

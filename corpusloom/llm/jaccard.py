@@ -9,10 +9,11 @@ documents link at distance EPSILON = 1/4 or less.
    (hashed counts over all documents decide; whatever the counts, the join stays exact). The smallest entity that holds a
    leading shingle is a pivot, and known to all that hold it. So linked entities know a common pivot, and the number of pivots
    follows the number of neighbourhoods, where pivots drawn at random would be at distance 1 from nearly all documents.
-3. Cells: every entity meets the pivots it knows, at exact distances. One within EPSILON of a pivot is of its class. It is
-   in the cell of its nearest known pivot, and a boundary replica in those of the others.
+3. Cells: every entity is at home in the cell of the nearest pivot that it knows (with which it shares the most leading shingles), and a boundary
+   replica in the cells of the others. It meets the pivot of its home at its exact distance; within EPSILON it is of its class.
 4. Windows: by the triangle inequality, a link inside a cell needs distances to the pivot that differ by EPSILON at most (and
-   sizes that fit). Entities with nobody of another class in their window leave the cell.
+   sizes that fit). Entities with nobody of another class in their window leave the cell; a replica, whose distance isn't known, is in all windows.
+   What two sets can have in common at most is known from short profiles (counts of their shingles in buckets); texts are read only where that allows a link.
 5. Recursion: what is left of a cell elects new pivots among its members outside its largest class; all members meet them
    and pivots leave, having met everybody. If not all of these can be pivots at once, the cell is divided into the Voronoi cells of the new
    pivots (all distances are known now), with replicas at 2 EPSILON from a boundary, where that makes smaller cells; and so on.
@@ -150,23 +151,31 @@ def leading_shingles(docs: DataFrame, sent) -> DataFrame:
 
 
 def _known_pivots(rows: DataFrame) -> DataFrame:
-    """cell (its pivot), entity, size, with a row for the pivot itself: every entity in the cells of the pivots it knows.
+    """cell (its pivot), entity, size, distance (0 for the pivot itself, else null), home: every entity in the cells of the pivots it knows.
+
+    An entity's home is the cell of the pivot with which it shares the most leading shingles; in the others it is a boundary replica.
 
     A shingle's rows are read in order, so that they aren't held in memory; its first entity is the pivot. Linked sets of n and m shingles
     share 1 + min(n, m) // SHARED_OF of their leading ones at least, and the smaller one has 3/4 of the other's size at least: sets
-    that share fewer shingles with all others together link with nothing.
+    that share fewer shingles with all others in whose cells somebody is of a fitting size link with nothing.
     """
     order = Window.partitionBy("shingle").orderBy("entity")
     rows = rows.withColumn("p", F.first(F.struct("entity", "size")).over(order)).withColumn("before", F.lag("entity").over(order)).withColumn("next", F.lead("entity").over(order))
     own, is_pivot = F.col("entity"), F.col("entity") == F.col("p.entity")
     once = rows.where(F.when(is_pivot, F.col("next") != own).otherwise(F.col("before") != own))
-    known = once.groupBy(F.col("p.entity").alias("cell"), "entity", "size", F.col("p.size").alias("pivot_size")).agg(F.count(F.lit(1)).alias("n"))
-    known = materialize(known, "known-pivots")
-    least = 1 + F.floor(F.ceil(F.first("size") * NEED / OF) / SHARED_OF)
-    enough = known.groupBy("entity").agg(F.sum("n").alias("n"), least.alias("least")).where("n >= least").select("entity")
-    members = known.where(F.col("entity") != F.col("cell")).join(enough, "entity", "left_semi")
-    pivots = members.groupBy("cell").agg(F.first("pivot_size").alias("size")).select("cell", F.col("cell").alias("entity"), "size")
-    return members.select("cell", "entity", "size").unionByName(pivots)
+    known = once.groupBy(F.col("p.entity").alias("cell"), "entity", "size").agg(F.count(F.lit(1)).alias("n"))
+    cells = materialize(known, "known-pivots").select("cell", "entity", "size", "n", F.lit(None).cast("double").alias("distance"))
+    unlabelled = cells.select("entity", F.col("entity").alias("class")).limit(0)
+    for _ in range(3):  # what leaves makes others leave
+        cells = _in_windows(cells, unlabelled, "n")
+        least = 1 + F.floor(F.ceil(F.first("size") * NEED / OF) / SHARED_OF)
+        enough = cells.groupBy("entity").agg(F.sum("n").alias("n"), least.alias("least")).where("n >= least").select("entity")
+        cells = materialize(cells.join(enough, "entity", "left_semi"), "known-pivots")
+    # the home's pivot must be one that may link; a pivot that has left only names its cell
+    may = cells.where(F.col("cell") == F.col("entity")).select("cell")
+    homes = cells.where(F.col("entity") != F.col("cell")).join(may, "cell", "left_semi").groupBy("entity").agg(F.max_by("cell", F.struct("n", "cell")).alias("home"))
+    cells = cells.join(homes, "entity", "left")
+    return cells.select("cell", "entity", "size", F.when(F.col("entity") == F.col("cell"), 0.0).alias("distance"), F.coalesce(F.col("home") == F.col("cell"), F.lit(False)).alias("home"))
 
 
 def _texts(docs: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -258,16 +267,103 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), _MET_TYPES, strict=True)], ["cell", "entity", "size", "distance", "links", "near"])
 
 
+def _dealt(members: DataFrame, pivots: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """The members (cell, entity, class, size) of each cell in groups (cell, part) by a hash, each after a copy of the cell's pivots, with a value for each entity."""
+    columns = ["entity", "class", "size"]
+    parts = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+    dealt = members.join(parts, "cell").select("cell", F.pmod(F.xxhash64("entity"), F.col("parts")).alias("part"), F.lit(True).alias("member"), *columns)
+    copies = pivots.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), *columns)
+    rows = dealt.unionByName(copies).join(values, "entity").select("cell", "part", "member", *columns, value)
+    return rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "member", "entity")
+
+
 def meet(members: DataFrame, pivots: DataFrame, texts: DataFrame) -> DataFrame:
-    """Every member (cell, entity, class) with all pivots (the same columns) of its cell, see ``_MET``.
+    """Every member with all pivots of its cell, at exact distances, see ``_MET``."""
+    return _dealt(members, pivots, texts, "text").mapInArrow(_meet, _MET)
+
+
+def _profiles(texts: DataFrame) -> DataFrame:
+    """entity, profile: how many of its shingles fall in each of 2^k buckets, one byte each; empty if a byte is too small.
 
-    A cell's members are dealt to groups by a hash, and each group gets a copy of the cell's pivots.
+    Two sets have at most the sum of the buckets' minima in common. There are about as many buckets as shingles.
     """
-    parts = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    dealt = members.join(parts, "cell").select("cell", F.pmod(F.xxhash64("entity"), F.col("parts")).alias("part"), F.lit(True).alias("member"), "entity", "class")
-    copies = pivots.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), "entity", "class")
-    rows = dealt.unionByName(copies).join(texts, "entity").select("cell", "part", "member", "entity", "class", "text")
-    return rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "member", "entity").mapInArrow(_meet, _MET)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tk.slices(batches):
+            out = []
+            for s in _sets(batch):
+                size = 1 << max(4, len(s).bit_length() - 1)
+                counts = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size)
+                out.append(counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("entity"), pa.array(out, pa.binary())], ["entity", "profile"])
+
+    return texts.mapInArrow(run, "entity long, profile binary")
+
+
+def _folded(counts: np.ndarray, size: int) -> np.ndarray:
+    """Profiles (one a row) with fewer buckets."""
+    return counts.reshape(len(counts), -1, size).sum(1, dtype=np.int32)
+
+
+class _Profiles:
+    """The pivots of one group by their profiles, and which of them may link to a member."""
+
+    def __init__(self):
+        self.rows: list[tuple[int, int, int, np.ndarray]] = []
+        self.by_size: dict | None = None
+
+    def add(self, name: int, klass: int, size: int, profile: np.ndarray) -> None:
+        self.rows.append((name, klass, size, profile))
+
+    def may_link(self, klass: int, size: int, profile: np.ndarray) -> bool:
+        if self.by_size is None:
+            self.classes, self.sizes = np.array([r[1] for r in self.rows]), np.array([r[2] for r in self.rows])
+            lengths = np.array([len(r[3]) for r in self.rows])
+            self.by_size = {n: (np.flatnonzero(lengths == n), {n: np.array([r[3] for r in self.rows if len(r[3]) == n]).reshape(-1, n) if n else None}) for n in set(lengths.tolist())}
+            self.alive = np.zeros(len(self.rows), bool)
+        fits = (self.classes != klass) & (100 * np.minimum(self.sizes, size) >= NEED * np.maximum(self.sizes, size))
+        before = self.alive.copy()
+        for n, (rows, folds) in self.by_size.items():
+            if not fits[rows].any():
+                continue
+            least = min(n, len(profile))
+            if least:
+                if least not in folds:
+                    folds[least] = _folded(folds[n], least)
+                own = _folded(profile[None, :], least)
+                common = np.minimum(folds[least], own).sum(1, dtype=np.int64)
+                fits[rows] &= (OF + NEED) * common >= NEED * (self.sizes[rows] + size)
+        self.alive = before | fits
+        return bool(fits.any())
+
+    def names(self) -> list[int]:
+        return [] if self.by_size is None else [self.rows[k][0] for k in np.flatnonzero(self.alive)]
+
+
+def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of groups (cell, part), pivots first: the members that may link to a pivot of another class, and those pivots."""
+    held, pivots = None, _Profiles()
+    for batch in tk.slices(batches, "profile"):
+        cells, parts, members, entities, classes, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "part", "member", "entity", "class", "size"))
+        profiles = [np.frombuffer(x, np.uint8) for x in batch.column("profile").to_pylist()]
+        out = []
+        for r, profile in enumerate(profiles):
+            if (cells[r], parts[r]) != held:
+                out += [(held[0], x) for x in pivots.names()]
+                held, pivots = (int(cells[r]), int(parts[r])), _Profiles()
+            if not members[r]:
+                pivots.add(int(entities[r]), int(classes[r]), int(sizes[r]), profile)
+            elif pivots.may_link(int(classes[r]), int(sizes[r]), profile):
+                out.append((held[0], int(entities[r])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["cell", "entity"])
+    if pivots.names():
+        yield pa.RecordBatch.from_arrays([pa.array([held[0]] * len(pivots.names()), pa.int64()), pa.array(pivots.names(), pa.int64())], ["cell", "entity"])
+
+
+def alive(members: DataFrame, pivots: DataFrame, profiles: DataFrame) -> DataFrame:
+    """cell, entity of the members and pivots that their profiles let link to somebody of another class; never misses a link."""
+    return materialize(_dealt(members, pivots, profiles, "profile").mapInArrow(_alive, "cell long, entity long").distinct(), "alive")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -287,19 +383,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _in_windows(cells: DataFrame, labels: DataFrame) -> DataFrame:
+def _in_windows(cells: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
     """The members, with their classes of now, that have somebody of another class in their window of distance and size.
 
     Windows are EPSILON (of sizes: a factor 4/3) wide bins and their neighbours; a bin is known by its least and greatest class.
-    Before distances are known, all are null and windows are of sizes alone.
+    Where the distance is null, the window is of sizes alone.
     """
-    own = cells.join(labels, "entity", "left").withColumn("class", F.coalesce("class", "entity"))
-    own = own.withColumn("d", F.floor((F.coalesce("distance", F.lit(0.0)) + 1e-9) / EPSILON)).withColumn("s", F.floor(F.log("size") / F.log(F.lit(OF / NEED)) + 1e-9))
+    own = cells.drop("class").join(labels, "entity", "left").withColumn("class", F.coalesce("class", "entity"))
+    own = own.withColumn("d", F.coalesce(F.floor((F.col("distance") + 1e-9) / EPSILON), F.lit(-9))).withColumn("s", F.floor(F.log("size") / F.log(F.lit(OF / NEED)) + 1e-9))
     bins = own.groupBy("cell", "d", "s").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    around = F.explode(F.expr("flatten(transform(sequence(d - 1, d + 1), x -> transform(sequence(s - 1, s + 1), y -> struct(x AS d, y AS s))))"))
+    around = F.explode(F.expr("flatten(transform(if(d < 0, array(-9L, 0L, 1L, 2L, 3L, 4L), array(-9L, d - 1, d, d + 1)), x -> transform(sequence(s - 1, s + 1), y -> struct(x AS d, y AS s))))"))
     wide = bins.select("cell", around.alias("at"), "low", "high").groupBy("cell", F.col("at.d").alias("d"), F.col("at.s").alias("s")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
     open_ = own.join(wide, ["cell", "d", "s"]).where((F.col("low") != F.col("class")) | (F.col("high") != F.col("class")))
-    return materialize(open_.select("cell", "entity", "size", "distance", "class"), "open-cells")
+    return materialize(open_.select("cell", "entity", "size", "distance", "class", *more), "open-cells")
 
 
 def _elect(cells: DataFrame, turn: int) -> DataFrame:
@@ -334,23 +430,29 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = raw.where(F.col("chunk").isNull()).select("doc_id", "n_shingles", "entity")
     counts = merge_chunks(raw.where(F.col("chunk").isNotNull()).select("chunk", "part"), CELLS + WORD_CELLS, CHUNKS)
     sent = docs.sparkSession.sparkContext.broadcast(Order.of(counts))
-    known = materialize(_known_pivots(leading_shingles(docs, sent)).withColumn("distance", F.lit(None).cast("double")), "known-cells")
+    cells = materialize(_known_pivots(leading_shingles(docs, sent)), "cells")
     sent.destroy()
-    cells = _in_windows(known, known.select("entity", F.col("entity").alias("class")).limit(0)).where(F.col("entity") != F.col("cell"))
-    wanted = cells.select("entity").union(cells.select("cell")).distinct()
-    texts = materialize(_texts(docs, named, wanted), "texts")
-    members = cells.select("cell", "entity", F.col("entity").alias("class"))
-    pivots = cells.select("cell").distinct().select("cell", F.col("cell").alias("entity"), F.col("cell").alias("class"))
-    met = materialize(meet(members, pivots, texts), "met")
+    texts = materialize(_texts(docs, named, cells.select("entity").distinct()), "texts")
+    profiles = materialize(_profiles(texts), "profiles")
+    members = cells.where("home").select("cell", "entity", F.col("entity").alias("class"), "size")
+    pivots = cells.where(F.col("cell") == F.col("entity")).select("cell", "entity", F.col("entity").alias("class"), "size")
+    pivots = pivots.join(members.select("cell").distinct(), "cell", "left_semi")
+    near = alive(members, pivots, profiles)
+    met = materialize(meet(members.join(near, ["cell", "entity"], "left_semi"), pivots.join(near, ["cell", "entity"], "left_semi"), texts), "met")
     edges = met.select(F.explode("links").alias("l")).select("l.a", "l.b")
     labels = components(edges)
-    cells, turn = met.select("cell", "entity", "size", "distance"), 0
+    known = met.select("cell", "entity", F.col("distance").alias("known"))
+    cells, turn = cells.join(known, ["cell", "entity"], "left").select("cell", "entity", "size", F.coalesce("distance", "known").alias("distance")), 0
     while True:
         open_ = _in_windows(cells, labels)
         if not open_.limit(1).count():
             return named, labels
         elected = materialize(_elect(open_, turn), "elected")
-        met = materialize(meet(elected.select("cell", "entity", "class"), elected.where("pivot").select("cell", "entity", "class"), texts), "met")
+        # cells that don't go on after this turn need only the members that may link; the others need all distances to be divided
+        last = elected.where("NOT more")
+        near = alive(last, last.where("pivot"), profiles)
+        asked = last.join(near, ["cell", "entity"], "left_semi").unionByName(elected.where("more"))
+        met = materialize(meet(asked, asked.where("pivot"), texts), "met")
         found = met.select(F.explode("links").alias("l")).select("l.a", "l.b")
         if found.limit(1).count():
             edges = edges.union(found)

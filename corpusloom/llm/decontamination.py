@@ -133,10 +133,13 @@ def _consistent(docs: DataFrame, items: DataFrame, marks: DataFrame, sizes: list
     zipped = F.filter(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.struct((F.col("at") + i).alias("k"), F.get("i_codes", F.col("at") + i).alias("kind"), F.get("i_toks", F.col("at") + i).alias("ours"), F.get("d_toks", i).alias("theirs"))), lambda z: z["kind"].between(NUMBER, NAME))
     same = F.forall("slots", lambda z: z["ours"] == z["theirs"])
     steps = steps.select("doc_id", "doc_key", "item_key", "item_id", "shift", "window", "exact", (~(F.col("by_template") & F.col("exact"))).alias("counts"), F.size("i_toks").alias("reach"), zipped.alias("slots")).withColumn("same", same)
+    steps = materialize(steps, "leak-steps")
     place = ["doc_id", "doc_key", "item_key", "item_id", "reach", "shift"]
     whole = steps.groupBy(*place).agg(F.countDistinct(F.when(F.col("counts"), F.col("window"))).alias("here"))
     slots = steps.where("counts").select(*place, F.explode("slots").alias("s")).select(*place, "s.*").distinct()
+    slots = materialize(slots, "leak-slots")
     places = whole.join(_agreement(slots, place), place, "left").na.fill(0, ["n_slots", "n_changed"]).na.fill(True, ["consistent"])
+    places = materialize(places, "leak-places")
     # words put in or left out move the shift: windows count together if their shifts are at most the item's length apart
     nth = F.floor(F.col("shift") / F.col("reach"))
     spots = F.explode(F.array(nth, nth + 1)).alias("spot")

@@ -118,7 +118,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         for batch in tk.slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encode(*vectors(batch.column(1))), pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select("doc_id", "text").transform(tk.arrow, run, "doc_id long, fingerprint string")
 
 
 def _bounds(docs: DataFrame, parts: int) -> list[int]:
@@ -189,4 +189,4 @@ def with_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
                 ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.transform(tk.arrow, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

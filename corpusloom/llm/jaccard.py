@@ -95,7 +95,7 @@ def name_sets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), chunk, part], fields)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, entity long, chunk int, part binary")
+    return docs.transform(tk.arrow, run, "doc_id long, n_shingles long, entity long, chunk int, part binary")
 
 
 @dataclass
@@ -147,7 +147,7 @@ def leading_shingles(docs: DataFrame, sent) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes).astype(np.int32))], ["shingle", "entity", "size"])
 
-    return docs.select("text").mapInArrow(run, "shingle long, entity long, size int")
+    return docs.select("text").transform(tk.arrow, run, "shingle long, entity long, size int")
 
 
 def _known_pivots(rows: DataFrame) -> DataFrame:
@@ -190,12 +190,15 @@ def _texts(docs: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches):
             names = [_entity(s) if len(s) else None for s in _sets(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.int64()), batch.column("text").cast(pa.string())], ["doc_id", "entity", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column("text").cast(pa.string())], ["entity", "text"])
 
-    own = rows.mapInArrow(run, "doc_id long, entity long, text string").alias("o")
-    f = firsts.alias("f")
-    found = own.join(f, (F.col("o.entity") == F.col("f.entity")) & F.col("o.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
-    return found.dropDuplicates(["entity"]).select("entity", "text")
+    # the first document of an entity has it; a repeated id may bring in another text, whose entity isn't wanted
+    return _only(rows.transform(tk.arrow, run, "entity long, text string"), wanted).dropDuplicates(["entity"])
+
+
+def _only(values: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the wanted entities; few ids are sent to the values, so that the other values aren't shuffled."""
+    return values.join(F.broadcast(wanted) if small_enough(wanted, BROADCAST_IDS) else wanted, "entity", "left_semi")
 
 
 class _Pivots:
@@ -279,7 +282,8 @@ def _dealt(members: DataFrame, pivots: DataFrame, values: DataFrame, value: str)
 
 def meet(members: DataFrame, pivots: DataFrame, texts: DataFrame) -> DataFrame:
     """Every member with all pivots of its cell, at exact distances, see ``_MET``."""
-    return _dealt(members, pivots, texts, "text").mapInArrow(_meet, _MET)
+    wanted = members.select("entity").union(pivots.select("entity")).distinct()
+    return _dealt(members, pivots, _only(texts, wanted), "text").transform(tk.arrow, _meet, _MET)
 
 
 def _profiles(texts: DataFrame) -> DataFrame:
@@ -297,7 +301,7 @@ def _profiles(texts: DataFrame) -> DataFrame:
                 out.append(counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b"")
             yield pa.RecordBatch.from_arrays([batch.column("entity"), pa.array(out, pa.binary())], ["entity", "profile"])
 
-    return texts.mapInArrow(run, "entity long, profile binary")
+    return texts.transform(tk.arrow, run, "entity long, profile binary")
 
 
 def _folded(counts: np.ndarray, size: int) -> np.ndarray:
@@ -363,7 +367,7 @@ def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def alive(members: DataFrame, pivots: DataFrame, profiles: DataFrame) -> DataFrame:
     """cell, entity of the members and pivots that their profiles let link to somebody of another class; never misses a link."""
-    return materialize(_dealt(members, pivots, profiles, "profile").mapInArrow(_alive, "cell long, entity long").distinct(), "alive")
+    return materialize(_dealt(members, pivots, profiles, "profile").transform(tk.arrow, _alive, "cell long, entity long").distinct(), "alive")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -438,7 +442,8 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pivots = cells.where(F.col("cell") == F.col("entity")).select("cell", "entity", F.col("entity").alias("class"), "size")
     pivots = pivots.join(members.select("cell").distinct(), "cell", "left_semi")
     near = alive(members, pivots, profiles)
-    met = materialize(meet(members.join(near, ["cell", "entity"], "left_semi"), pivots.join(near, ["cell", "entity"], "left_semi"), texts), "met")
+    members, pivots = (materialize(x.join(near, ["cell", "entity"], "left_semi"), "asked") for x in (members, pivots))
+    met = materialize(meet(members, pivots, texts), "met")
     edges = met.select(F.explode("links").alias("l")).select("l.a", "l.b")
     labels = components(edges)
     known = met.select("cell", "entity", F.col("distance").alias("known"))
@@ -451,7 +456,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # cells that don't go on after this turn need only the members that may link; the others need all distances to be divided
         last = elected.where("NOT more")
         near = alive(last, last.where("pivot"), profiles)
-        asked = last.join(near, ["cell", "entity"], "left_semi").unionByName(elected.where("more"))
+        asked = materialize(last.join(near, ["cell", "entity"], "left_semi").unionByName(elected.where("more")), "asked")
         met = materialize(meet(asked, asked.where("pivot"), texts), "met")
         found = met.select(F.explode("links").alias("l")).select("l.a", "l.b")
         if found.limit(1).count():

@@ -218,7 +218,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                         spans[r] = ""
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(np.round(share, 9)), pa.array(spans, pa.string())], ["doc_id", "lang_pred", "score", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, spans string")
+    return docs.select("doc_id", "text").transform(tk.arrow, run, "doc_id long, lang_pred string, score double, spans string")
 
 
 def judged(docs: DataFrame) -> DataFrame:

@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Additive:
             x = features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["label", "x"])
 
-    got = sample.mapInArrow(measure, "label int, x array<double>").toArrow()
+    got = sample.transform(tk.arrow, measure, "label int, x array<double>").toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     y = np.array(got.column("label").to_pylist(), dtype=float)
     order = np.lexsort((*x.T, y))  # sums in one order, however the rows came
@@ -252,7 +252,7 @@ def score(docs: DataFrame, model: Additive) -> DataFrame:
             s = _scores(model, batch)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(tk.arrow, run, schema)
 
 
 def keep_good(docs: DataFrame, model: Additive) -> DataFrame:
@@ -262,7 +262,7 @@ def keep_good(docs: DataFrame, model: Additive) -> DataFrame:
         for batch in tk.slices(batches):
             yield batch.filter(pa.array(_scores(model, batch) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(tk.arrow, run, docs.schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -129,9 +129,9 @@ def scan_new(docs: DataFrame, ledger: str, rule_version: str = RULE_VERSION) ->
     spark = docs.sparkSession
     spark.createDataFrame([], FINDINGS).write.mode("append").parquet(ledger)
     known = read_ledger(spark, ledger, rule_version).select("blob").distinct()
-    blobs = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_first_in_task, "blob string, text string")
+    blobs = docs.select(F.coalesce("text", F.lit("")).alias("text")).transform(tk.arrow, _first_in_task, "blob string, text string")
     unseen = blobs.join(known, "blob", "left_anti")
-    unseen.repartition("blob").sortWithinPartitions("blob").mapInArrow(_once(_scan(rule_version)), FINDINGS).write.mode("append").parquet(ledger)
+    unseen.repartition("blob").sortWithinPartitions("blob").transform(tk.arrow, _once(_scan(rule_version)), FINDINGS).write.mode("append").parquet(ledger)
 
 
 def _once(scan):
@@ -213,7 +213,7 @@ def redacted(docs: DataFrame, ledger: str, rule_version: str = RULE_VERSION) ->
     if small_enough(found, BROADCAST_ROWS):
         found = F.broadcast(found)
     wide = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, blob, "left").select(*docs.columns, spans)
-    return wide.mapInArrow(_redact(spans), docs.schema)
+    return wide.transform(tk.arrow, _redact(spans), docs.schema)
 
 
 def _free(docs: DataFrame, name: str) -> str:

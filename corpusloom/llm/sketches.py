@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corpusloom.llm import textkit as tk
 from corpusloom.llm.textkit import mix
 
 BLOCK = 512
@@ -44,7 +45,7 @@ def merge_chunks(parts: DataFrame, length: int, chunks: int, kind: str = "u4", m
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["chunk", "part"])
 
     whole = np.zeros(length, kind)
-    for row in parts.repartition(chunks, "chunk").mapInArrow(together, "chunk int, part binary").toLocalIterator():
+    for row in parts.repartition(chunks, "chunk").transform(tk.arrow, together, "chunk int, part binary").toLocalIterator():
         whole[row.chunk * size : (row.chunk + 1) * size] = np.frombuffer(bytes(row.part), kind)
     return whole
 
@@ -58,7 +59,7 @@ def gather(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], np.ndarray],
         for chunk, part in chunk_rows(own, chunks):
             yield pa.RecordBatch.from_arrays([chunk, part], ["chunk", "part"])
 
-    return merge_chunks(df.mapInArrow(each, "chunk int, part binary"), length, chunks, kind, merge)
+    return merge_chunks(df.transform(tk.arrow, each, "chunk int, part binary"), length, chunks, kind, merge)
 
 
 class BlockedBloom:

@@ -6,12 +6,14 @@ Words are the runs of bytes outside ``\\x20\\x09-\\x0D``; ``A-Z`` is lower-cased
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 19
+BATCH_BYTES = 2 << 20
 _RNG = np.random.default_rng(20240229)
 BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 PLACE_CODES = _RNG.integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
@@ -26,6 +28,12 @@ IN_LETTERS = np.zeros(256, dtype=bool)
 IN_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of about BATCH_BYTES, however long the rows are: neither side holds more."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(30))

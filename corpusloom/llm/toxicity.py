@@ -123,7 +123,7 @@ def mine(sample: DataFrame, most: int = MINED) -> np.ndarray:
             every = np.diff(np.append(start, len(h)))
             yield pa.RecordBatch.from_arrays([pa.array(h[start].view(np.int64)), pa.array(bad), pa.array(every)], ["form", "bad", "every"])
 
-    found = sample.mapInArrow(count, "form long, bad long, every long").groupBy("form").agg(F.sum("bad").alias("bad"), F.sum("every").alias("every"))
+    found = sample.transform(tk.arrow, count, "form long, bad long, every long").groupBy("form").agg(F.sum("bad").alias("bad"), F.sum("every").alias("every"))
     strong = found.where((F.col("bad") >= 3) & (F.col("bad") >= 0.9 * F.col("every")))
     rows = strong.orderBy(F.desc("bad"), F.asc("every"), "form").limit(most).collect()
     return np.sort(np.array([r.form for r in rows], np.int64).view(np.uint64))
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, more: int =
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary())], ["label", "v"])
 
     both = sample.unionByName(others.withColumn("label", F.lit(None).cast("int")))
-    got = both.mapInArrow(cast, "label int, v binary").toArrow()
+    got = both.transform(tk.arrow, cast, "label int, v binary").toArrow()
     wide = len(SEED_HASHES) + len(mined) + len(PATTERNS) + 1
     y = np.array([np.nan if x is None else x for x in got.column("label").to_pylist()], dtype=float)
     rows_of = got.column("v").to_pylist()
@@ -220,5 +220,5 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = np.round(model.score(votes(batch.column("text"), model.mined)), 9)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    out = docs.select("doc_id", "text").transform(tk.arrow, run, "doc_id long, score double, predicted int")
     return out.select("doc_id", (remainder(FOLDS) == HELD).alias("held_out"), "score", "predicted")

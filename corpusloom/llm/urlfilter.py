@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import textkit as tk
 from corpusloom.llm.sketches import BlockedBloom
 from corpusloom.storage import materialize
 
@@ -80,7 +81,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, s
             hit = sieve.might_hold(batch.column("key").to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "maybe"])
 
-    rows = rows.mapInArrow(probe, "page_id long, host string, path string, canonical string, key long, maybe boolean")
+    rows = rows.transform(tk.arrow, probe, "page_id long, host string, path string, canonical string, key long, maybe boolean")
     rows = materialize(rows, "probed-pages")
     words.destroy()
     hits = rows.where("maybe").join(listed.select("canonical").distinct().withColumn("is_listed", F.lit(True)), "canonical", "left")

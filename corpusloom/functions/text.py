@@ -90,9 +90,9 @@ def contains_fact(reply: Column, fact: Column) -> Column:
 
 
 def quote_matches(text: Column, quote: Column, match: Column) -> Column:
-    """``substring``: the normalised quote is in the text; ``all_tokens``: each of its tokens is. Both sides normalised."""
+    """``substring``: the normalised quote is in the text; ``all_tokens``: each of its tokens is. Both sides normalised. Another rule is an error."""
     every = F.forall(F.split(quote, " "), lambda t: text.contains(t))
-    return F.when(match == "substring", text.contains(quote)).when(match == "all_tokens", every)
+    return F.when(match == "substring", text.contains(quote)).when(match == "all_tokens", every).otherwise(F.raise_error(F.concat(F.lit("unknown match rule "), F.coalesce(match, F.lit("null")))).cast("boolean"))
 
 
 def clean_whitespace(text: Column) -> Column:

@@ -13,16 +13,25 @@ from pyspark.sql.window import Window
 from corpusloom import params
 from corpusloom.functions import text as tx
 from corpusloom.operators import metrics
+from corpusloom.params import BROADCAST_ROWS
+from corpusloom.storage import small_enough
 
 USD = "decimal(18,8)"
 
 
 def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """cost_usd from token counts and rates per million (model, input, cache_write, cache_read, output); an unknown model is an error."""
-    rates = F.broadcast(prices)
-    j = calls.withColumn("model", F.col("model")).join(rates.withColumnRenamed("model", "priced_model"), (F.col("model") == F.col("priced_model")) | (tx.model_name(F.col("model")) == F.col("priced_model")), "left")
-    total = sum((F.coalesce(F.col(t), F.lit(0)) * F.col(r) for t, r in (("input_tokens", "input"), ("cache_creation_input_tokens", "cache_write"), ("cache_read_input_tokens", "cache_read"), ("output_tokens", "output"))), F.lit(0))
-    cost = F.when(F.col("priced_model").isNull(), F.raise_error(F.concat(F.lit("no price for "), "model")).cast(USD)).otherwise(F.round(total / 1_000_000, 8).cast(USD))
+    """cost_usd from token counts and rates per million (model, input, cache_write, cache_read, output); an unknown model is an error.
+
+    A model's own price goes before that of its undated name; a call is priced once.
+    """
+    rates = ("input", "cache_write", "cache_read", "output")
+    table = prices.groupBy("model").agg(F.first(F.struct(*rates)).alias("p"))
+    table = F.broadcast(table) if small_enough(table, BROADCAST_ROWS) else table
+    exact, undated = (table.select(F.col("model").alias(f"{k}_model"), F.col("p").alias(k)) for k in ("exact", "undated"))
+    j = calls.join(exact, F.col("model") == F.col("exact_model"), "left").join(undated, tx.model_name(F.col("model")) == F.col("undated_model"), "left")
+    j = j.withColumn("price", F.coalesce("exact", "undated"))
+    total = sum((F.coalesce(F.col(t), F.lit(0)) * F.col(f"price.{r}") for t, r in (("input_tokens", "input"), ("cache_creation_input_tokens", "cache_write"), ("cache_read_input_tokens", "cache_read"), ("output_tokens", "output"))), F.lit(0))
+    cost = F.when(F.col("price").isNull(), F.raise_error(F.concat(F.lit("no price for "), "model")).cast(USD)).otherwise(F.round(total / 1_000_000, 8).cast(USD))
     return j.select(*calls.columns, cost.alias("cost_usd"))
 
 

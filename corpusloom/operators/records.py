@@ -21,7 +21,7 @@ def lookup(asked: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 
 def newest(accounts: DataFrame, transactions: DataFrame, key: str, date: str, item: str, n: int) -> DataFrame:
-    """Up to n newest transactions of each account; an account without any stays as one row with found = true and no transaction."""
+    """Up to n newest transactions of each account; an account without any stays as one row without a transaction."""
     order = Window.partitionBy(key).orderBy(F.desc(date), F.desc(item))
     last = transactions.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
     return accounts.select(key).join(last, key, "left")
@@ -35,8 +35,8 @@ def policy_limit(asked: DataFrame, policies: DataFrame) -> DataFrame:
     limits = F.col("coverage_limits")
     if dict(policies.dtypes)["coverage_limits"] == "string":
         policies = policies.withColumn("coverage_limits", F.from_json(limits, "map<string,double>"))
-    j = asked.join(policies, "policy_number", "left")
-    return j.select(*asked.columns, F.col("status").isNotNull().alias("found"), "status", F.try_element_at("coverage_limits", F.col("peril")).alias("limit"))
+    j = asked.join(policies.withColumn("_there", F.lit(True)), "policy_number", "left")
+    return j.select(*asked.columns, F.coalesce("_there", F.lit(False)).alias("found"), "status", F.try_element_at("coverage_limits", F.col("peril")).alias("limit"))
 
 
 def cited_records(fields: DataFrame, cited: DataFrame) -> DataFrame:

@@ -326,3 +326,22 @@ def test_quotes_that_touch_other_characters(spark, monkeypatch, bound):
     want = {(i, k) for i, quote in enumerate(quotes) if quote for k, t in enumerate(low) if quote in t}
     got = [(r.quote_id, r.doc_id) for r in metrics.quote_hits(d, q).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_a_call_is_priced_once(spark):
+    p = spark.createDataFrame([("small", 1.0, 0.0, 0.0, 0.0), ("small-20250101", 3.0, 0.0, 0.0, 0.0)], "model string, input double, cache_write double, cache_read double, output double")
+    c = spark.createDataFrame([("small-20250101", 1_000_000), ("small-20240101", 1_000_000), ("small", 1_000_000)], "model string, input_tokens long")
+    c = c.withColumns({x: F.lit(0).cast("long") for x in ("cache_creation_input_tokens", "cache_read_input_tokens", "output_tokens")})
+    assert sorted((r.model, float(r.cost_usd)) for r in calls.priced(c, p).collect()) == [("small", 1.0), ("small-20240101", 1.0), ("small-20250101", 3.0)]
+
+
+def test_policy_without_a_status_is_found(spark):
+    policies = spark.createDataFrame([("P1", None, {"fire": 5.0})], "policy_number string, status string, coverage_limits map<string,double>")
+    asked = spark.createDataFrame([("P1", "fire"), ("P2", "fire")], "policy_number string, peril string")
+    assert {r.policy_number: (r.found, r.limit) for r in records.policy_limit(asked, policies).collect()} == {"P1": (True, 5.0), "P2": (False, None)}
+
+
+def test_unknown_match_rule_raises(spark):
+    d = spark.createDataFrame([("a b", "a", "fuzzy")], "t string, q string, m string")
+    with pytest.raises(Exception, match="unknown match rule"):
+        d.select(tx.quote_matches(F.col("t"), F.col("q"), F.col("m"))).collect()

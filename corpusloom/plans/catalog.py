@@ -11,7 +11,7 @@ from corpusloom.plans.sql import SQL
 
 NAMES = (
     "bm25_topk bm25_term_stats filtered_topk leak_counts query_verdicts vector_topk hybrid_rrf hybrid_stage_scores recall_precision retrieval_summary "
-    "near_empty_decisions decision_counts exact_dups near_dups dup_groups closest_documents quote_survival pii_counts pii_redacted running_lines whitespace_cleaned "
+    "near_empty_decisions decision_counts exact_dups canonical_copies near_dups dup_groups closest_documents quote_survival pii_counts pii_redacted running_lines whitespace_cleaned "
     "html_blocks html_without_boilerplate fixed_chunks structure_chunks interaction_rollup run_summary latency_percentiles ledger_totals budget_guard cost_model extremes "
     "newest_transactions accounts_by_member account_lookup json_limit_lookup figure_check authz_decisions reference_resolution cache_probe replay_diff per_run_failures "
     "confusion orphans round_outcomes rounds_distribution loop_limits source_lines windowed_costs"

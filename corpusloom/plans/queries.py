@@ -121,6 +121,15 @@ def exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.exact_groups(_docs(spark, sf_dir))
 
 
+def canonical_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preferred copy of equal texts: no copy marker in its name, better format, earlier date. Names, formats and dates follow the ids."""
+    n = F.col("doc_id")
+    name = F.concat(F.lit("d"), n.cast("string"), F.when(n % 3 == 0, " copy").otherwise(""))
+    fmt = F.element_at(F.array(*[F.lit(x) for x in ("txt", "pdf", "zip", "md")]), (n % 4 + 1).cast("int"))
+    date = F.when(n % 5 != 0, F.concat(F.lit("2024-0"), (n % 5).cast("string"), F.lit("-01")))
+    return dedupe.exact_groups(_docs(spark, sf_dir), order=dedupe.preference(name, fmt, date))
+
+
 def near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.near_pairs(_docs(spark, sf_dir)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 

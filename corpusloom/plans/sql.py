@@ -125,6 +125,10 @@ SQL: dict[str, str] = {
       SELECT c_custkey AS account_id, o_orderkey AS transaction_id, posted_on, amount, place FROM customer LEFT JOIN (SELECT * FROM n WHERE place <= 10) ON o_custkey = c_custkey""",
     "accounts_by_member": f"WITH {_ACCOUNTS} SELECT member_id, account_id, type, balance FROM accounts JOIN nation ON n_nationkey = member_id",
     "account_lookup": f"WITH {_ACCOUNTS} SELECT p_partkey * 3 AS account_id, CASE WHEN a.account_id IS NULL THEN 'not_found' ELSE 'ok' END AS outcome, balance FROM part LEFT JOIN accounts a ON a.account_id = p_partkey * 3",
+    "canonical_copies": r"""WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256, doc_id % 3 = 0 AS marked, [4, 0, 9, 3][doc_id % 4 + 1] AS fmt,
+        CASE WHEN doc_id % 5 = 0 THEN '9999-99-99' ELSE '2024-0' || (doc_id % 5) || '-01' END AS day, 'd' || doc_id || CASE WHEN doc_id % 3 = 0 THEN ' copy' ELSE '' END AS name FROM documents),
+      r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY sha256 ORDER BY marked, fmt, day, name) AS canonical, count(*) OVER (PARTITION BY sha256) AS n_copies FROM d)
+      SELECT doc_id, sha256, canonical, n_copies, doc_id <> canonical AS is_duplicate FROM r""",
     "json_limit_lookup": """SELECT e.event_id AS policy_number, CASE WHEN e.user_id % 2 = 0 THEN 'k' ELSE 'flood' END AS peril, p.event_id IS NOT NULL AS found, p.event_type AS status, cast(json_extract_string(p.props, '$.' || CASE WHEN e.user_id % 2 = 0 THEN 'k' ELSE 'flood' END) AS DOUBLE) AS "limit"
       FROM events e LEFT JOIN (SELECT * FROM events WHERE event_type <> 'error') p USING (event_id)""",
     "figure_check": """WITH a AS (SELECT l_orderkey, list(DISTINCT cast(l_extendedprice AS DECIMAL(18,2))) AS v, sum(cast(l_extendedprice AS DECIMAL(18,2))) AS total FROM lineitem GROUP BY l_orderkey)

@@ -194,6 +194,21 @@ def model_comparison(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
+def sweep(rows: DataFrame, tau: str) -> DataFrame:
+    """One row for each threshold, ascending: successes, false declines, mean rounds of questions that searched at all, cost, and rewrites that helped."""
+    declined = (F.col("outcome") == "not_in_corpus") & (F.col("outcome_expected") == "answered")
+    per = rows.groupBy(tau).agg(
+        F.count(F.lit(1)).alias("questions"),
+        F.count_if("task_success").alias("successes"),
+        F.count_if(declined).alias("false_declines"),
+        F.round(F.avg(F.when(F.col("rounds") > 0, F.col("rounds"))), 3).alias("mean_rounds"),
+        F.round(F.avg("cost_usd"), 6).alias("cost_mean"),
+        F.count_if("rewrite_helped").alias("rewrite_helped"),
+        F.count_if("rescued_after_decline").alias("rescued_after_decline"),
+    )
+    return per.orderBy(tau)
+
+
 def failing_anywhere(grades: DataFrame, key: str, run: str, runs: list, cell: Column) -> DataFrame:
     """Questions that failed in at least one run, one column for each run."""
     wide = grades.groupBy(key).pivot(run, runs).agg(F.first(cell))
@@ -219,7 +234,7 @@ def calibration_sample(judged: DataFrame, per_run: int, run: str, key: str) -> D
 def relabelled(items: DataFrame, relabels: DataFrame, tools: DataFrame) -> DataFrame:
     """Expected label of each item; a relabel holds only if its tool is advertised."""
     active = relabels.join(tools.select(F.col("tool").alias("requires_tool")), "requires_tool", "left_semi")
-    return items.join(F.broadcast(active.select("id", F.col("expected").alias("new_expected"))), "id", "left").withColumn("relabelled", F.col("new_expected").isNotNull()).withColumn("expected", F.coalesce("new_expected", "expected")).drop("new_expected")
+    return items.join(active.select("id", F.col("expected").alias("new_expected")), "id", "left").withColumn("relabelled", F.col("new_expected").isNotNull()).withColumn("expected", F.coalesce("new_expected", "expected")).drop("new_expected")
 
 
 def tool_grades(rows: DataFrame) -> DataFrame:

@@ -54,8 +54,8 @@ def first_error(*stages: tuple[Column, str]) -> Column:
 
 
 def authorize(calls: DataFrame, grants: DataFrame) -> DataFrame:
-    """Deny by default: a call is allowed only if (caller, tool) is granted. ``grants`` is policy, a few rows."""
-    known = F.broadcast(grants.select("caller", "tool").distinct().withColumn("granted", F.lit(True)))
+    """Deny by default: a call is allowed only if (caller, tool) is granted. Spark broadcasts the policy if its size allows."""
+    known = grants.select("caller", "tool").distinct().withColumn("granted", F.lit(True))
     return calls.join(known, ["caller", "tool"], "left").withColumn("granted", F.coalesce("granted", F.lit(False)))
 
 
@@ -65,7 +65,7 @@ def enforce(calls: DataFrame, grants: DataFrame, tools: DataFrame) -> DataFrame:
     ``tools``: tool, declared (array of argument names), required (array). ``calls``: caller, tool, arguments (map), run_outcome.
     Values of undeclared arguments are redacted for the audit.
     """
-    out = authorize(calls, grants).join(F.broadcast(tools), "tool", "left")
+    out = authorize(calls, grants).join(tools, "tool", "left")
     names = F.map_keys("arguments")
     undeclared = F.array_except(names, "declared")
     missing = F.array_except("required", names)

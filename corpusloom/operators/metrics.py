@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom import params
 from corpusloom.functions import text as tx
@@ -42,9 +43,9 @@ def must_not_be_empty(df: DataFrame, what: str) -> DataFrame:
     return df.join(F.broadcast(check)).drop("one")
 
 
-def leaks(hits: DataFrame, tenant: str) -> DataFrame:
-    """Hits that no reader of the tenant should have got."""
-    return hits.agg(
+def leaks(hits: DataFrame, tenant: str, *keys: str) -> DataFrame:
+    """Hits that no reader of the tenant should have got, in all or by key."""
+    return hits.groupBy(*keys).agg(
         F.count_if(F.col("sensitivity") == "restricted").alias("restricted"),
         F.count_if(F.col("tenant") != tenant).alias("wrong_tenant"),
         F.count_if(~F.col("is_current")).alias("superseded"),
@@ -68,6 +69,29 @@ def median_upper(value: str | Column) -> Column:
     return F.get(values, F.floor(F.size(values) / 2).cast("int"))
 
 
+def picked(rows: DataFrame, value: str, places: dict[str, Column], key: str, *more: str) -> DataFrame:
+    """The values at places (counted from 0) of each group's sorted nonnull values; a place may use the column ``total``.
+
+    Equal values are counted first and the counts summed up in order, so no task holds a group's values. A group without values has no row.
+    """
+    keys = (key, *more)
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    summed = counted.withColumn("upto", upto).join(totals, list(keys))
+    return summed.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") > at, F.col(value))).alias(name) for name, at in places.items()])
+
+
+def nearest_place(p: float) -> Column:
+    """Half-even rounded p (total - 1)."""
+    return F.bround(F.lit(p) * (F.col("total") - 1))
+
+
+def middle_place() -> Column:
+    """total // 2."""
+    return F.floor(F.col("total") / 2)
+
+
 def latency(timings: DataFrame, *keys: str) -> DataFrame:
     return timings.groupBy(*keys).agg(F.round(F.avg("ms"), 6).alias("mean_ms"), percentile_linear("ms", 0.95).alias("p95_ms"))
 
@@ -102,6 +126,25 @@ def quote_hits(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     return pairs.join(q, "quote_key").join(d, "doc_key").where(holds).select("quote_id", "doc_id").distinct()
 
 
+def token_hits(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """quote_id, doc_id of every document in which each of the quote's tokens occurs somewhere, also inside a longer word; both sides normalised.
+
+    A token may start anywhere, so candidates share the first GRAM characters (all, if there are fewer) of the quote's longest token;
+    only ids are joined by them, and the texts of candidates are then searched for all tokens.
+    """
+    q = quotes.select("quote_id", tx.normalise("quote").alias("quote")).where(F.col("quote") != "")
+    longest = F.reduce(tx.words(F.col("quote")), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    q = q.withColumn("gram", F.substring(longest, 1, GRAM))
+    sizes = sorted(r.n for r in q.select(F.length("gram").alias("n")).distinct().collect())  # at most GRAM values
+    d = docs.select("doc_id", tx.normalise(F.coalesce("text", F.lit(""))).alias("norm")).withColumn("doc_key", F.xxhash64("doc_id", "norm"))
+    grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *[F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]))
+    asked = q.select("quote_id", "gram")
+    asked = F.broadcast(asked) if small_enough(asked, BROADCAST_QUOTES) else asked
+    pairs = d.select("doc_key", F.explode(grams).alias("gram")).join(asked, "gram").select("doc_key", "quote_id").distinct()
+    every = tx.quote_matches(F.col("norm"), F.col("quote"), F.lit("all_tokens"))
+    return pairs.join(q.select("quote_id", "quote"), "quote_id").join(d, "doc_key").where(every).select("quote_id", "doc_id").distinct()
+
+
 def quote_survival(locations: DataFrame, docs: DataFrame) -> DataFrame:
     """state of each expected location (query_id, doc_id, quote, match) in the ingested documents.
 

@@ -14,14 +14,16 @@ def by_owner(owners: DataFrame, accounts: DataFrame, owner: str) -> DataFrame:
     return owners.select(owner).distinct().join(accounts, owner)
 
 
-def lookup(asked: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Each asked key with its row; ``outcome`` is ok or not_found."""
+def lookup(asked: DataFrame, table: DataFrame, key: str | list[str]) -> DataFrame:
+    """Each asked key (of one or several columns) with its row; ``outcome`` is ok or not_found."""
     there = table.withColumn("_there", F.lit(True))
     return asked.join(there, key, "left").withColumn("outcome", F.when(F.col("_there"), "ok").otherwise("not_found")).drop("_there")
 
 
-def newest(accounts: DataFrame, transactions: DataFrame, key: str, date: str, item: str, n: int) -> DataFrame:
-    """Up to n newest transactions of each account; an account without any stays as one row without a transaction."""
+def newest(accounts: DataFrame, transactions: DataFrame, key: str, date: str, item: str, n: int, most: int = 50) -> DataFrame:
+    """Up to n (1 to ``most``) newest transactions of each account; an account without any stays as one row without a transaction."""
+    if not 1 <= n <= most:
+        raise ValueError(f"limit {n} is not in 1..{most}")
     order = Window.partitionBy(key).orderBy(F.desc(date), F.desc(item))
     last = transactions.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
     return accounts.select(key).join(last, key, "left")

@@ -35,7 +35,7 @@ def claim_stage(text: Column, tool: Column, tool_input: Column, wanted_tool: str
 
 def action_error(actions: DataFrame, tools: DataFrame, decisions: tuple[str, ...]) -> DataFrame:
     """error of each planner action (action, tool, args map, decision, reasoning): a known tool with its required arguments, or a decision with a reason."""
-    j = actions.join(F.broadcast(tools.select("tool", "required")), "tool", "left")
+    j = actions.join(tools.select("tool", "required"), "tool", "left")
     missing = F.array_except("required", F.map_keys("args"))
     call = first_error((F.col("required").isNotNull(), "unregistered tool"), (F.col("args").isNotNull(), "missing args"), (F.size(missing) == 0, "missing required args"))
     stop = first_error((F.col("decision").isin(*decisions), "invalid decision"), (F.col("reasoning").isNotNull(), "missing reasoning"))
@@ -44,7 +44,7 @@ def action_error(actions: DataFrame, tools: DataFrame, decisions: tuple[str, ...
 
 def turn_error(turns: DataFrame, tools: DataFrame, references: tuple[str, ...]) -> DataFrame:
     """error of each conversation decision (action, tool, account_reference, reasoning); ``tools``: tool, scope."""
-    j = turns.join(F.broadcast(tools.select("tool", "scope")), "tool", "left")
+    j = turns.join(tools.select("tool", "scope"), "tool", "left")
     reason = (F.col("reasoning").isNotNull(), "missing reasoning")
     account = (F.col("scope") != "account") | F.col("account_reference").isin(*references)
     tool = first_error((F.col("scope").isNotNull(), "unregistered tool"), (account, "invalid account_reference"), reason)

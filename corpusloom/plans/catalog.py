@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.plans import evaluations
 from corpusloom.plans import queries as q
-from corpusloom.plans.sql import SQL
+from corpusloom.plans.evaluations import EVALUATION_SQL
+from corpusloom.plans.sql import SQL as ENGINE_SQL
 
 NAMES = (
     "bm25_topk bm25_term_stats filtered_topk leak_counts query_verdicts vector_topk hybrid_rrf hybrid_stage_scores recall_precision retrieval_summary "
@@ -16,7 +18,8 @@ NAMES = (
     "newest_transactions accounts_by_member account_lookup json_limit_lookup figure_check authz_decisions reference_resolution cache_probe replay_diff per_run_failures "
     "confusion orphans round_outcomes rounds_distribution loop_limits source_lines windowed_costs"
 ).split()
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(q, name) for name in NAMES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(q, name) for name in NAMES} | {name: getattr(evaluations, name) for name in EVALUATION_SQL}
+SQL = ENGINE_SQL | EVALUATION_SQL
 flagship = q.bm25_topk
 
 __all__ = ["QUERIES", "SQL", "flagship"]

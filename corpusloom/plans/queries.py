@@ -51,7 +51,7 @@ def leak_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an unfiltered search would leak to a retail reader, query by query."""
     docs = t.catalogued_documents(spark, sf_dir)
     hits = retrieval.enrich(retrieval.bm25_top(docs, _questions(spark, sf_dir)), docs.drop("text"))
-    return hits.groupBy("query_id").agg(F.count_if(F.col("sensitivity") == "restricted").alias("restricted"), F.count_if(F.col("tenant") != "retail").alias("wrong_tenant"), F.count_if(~F.col("is_current")).alias("superseded"))
+    return metrics.leaks(hits, "retail", "query_id")
 
 
 def query_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +208,8 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear, nearest-rank and upper-median percentiles by kind of event."""
     e = t.table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(metrics.percentile_linear("value", 0.5).alias("p50"), metrics.percentile_linear("value", 0.95).alias("p95"), metrics.percentile_nearest("value", 0.95).alias("p95_nearest"), metrics.median_upper("value").alias("p50_upper"), F.round(F.avg("value"), 4).alias("mean"))
+    smooth = e.groupBy("event_type").agg(metrics.percentile_linear("value", 0.5).alias("p50"), metrics.percentile_linear("value", 0.95).alias("p95"), F.round(F.avg("value"), 4).alias("mean"))
+    return smooth.join(metrics.picked(e, "value", {"p95_nearest": metrics.nearest_place(0.95), "p50_upper": metrics.middle_place()}, "event_type"), "event_type", "left")
 
 
 def ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,13 +337,13 @@ def round_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounds_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many users had how many purchases, 0 to 3 and with zeros filled."""
+    """How many days had how many errors, modulo 4 and with zeros filled."""
     e = t.table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg((F.count_if(F.col("event_type") == "error") % 4).cast("int").alias("rounds"))
     return ca.rounds_distribution(e, 3).select(F.col("rounds").cast("long").alias("rounds"), "n")
 
 
 def loop_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which limit stops a user's sequence of events first: 50 steps, 1500 tokens, or a purchase above 340 ends it."""
+    """Which limit stops a user's sequence of events first: 50 steps, 1500 tokens, or a purchase above 150 ends it."""
     e = t.table(spark, sf_dir, "events").withColumn("step", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     steps = e.select(F.col("user_id").alias("session_id"), "step", F.get_json_object("props", "$.k").cast("long").alias("tokens"), F.lit(0.0).alias("elapsed"), ((F.col("event_type") == "purchase") & (F.col("value") > 150)).alias("terminates"))
     out = conversation.first_breach(steps, 50, 1500, 60.0)

@@ -45,7 +45,7 @@ def no_retrieval_items(rows: DataFrame) -> DataFrame:
 def probe_items(probes: DataFrame, golden: DataFrame) -> DataFrame:
     """Probes with their source question's tenant where they name none."""
     source = golden.select(F.col("id").alias("source_id"), F.col("tenant").alias("source_tenant"))
-    j = probes.join(F.broadcast(source), "source_id")
+    j = probes.join(source, "source_id")
     return j.select("id", F.lit("repeat_traffic").alias("set"), F.col("query").alias("question"), F.coalesce("tenant", "source_tenant").alias("tenant"), F.lit("retrieve").alias("expected_gate"), F.lit(None).cast("string").alias("expected_outcome"), F.col("variant").alias("category"), "expect_cache", "corpus_version", "source_id")
 
 

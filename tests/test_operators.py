@@ -345,3 +345,38 @@ def test_unknown_match_rule_raises(spark):
     d = spark.createDataFrame([("a b", "a", "fuzzy")], "t string, q string, m string")
     with pytest.raises(Exception, match="unknown match rule"):
         d.select(tx.quote_matches(F.col("t"), F.col("q"), F.col("m"))).collect()
+
+
+def test_picked_places_equal_the_sorted_list(spark):
+    from corpusloom.operators import metrics
+
+    data = {"a": [3.0, 1.0, 1.0, 2.0, None], "b": [5.0], "c": [None]}
+    d = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "k string, v double")
+    got = {r.k: (r.near, r.mid) for r in metrics.picked(d, "v", {"near": metrics.nearest_place(0.5), "mid": metrics.middle_place()}, "k").collect()}
+    sure = {k: sorted(v for v in vs if v is not None) for k, vs in data.items()}
+    assert got == {k: (vs[round(0.5 * (len(vs) - 1))], vs[len(vs) // 2]) for k, vs in sure.items() if vs}
+
+
+def test_token_hits_equal_brute_force(spark):
+    from corpusloom.operators import metrics
+
+    docs = [(1, "Terms: 24 months | 3.95% | 4.05%"), (2, "(24)months4.05%"), (3, None), (4, ""), (5, "24 4.05%"), (5, "24 months 4.05%"), (6, "x" * 100_000 + "months 24,4.05%")]
+    quotes = [(1, "24 Months 4.05%"), (2, "x"), (3, ""), (4, "months")]
+    got = metrics.token_hits(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(quotes, "quote_id int, quote string"))
+    want = {(q, d) for q, quote in quotes for d, text in docs if quote and all(w in (text or "").lower() for w in quote.lower().split())}
+    assert sorted((r.quote_id, r.doc_id) for r in got.collect()) == sorted(want)
+    none = metrics.token_hits(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([], "quote_id int, quote string"))
+    assert none.count() == 0
+
+
+def test_limits_of_newest(spark):
+    import pytest
+
+    from corpusloom.operators import records
+
+    a = spark.createDataFrame([(1,)], "account_id int")
+    t = spark.createDataFrame([(1, 1, "2024-01-01")], "account_id int, id int, day string")
+    assert records.newest(a, t, "account_id", "day", "id", 50).count() == 1
+    for n in (0, 51):
+        with pytest.raises(ValueError):
+            records.newest(a, t, "account_id", "day", "id", n)

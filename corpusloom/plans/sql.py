@@ -72,8 +72,22 @@ _ROLLUP = f"""
   cast(sum(cost_usd) FILTER (purpose = 'signup') AS DOUBLE) AS cost_signup, cast(sum(cost_usd) FILTER (purpose = 'view') AS DOUBLE) AS cost_view
   FROM calls GROUP BY correlation_id)
 """
+_STOP = """CASE WHEN a + 800 < n AND contains(translate(substr(text, a + 751, 51), chr(10), ' '), ' ') THEN a + 801 - strpos(reverse(translate(substr(text, a + 751, 51), chr(10), ' ')), ' ') ELSE least(a + 800, n) END"""
 _ACCOUNTS = "accounts AS (SELECT c_custkey AS account_id, c_nationkey AS member_id, c_mktsegment AS type, cast(cast(c_acctbal AS DECIMAL(12,2)) AS DOUBLE) AS balance FROM customer)"
 
+# The redacted formats in this dialect, which has no look-behind.
+_FORMATS = {
+    "MEMBER": r"\bHCU-\d{6}\b",
+    "ACCOUNT": r"\b7730-\d{4}-\d{4}\b",
+    "SSN": r"\b9\d{2}-\d{2}-\d{4}\b",
+    "PHONE": r"\(555\) ?\d{3}-\d{4}\b|\b555[ .-]\d{3}-\d{4}\b|\b555-01\d{2}\b",
+    "EMAIL": r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.(?:com|org)\b",
+    "ADDRESS": r"\b\d{1,5}(?: [A-Z][a-z]+){1,3} (?:Lane|Street|Road|Court|Drive|Way|Avenue), [A-Z][a-z]+(?: [A-Z][a-z]+)?, ME 0\d{4}\b",
+}
+_REDACTED = r"regexp_replace(text, '(DOB:? )\d{2}/\d{2}/\d{4}', '\1[REDACTED-DOB]', 'g')"
+for _kind, _rx in _FORMATS.items():
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_rx}', '[REDACTED-{_kind}]', 'g')"
+
 SQL: dict[str, str] = {
     "bm25_topk": f"WITH {_BM25} " + _TOP.format("scores WHERE score > 0"),
     "bm25_term_stats": f"WITH {_BM25} SELECT term, round(idf, 6) AS idf FROM idf",
@@ -97,6 +111,7 @@ SQL: dict[str, str] = {
     "quote_survival": f"SELECT item_id AS quote_id, doc_id FROM benchmark b, documents d WHERE contains({_norm('d.text')}, {_norm('b.text')})",
     "pii_counts": r"""SELECT doc_id, len(regexp_extract_all(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.(?:com|org)\b')) AS emails,
       len(regexp_extract_all(text, '\(555\) ?\d{3}-\d{4}\b|\b555[ .-]\d{3}-\d{4}\b|\b555-01\d{2}\b')) AS phones, len(regexp_extract_all(text, '\b9\d{2}-\d{2}-\d{4}\b')) AS ssns FROM documents""",
+    "pii_redacted": rf"WITH r AS (SELECT doc_id, {_REDACTED} AS t FROM documents) SELECT doc_id, sha256(t) AS sha256, coalesce(len(regexp_extract_all(t, '\[REDACTED-[A-Z]+\]')), 0) AS n_spans FROM r",
     "running_lines": rf"""WITH l AS (SELECT source AS doc_id, doc_id AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
       f AS (SELECT * FROM l WHERE trim(line) <> ''),
       p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY no) AS top, row_number() OVER (PARTITION BY doc_id, page ORDER BY no DESC) AS low FROM f),
@@ -154,5 +169,17 @@ SQL: dict[str, str] = {
     "loop_limits": """WITH s AS (SELECT user_id, row_number() OVER w AS step, coalesce(sum(cast(json_extract_string(props, '$.k') AS BIGINT)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, event_type = 'purchase' AND value > 150 AS ends FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
       b AS (SELECT *, CASE WHEN step > 50 THEN 'terminated_iteration_limit' WHEN used >= 1500 THEN 'terminated_budget_limit' WHEN ends THEN 'terminated_success' END AS status FROM s)
       SELECT user_id AS session_id, arg_min(status, step) AS status, min(step) AS at_step FROM b WHERE status IS NOT NULL GROUP BY user_id""",
+    "fixed_chunks": f"""WITH RECURSIVE d AS (SELECT doc_id, text, translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ') AS s, length(text) AS n FROM documents WHERE text <> ''),
+      cut AS (SELECT doc_id, a, {_STOP} AS stop FROM (SELECT *, cast(0 AS BIGINT) AS a FROM d) UNION ALL
+        SELECT doc_id, a, {_STOP} FROM (SELECT doc_id, text, n, CASE WHEN contains(substr(s, b, stop - b), ' ') THEN b + strpos(substr(s, b, stop - b), ' ') - 1 ELSE stop END AS a
+          FROM (SELECT doc_id, stop, greatest(stop - 150, a + 1) AS b FROM cut) JOIN d USING (doc_id) WHERE stop < n)),
+      piece AS (SELECT doc_id, a, text, substr(s, a + 1, stop - a) AS p FROM cut JOIN d USING (doc_id)),
+      place AS (SELECT doc_id, text, a + length(p) - length(ltrim(p)) AS l, a + length(rtrim(p)) AS r FROM piece WHERE trim(p) <> '')
+      SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY l, r) - 1 AS INTEGER) AS chunk_index, cast(l AS INTEGER) AS char_start, cast(r AS INTEGER) AS char_end, sha256(substr(text, l + 1, r - l)) AS sha256 FROM place""",
+    "source_lines": """WITH c AS (SELECT conv_id, turn, length(text) % 7 AS d, length(text) AS n FROM conversations),
+      per AS (SELECT conv_id, d, min(turn) AS first, list_sort(list(DISTINCT n % 5 - 1) FILTER (n % 5 > 1)) AS pages, bool_or(n % 2 = 0) AS fees, bool_or(n % 11 = 0) AS made FROM c GROUP BY conv_id, d),
+      e AS (SELECT conv_id, first, 'Doc ' || d || CASE WHEN d % 6 = 0 THEN ' (version 3.0, effective 2025-01-01)' WHEN d % 2 = 0 THEN ' (version 3.0)' WHEN d % 3 = 0 THEN ' (effective 2025-01-01)' ELSE '' END
+        || CASE WHEN len(pages) > 0 THEN ', p.' || array_to_string(pages, ', ') ELSE '' END || CASE WHEN fees THEN ', Fees' ELSE '' END || CASE WHEN made THEN ' [includes a model-generated figure caption]' ELSE '' END AS entry FROM per)
+      SELECT conv_id AS correlation_id, 'Source: ' || coalesce(string_agg(entry, ' | ' ORDER BY first, entry), '') AS source_line FROM e GROUP BY conv_id""",
     "windowed_costs": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS calls, cast(sum(cast(value AS DECIMAL(18,2))) AS DOUBLE) AS cost FROM events GROUP BY ALL",
 }

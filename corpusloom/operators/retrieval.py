@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from corpusloom import params
 from corpusloom.functions import text as tx
-from corpusloom.storage import materialize, small_enough
+from corpusloom.storage import materialize, small_enough, spread
 
 
 def ranked(hits: DataFrame, n: int, query: str = "query_id", item: str = "doc_id") -> DataFrame:
@@ -23,17 +23,24 @@ def ranked(hits: DataFrame, n: int, query: str = "query_id", item: str = "doc_id
 
 def tokenized(docs: DataFrame) -> DataFrame:
     """doc_id, toks, written once: as an expression, the tokens would be made anew for each use."""
-    return materialize(docs.select("doc_id", tx.bm25_tokens(F.coalesce("text", F.lit(""))).alias("toks")), "tokens")
+    return materialize(spread(docs.select("doc_id", "text")).select("doc_id", tx.bm25_tokens(F.coalesce("text", F.lit(""))).alias("toks")), "tokens")
 
 
-def postings(toks: DataFrame) -> DataFrame:
-    """doc_id, length, term, tf: the lexical index. Partial sums keep a common term's rows in the map tasks."""
+def occurrences(toks: DataFrame) -> DataFrame:
+    """term, once for each document that holds it: all that document frequencies need."""
+    return toks.select(F.explode(F.array_distinct("toks")).alias("term"))
+
+
+def postings(toks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """doc_id, length, term, tf: the lexical index, or its part for a few terms (broadcast). Partial sums keep a common term's rows in the map tasks."""
     rows = toks.select("doc_id", F.size("toks").alias("length"), F.explode("toks").alias("term"))
+    if terms is not None:
+        rows = rows.join(F.broadcast(terms), "term", "left_semi")
     return rows.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_statistics(index: DataFrame, toks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, idf) and one row (n_docs, avg_length). Negative idf becomes a share of the mean idf."""
+    """(term, idf) and one row (n_docs, avg_length). ``index`` has a row for each term of each document. Negative idf becomes a share of the mean idf."""
     whole = toks.select(F.size("toks").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(whole.select("n_docs")))
     raw = materialize(df.select("term", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw")), "terms")
@@ -46,11 +53,12 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, places: int = 6) -> DataFra
     """query_id, doc_id, score > 0 of every query (query_id, text); repeated query tokens count each."""
     k1, b = params.BM25["k1"], params.BM25["b"]
     toks = tokenized(docs)
-    index = materialize(postings(toks), "postings")
-    idf, whole = term_statistics(index, toks)
+    idf, whole = term_statistics(occurrences(toks), toks)
     asked = queries.select("query_id", F.explode(tx.bm25_tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = materialize(asked.join(idf, "term"), "query-terms")
+    index = postings(toks)
     if small_enough(asked, params.BROADCAST_ROWS):
+        index = postings(toks, asked.select("term").distinct())
         asked = F.broadcast(asked)
     hits = index.join(asked, "term").join(F.broadcast(whole))
     part = F.col("times") * F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length"))))

@@ -12,6 +12,7 @@ from corpusloom.operators import calls as ca
 from corpusloom.operators import chunking, cleaning, conversation, dedupe, filters, metrics, pii, records, retrieval
 from corpusloom.plans import tables as t
 from corpusloom.sources import loaders
+from corpusloom.storage import spread
 
 #: A stated query set against all rows: every vector whose id is divisible by this.
 QUERY_STEP = 50
@@ -36,7 +37,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     toks = retrieval.tokenized(_docs(spark, sf_dir))
-    idf, _ = retrieval.term_statistics(retrieval.postings(toks), toks)
+    idf, _ = retrieval.term_statistics(retrieval.occurrences(toks), toks)
     return idf.select("term", F.round("idf", 6).alias("idf"))
 
 
@@ -154,7 +155,7 @@ def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.scrub(_docs(spark, sf_dir).select("doc_id", "text"))
+    out = pii.scrub(spread(_docs(spark, sf_dir).select("doc_id", "text")))
     return out.select("doc_id", F.sha2("text", 256).alias("sha256"), F.size("pii_spans").cast("long").alias("n_spans"))
 
 

@@ -14,6 +14,7 @@ from corpusloom.operators import cleaning, conversation, filters, metrics, recor
 from corpusloom.plans import tables as t
 from corpusloom.plans.queries import _docs, _dollars, _questions, recall_precision
 from corpusloom.plans.sql import _CALLS, _EMPTY, _ROLLUP, _SCORED, _norm
+from corpusloom.storage import spread
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def _pick(value: Column, *options: str | None) -> Column:
 
 def token_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which every token of a benchmark text occurs."""
-    return metrics.token_hits(_docs(spark, sf_dir), _questions(spark, sf_dir).select(F.col("query_id").alias("quote_id"), F.col("text").alias("quote")))
+    return metrics.token_hits(spread(_docs(spark, sf_dir).select("doc_id", "text")), _questions(spark, sf_dir).select(F.col("query_id").alias("quote_id"), F.col("text").alias("quote")))
 
 
 def _graded(spark, sf_dir):

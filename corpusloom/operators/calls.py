@@ -260,3 +260,33 @@ def check_rates(grades: DataFrame) -> DataFrame:
     """passed and n of each check."""
     each = grades.select(F.explode("checks").alias("check", "ok"))
     return each.groupBy("check").agg(F.count_if("ok").alias("passed"), F.count(F.lit(1)).alias("n"))
+
+
+def gate_scores(items: DataFrame, relabels: DataFrame, tools: DataFrame, *keys: str) -> DataFrame:
+    """n, right answers of the gate by its stated labels and by those that the advertised tools leave valid. ``items``: id, expected, actual."""
+    marked = relabelled(items.withColumn("stated", F.col("expected")), relabels, tools)
+    return marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("actual") == F.col("stated")).alias("raw"), F.count_if(F.col("actual") == F.col("expected")).alias("right"), F.count_if("relabelled").alias("relabelled"))
+
+
+def grade_changes(old: DataFrame, new: DataFrame, key: str, field: str) -> DataFrame:
+    """change (old->new), n of the grades that differ between two gradings; a null grade is none."""
+    none = F.lit("none")
+    before = old.select(key, F.coalesce(field, none).alias("before"))
+    both = new.select(key, F.coalesce(field, none).alias("after")).join(before, key).where("before <> after")
+    return both.groupBy(F.concat_ws("->", "before", "after").alias("change")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def without_interaction(calls: DataFrame) -> DataFrame:
+    """Calls that name no interaction, which no bill counts."""
+    return calls.where(F.coalesce("correlation_id", F.lit("")) == "")
+
+
+def to_judge(rows: DataFrame, item: str, question: str, answer: str) -> DataFrame:
+    """item and what the judge is asked, of answers to answerable questions; others need no judge."""
+    asked = F.concat(F.lit("Question:\n"), F.col(question), F.lit("\n\nAnswer:\n"), F.col(answer))
+    return rows.where((F.col("outcome_expected") == "answered") & (F.col("outcome") == "answered")).select(item, asked.alias("request"))
+
+
+def latest_run(rows: DataFrame, run: str, *keys: str) -> DataFrame:
+    """The rows of each key's latest run."""
+    return rows.join(rows.groupBy(*keys).agg(F.max(run).alias(run)), [*keys, run], "left_semi")

@@ -110,3 +110,33 @@ def source_lines(citations: DataFrame) -> DataFrame:
     )
     lines = per.select("correlation_id", F.struct("first", entry.alias("entry")).alias("e")).groupBy("correlation_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
     return lines.select("correlation_id", F.concat(F.lit("Source: "), F.array_join(F.transform("es", lambda e: e["entry"]), " | ")).alias("source_line"))
+
+
+def observations(attempts: DataFrame, most: int = 3) -> DataFrame:
+    """call_id, attempts, result, error: the first success within ``most`` attempts, else the last of their errors.
+
+    ``attempts``: call_id, attempt (from 1), result, error (null for a success).
+    """
+    ok = F.col("error").isNull()
+    per = attempts.where(F.col("attempt") <= most).groupBy("call_id").agg(
+        F.min(F.when(ok, F.col("attempt"))).alias("good"),
+        F.max("attempt").alias("tried"),
+        F.min_by("result", F.when(ok, F.col("attempt"))).alias("result"),
+        F.max_by("error", "attempt").alias("error"),
+    )
+    failed = F.col("good").isNull()
+    return per.select("call_id", F.coalesce("good", "tried").alias("attempts"), F.when(~failed, F.col("result")).alias("result"), F.when(failed, F.col("error")).alias("error"))
+
+
+def history(turns: DataFrame, most: int, session: str = "session_id", turn: str = "turn") -> DataFrame:
+    """What was said in up to ``most`` turns (role, text) before each one, a line for each; empty at the start."""
+    before = Window.partitionBy(session).orderBy(turn).rowsBetween(-most, -1)
+    line = F.concat("role", F.lit(": "), F.coalesce("text", F.lit("")))
+    return turns.withColumn("history", F.array_join(F.collect_list(line).over(before), "\n"))
+
+
+def attempts_text(rounds: DataFrame, most: int = params.MAX_ROUNDS) -> DataFrame:
+    """correlation_id and its rounds (n, query, verdict) as the text that the planner is shown."""
+    r = rounds.where(F.col("n") <= most).groupBy("correlation_id").agg(F.array_sort(F.collect_list(F.struct("n", "query", "verdict"))).alias("r"))
+    line = lambda x: F.concat(F.lit("Round "), x["n"].cast("string"), F.lit(": "), x["query"], F.lit(" ["), x["verdict"], F.lit("]"))
+    return r.select("correlation_id", F.array_join(F.transform("r", line), "\n").alias("attempts"))

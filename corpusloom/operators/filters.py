@@ -85,6 +85,13 @@ def enforce(calls: DataFrame, grants: DataFrame, tools: DataFrame) -> DataFrame:
     return out.select(*[c for c in calls.columns if c != "arguments"], redacted.alias("arguments"), F.when(outcome.isin("forbidden", "invalid_arguments"), "denied").otherwise("allowed").alias("decision"), outcome.alias("outcome"), error.alias("error"))
 
 
+def audit(decided: DataFrame, refused: DataFrame) -> DataFrame:
+    """call_id, caller, source, decision, outcome: decisions of the authorization and requests that never reached it (call_id, caller)."""
+    late = decided.select("call_id", "caller", F.lit("authorization").alias("source"), "decision", "outcome")
+    early = refused.select("call_id", "caller", F.lit("transport").alias("source"), F.lit("denied").alias("decision"), F.lit("unauthenticated").alias("outcome"))
+    return late.unionByName(early)
+
+
 def visible_tools(tools: DataFrame, allowed: list[str] | None) -> DataFrame:
     return tools if allowed is None else tools.where(F.col("tool").isin(*allowed))
 

@@ -149,3 +149,21 @@ def citation(title: Column, version: Column, page_start: Column, page_end: Colum
     """Title, version, pages and last section, those that there are."""
     pages = F.when(page_start > 0, F.when(page_end != page_start, F.concat(F.lit("p."), page_start, F.lit("-"), page_end)).otherwise(F.concat(F.lit("p."), page_start)))
     return F.concat_ws(", ", title, F.nullif(version, F.lit("")), pages, F.nullif(F.element_at(F.split(section_path, " > "), -1), F.lit("")))
+
+
+def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, keep: Column | None = None, candidates: int = params.RETRIEVAL["candidates"], n: int = params.RETRIEVAL["top_k"]) -> DataFrame:
+    """query_id, doc_id, score, rank: lexical and vector candidates of each query, fused by rank and cut.
+
+    ``vectors``: doc_id, embedding; ``queries``: query_id, text, embedding. ``keep`` filters documents before either list is cut.
+    """
+    lexical = bm25_top(docs, queries.select("query_id", "text"), candidates, keep)
+    if keep is not None:
+        vectors = vectors.join(docs.where(keep).select("doc_id"), "doc_id", "left_semi")
+    near = vector_top(vectors.select(F.col("doc_id").alias("vec_id"), "embedding"), queries.select("query_id", "embedding"), candidates)
+    return rrf(lexical, near.withColumnRenamed("vec_id", "doc_id")).where(F.col("rank") <= n)
+
+
+def over_limit(docs: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """How many texts of each key have more words than an embedding model takes."""
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"))
+    return docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("texts"), F.count_if(words > limit).alias("over"))

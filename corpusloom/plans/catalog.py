@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import evaluations
+from corpusloom.plans import controls, evaluations
 from corpusloom.plans import queries as q
+from corpusloom.plans.controls import CONTROL_SQL
 from corpusloom.plans.evaluations import EVALUATION_SQL
 from corpusloom.plans.sql import SQL as ENGINE_SQL
 
@@ -18,8 +19,8 @@ NAMES = (
     "newest_transactions accounts_by_member account_lookup json_limit_lookup figure_check authz_decisions reference_resolution cache_probe replay_diff per_run_failures "
     "confusion orphans round_outcomes rounds_distribution loop_limits source_lines windowed_costs"
 ).split()
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(q, name) for name in NAMES} | {name: getattr(evaluations, name) for name in EVALUATION_SQL}
-SQL = ENGINE_SQL | EVALUATION_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(q, name) for name in NAMES} | {name: getattr(evaluations, name) for name in EVALUATION_SQL} | {name: getattr(controls, name) for name in CONTROL_SQL}
+SQL = ENGINE_SQL | EVALUATION_SQL | CONTROL_SQL
 flagship = q.bm25_topk
 
 __all__ = ["QUERIES", "SQL", "flagship"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,31 +73,57 @@ def bm25_top(docs: DataFrame, queries: DataFrame, n: int = params.RETRIEVAL["top
     return ranked(hits, n)
 
 
+#: Queries and vectors that are multiplied at a time: a tile of scores takes 16 MB.
+TILE = (512, 4096)
+
+
+def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of at most a tile's rows, read from the Arrow buffers; rows without a vector are left out."""
+    for batch in batches:
+        batch = batch.filter(batch.column("embedding").is_valid())
+        for at in range(0, batch.num_rows, TILE[1]):
+            part = batch.slice(at, TILE[1])
+            yield part.column("vec_id").to_numpy(), part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+
+
+def _first_of_each(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n best hits of each row number, by score, then id."""
+    order = np.lexsort((ids, -scores, rows))
+    rows, scores, ids = rows[order], scores[order], ids[order]
+    first = np.arange(len(rows)) - np.searchsorted(rows, rows) < n
+    return rows[first], scores[first], ids[first]
+
+
+def _tile_best(q: np.ndarray, m: np.ndarray, n: int, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, score, column) of every score that is no lower than its row's n-th best: ties at the cut all stay."""
+    s = np.round(q @ m.T, places)
+    cut = np.partition(s, -n, axis=1)[:, [-n]] if s.shape[1] > n else np.full((len(s), 1), -np.inf)
+    rows, columns = np.nonzero(s >= cut)
+    return rows, s[rows, columns], columns
+
+
 def vector_top(vectors: DataFrame, queries: DataFrame, n: int = params.RETRIEVAL["top_k"], places: int = 6, most_queries: int = 20_000) -> DataFrame:
     """query_id, vec_id, score, rank: exact inner products of unit vectors.
 
     Queries (query_id, embedding) are sent out in blocks of at most ``most_queries``; every task multiplies its vectors with the
-    block, keeps n candidates for each query, and the final window merges the tasks' candidates.
+    block, tile by tile, keeps n candidates for each query, and the final window merges the tasks' candidates.
     """
     out = None
     for block in _blocks(queries, most_queries):
-        ids, matrix = block
-        sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+        sent = vectors.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
             q_ids, q = sent.value
-            best_s, best_i = np.full((len(q_ids), 0), 0.0), np.zeros((len(q_ids), 0), np.int64)
-            for batch in batches:
-                m = np.array(batch.column("embedding").to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-                if not len(m):
-                    continue
-                s = np.round(q @ m.T, places)
-                v = np.broadcast_to(batch.column("vec_id").to_numpy(), s.shape)
-                best_s, best_i = np.concatenate([best_s, s], 1), np.concatenate([best_i, v], 1)
-                order = np.lexsort((best_i, -best_s), axis=1)[:, :n]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            if best_s.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, best_s.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel())], ["query_id", "vec_id", "score"])
+            best = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+            for ids, m in _matrices(batches):
+                tiles = []
+                for at in range(0, len(q), TILE[0]):
+                    rows, scores, columns = _tile_best(q[at : at + TILE[0]], m, n, places)
+                    tiles.append((rows + at, scores, ids[columns]))
+                best = _first_of_each(*[np.concatenate([b, *x]) for b, x in zip(best, zip(*tiles, strict=True), strict=True)], n)
+            rows, scores, ids = best
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
 
         part = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
         out = part if out is None else out.unionByName(part)

@@ -380,3 +380,41 @@ def test_limits_of_newest(spark):
     for n in (0, 51):
         with pytest.raises(ValueError):
             records.newest(a, t, "account_id", "day", "id", n)
+
+
+def test_vector_top_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TILE", (3, 4))
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randint(-1, 1)) for _ in range(3)]) for i in range(60)]
+    asked = [(100 + i, v) for i, v in rows[:7]]
+    vectors = spark.createDataFrame([*rows, (99, None)], "vec_id long, embedding array<double>")
+    got = retrieval.vector_top(vectors, spark.createDataFrame(asked, "query_id long, embedding array<double>"), 5, most_queries=4)
+    want = set()
+    for q, v in asked:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows)[:5]
+        want |= {(q, i, -s, at + 1) for at, (s, i) in enumerate(best)}
+    assert {(r.query_id, r.vec_id, r.score, r.rank) for r in got.collect()} == want
+    assert not retrieval.vector_top(vectors, vectors.limit(0).withColumnRenamed("vec_id", "query_id")).count()
+
+
+def test_search_filters_before_the_cut(spark):
+    docs = spark.createDataFrame([(i, f"fee schedule {'card ' * i}", i % 2 == 0) for i in range(1, 9)] + [(50, None, True), (51, "other words", True), (52, "more", False)], "doc_id long, text string, ok boolean")
+    vectors = docs.select("doc_id", F.array(F.lit(1.0), F.col("doc_id") / 10.0).alias("embedding"))
+    asked = spark.createDataFrame([(1, "card", [0.0, 1.0])], "query_id long, text string, embedding array<double>")
+    got = [(r.doc_id, r.rank) for r in retrieval.search(docs, vectors, asked, keep=F.col("ok"), candidates=2, n=3).orderBy("rank").collect()]
+    assert {d for d, _ in got} <= {2, 4, 6, 8, 50, 51} and [k for _, k in got] == [1, 2, 3]
+    assert {51, 50} & {d for d, _ in got} and {6, 8} & {d for d, _ in got}
+
+
+def test_observations(spark):
+    tries = [("a", 1, None, "x"), ("a", 2, "r", None), ("b", 1, None, "x"), ("b", 2, None, "y"), ("b", 3, None, "z"), ("b", 4, "late", None), ("c", 1, None, None)]
+    got = {r.call_id: (r.attempts, r.result, r.error) for r in conversation.observations(spark.createDataFrame(tries, "call_id string, attempt int, result string, error string")).collect()}
+    assert got == {"a": (2, "r", None), "b": (3, None, "z"), "c": (1, None, None)}
+
+
+def test_history_and_attempts(spark):
+    turns = spark.createDataFrame([(1, 1, "user", "hi"), (1, 2, "assistant", None), (1, 3, "user", "more"), (2, 1, "user", "x")], "session_id int, turn int, role string, text string")
+    got = {(r.session_id, r.turn): r.history for r in conversation.history(turns, 2).collect()}
+    assert got == {(1, 1): "", (1, 2): "user: hi", (1, 3): "user: hi\nassistant: ", (2, 1): ""}
+    rounds = spark.createDataFrame([(1, 2, "b", "answered"), (1, 1, "a", "poor"), (1, 9, "c", "poor")], "correlation_id int, n int, query string, verdict string")
+    assert conversation.attempts_text(rounds).first().attempts == "Round 1: a [poor]\nRound 2: b [answered]"

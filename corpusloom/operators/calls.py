@@ -87,13 +87,13 @@ def rounds_distribution(rows: DataFrame, most: int = params.MAX_ROUNDS) -> DataF
 
 
 def ledger_totals(ledger: DataFrame, *keys: str) -> DataFrame:
-    """Totals overall and by each key: one pass with grouping sets. Columns: title, name, calls, cost."""
+    """Totals overall and by each key, dearest first: one pass with grouping sets. Columns: title, name, calls, cost."""
     sets = [[], *[[F.col(k)] for k in keys]]
     title = F.lit("total")
     for k in keys:
         title = F.when(F.grouping(k) == 0, F.lit(k)).otherwise(title)
     out = ledger.groupingSets(sets, *[F.col(k) for k in keys]).agg(title.alias("title"), F.count(F.lit(1)).alias("calls"), F.sum("cost_usd").alias("cost"))
-    return out.select("title", F.coalesce(*[F.col(k).cast("string") for k in keys]).alias("name"), "calls", "cost")
+    return out.select("title", F.coalesce(*[F.col(k).cast("string") for k in keys]).alias("name"), "calls", "cost").orderBy("title", F.desc("cost"), "name")
 
 
 def budget_guard(ledger: DataFrame, guard: float, key: str, order: tuple[str, ...]) -> DataFrame:

@@ -70,8 +70,8 @@ def pii_leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redactions by document and kind that an inventory of all e-mail addresses doesn't hold."""
-    listed = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(pii.PATTERNS["EMAIL"][0]), F.lit(0))).alias("value"))
+    """Redactions by document and kind that an inventory, of first e-mail addresses of one host, doesn't hold."""
+    listed = _docs(spark, sf_dir).select(F.regexp_extract("text", pii.PATTERNS["EMAIL"][0], 0).alias("value")).where("value LIKE '%@mail1.%'")
     found = pii.false_positives(listed, _scrubbed(spark, sf_dir))
     return found.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -243,7 +243,8 @@ CONTROL_SQL: dict[str, str] = {
     "pii_type_counts": f"WITH {_LOG} SELECT doc_id, lower(kind) AS type, n FROM log WHERE n > 0",
     "pii_leaked": f"""WITH {_LOG}, i AS (SELECT doc_id, 'EMAIL' AS pii_type, regexp_extract(text, '{_FORMATS['EMAIL']}') AS value FROM documents UNION ALL SELECT doc_id, 'START', substr(text, 1, 12) FROM documents)
       SELECT doc_id, pii_type, value FROM i JOIN r USING (doc_id) WHERE value <> '' AND contains(t, value)""",
-    "pii_false_positives": f"WITH {_LOG} SELECT doc_id, kind AS type, n FROM log WHERE n > 0 AND kind <> 'EMAIL'",
+    "pii_false_positives": f"""WITH {_LOG}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_FORMATS['EMAIL']}')) AS value FROM documents), i AS (SELECT DISTINCT regexp_extract(text, '{_FORMATS['EMAIL']}') AS value FROM documents)
+      SELECT doc_id, kind AS type, n FROM log WHERE n > 0 AND kind <> 'EMAIL' UNION ALL SELECT doc_id, 'EMAIL', count(*) FROM m WHERE value NOT IN (SELECT value FROM i WHERE value LIKE '%@mail1.%') GROUP BY doc_id""",
     "claim_stages": f"WITH {_E} SELECT event_id, CASE k % 7 WHEN 0 THEN 'no_text_block' WHEN 1 THEN 'json_parse' WHEN 2 THEN 'claim_schema' WHEN 3 THEN 'no_tool_call' WHEN 4 THEN 'wrong_tool_name' WHEN 5 THEN 'tool_schema' END AS stage FROM e",
     "action_errors": f"WITH {_E} SELECT event_id, CASE k % 7 WHEN 1 THEN 'unregistered tool' WHEN 2 THEN 'missing args' WHEN 3 THEN 'missing required args' WHEN 4 THEN 'invalid decision' WHEN 5 THEN 'missing reasoning' WHEN 6 THEN 'unknown action' END AS error FROM e",
     "turn_errors": f"WITH {_E} SELECT event_id, CASE k % 6 WHEN 1 THEN 'missing reasoning' WHEN 2 THEN 'unregistered tool' WHEN 3 THEN 'invalid account_reference' WHEN 5 THEN 'unknown action' END AS error FROM e",

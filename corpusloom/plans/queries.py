@@ -132,7 +132,8 @@ def canonical_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.near_pairs(_docs(spark, sf_dir)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Pairs of near copies, the most alike first."""
+    return dedupe.near_pairs(_docs(spark, sf_dir)).select("a", "b", F.round("jaccard", 6).alias("jaccard")).orderBy(F.desc("jaccard"), "a", "b")
 
 
 def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def query_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _vector_hits(spark, sf_dir, n=params.RETRIEVAL["top_k"]):
     v = t.table(spark, sf_dir, "embeddings")
     asked = v.where(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    return retrieval.vector_top(v, asked, n)
+    return retrieval.vector_top(spread(v.select("vec_id", "embedding")), asked, n)
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

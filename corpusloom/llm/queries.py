@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontamination, fingerprints, jaccard, language, mixing, quality, secrets, toxicity, urlfilter
+from corpusloom.llm import chat, decontamination, fingerprints, jaccard, language, mixing, negatives, notices, quality, ranking, secrets, toxicity, urlfilter
 from corpusloom.storage import materialize, shared_dir
 
 
@@ -69,8 +69,21 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("positions", "source")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_toxicity, op3_secret_scans, op4_benchmark_decontamination, op5_quality_classifier, op6_ngram_jaccard_join, op7_url_filters, op8_language_id, op9_document_fingerprints, op10_source_mixing)
+    f.__name__: f
+    for f in (op1_chat_formatting, op2_toxicity, op3_secret_scans, op4_benchmark_decontamination, op5_quality_classifier, op6_ngram_jaccard_join, op7_url_filters, op8_language_id, op9_document_fingerprints, op10_source_mixing, op11_ranked_search, op12_hard_negatives, op13_license_scans)
 }
 
 _OP1 = r"""
@@ -160,4 +173,36 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(g, d.doc_id) AS componen
 LEFT JOIN (SELECT doc_id, s.n, g FROM sets s JOIN firsts f USING (same) JOIN (SELECT id, min(other) AS g FROM reach GROUP BY id) r ON r.id = f.id) USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op1_chat_formatting": _OP1, "op4_benchmark_decontamination": _OP4, "op6_ngram_jaccard_join": _OP6, "op7_url_filters": _OP7}
+_OP11 = r"""
+WITH asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS toks FROM documents
+), whole AS (SELECT count(*) FILTER (len(toks) > 0) AS docs, cast(sum(len(toks)) AS BIGINT) AS total FROM docs),
+postings AS (
+  SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(toks) AS n, unnest(toks) AS term FROM docs) SEMI JOIN asked USING (term) GROUP BY ALL
+), weights AS (SELECT term, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, whole GROUP BY term),
+scored AS (
+  SELECT item_id, row, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM postings JOIN weights USING (term) JOIN asked USING (term), whole GROUP BY ALL
+)
+SELECT item_id, cast(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 50
+"""
+
+_OP12 = r"""
+WITH given AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * cast(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), anchors AS (SELECT vec_id AS anchor_id, label AS own, v AS a FROM given WHERE vec_id % 100 = 0),
+scored AS (SELECT anchor_id, own, vec_id, label, cast(list_dot_product(a, v) AS BIGINT) AS score FROM anchors, given),
+positives AS (
+  SELECT * FROM (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+  FROM scored WHERE label = own AND vec_id <> anchor_id) WHERE place <= 5
+), found AS (
+  SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND s.label <> s.own AND 80 * positive_score <= 100 * score AND score <= positive_score
+)
+SELECT anchor_id, positive_id, cast(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 5
+"""
+
+SQL: dict[str, str] = {"op11_ranked_search": _OP11, "op12_hard_negatives": _OP12, "op1_chat_formatting": _OP1, "op4_benchmark_decontamination": _OP4, "op6_ngram_jaccard_join": _OP6, "op7_url_filters": _OP7}

@@ -177,14 +177,17 @@ def citation(title: Column, version: Column, page_start: Column, page_end: Colum
     return F.concat_ws(", ", title, F.nullif(version, F.lit("")), pages, F.nullif(F.element_at(F.split(section_path, " > "), -1), F.lit("")))
 
 
-def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, keep: Column | None = None, candidates: int = params.RETRIEVAL["candidates"], n: int = params.RETRIEVAL["top_k"]) -> DataFrame:
+def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, keep: Column | None = None, candidates: int = params.RETRIEVAL["candidates"], n: int = params.RETRIEVAL["top_k"], index=None) -> DataFrame:
     """query_id, doc_id, score, rank: lexical and vector candidates of each query, fused by rank and cut.
 
     ``vectors``: doc_id, embedding; ``queries``: query_id, text, embedding. ``keep`` filters documents before either list is cut.
+    ``index``: a stored lexical index of the documents; without it their tokens are counted anew.
     """
-    lexical = bm25_top(docs, queries.select("query_id", "text"), candidates, keep)
-    if keep is not None:
-        vectors = vectors.join(docs.where(keep).select("doc_id"), "doc_id", "left_semi")
+    kept = docs.where(keep).select("doc_id") if keep is not None else None
+    asked = queries.select("query_id", "text")
+    lexical = bm25_top(docs, asked, candidates, keep) if index is None else index.top(asked, candidates, kept)
+    if kept is not None:
+        vectors = vectors.join(kept, "doc_id", "left_semi")
     near = vector_top(vectors.select(F.col("doc_id").alias("vec_id"), "embedding"), queries.select("query_id", "embedding"), candidates)
     return rrf(lexical, near.withColumnRenamed("vec_id", "doc_id")).where(F.col("rank") <= n)
 

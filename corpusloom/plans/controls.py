@@ -14,7 +14,7 @@ from corpusloom.operators import calls as ca
 from corpusloom.operators import conversation, filters, metrics, pii, retrieval, validation
 from corpusloom.plans import tables as t
 from corpusloom.plans.evaluations import _E, _events, _pick
-from corpusloom.plans.queries import _docs, _label_hits, _vector_hits
+from corpusloom.plans.queries import _docs, _index, _label_hits, _vector_hits
 from corpusloom.plans.sql import _BM25, _CATALOG, _FORMATS, _LAB, _REDACTED, _VEC
 from corpusloom.storage import spread
 
@@ -24,7 +24,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.catalogued_documents(spark, sf_dir)
     vectors = t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = t.table(spark, sf_dir, "benchmark").join(vectors.withColumnRenamed("doc_id", "item_id"), "item_id").select(F.col("item_id").alias("query_id"), "text", "embedding")
-    hits = retrieval.search(docs, vectors, asked, keep=filters.where(filters.access("retail")))
+    hits = retrieval.search(docs, vectors, asked, keep=filters.where(filters.access("retail")), index=_index(spark, sf_dir))
     n = F.col("doc_id")
     named = retrieval.citation(F.concat(F.lit("Doc "), n.cast("string")), F.when(n % 2 == 0, "3.0").otherwise(""), n % 4, n % 4 + n % 3, F.lit("Rates > Fees"))
     return hits.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"), named.alias("citation"))

@@ -12,7 +12,8 @@ from corpusloom.operators import calls as ca
 from corpusloom.operators import chunking, cleaning, conversation, dedupe, filters, metrics, pii, records, retrieval
 from corpusloom.plans import tables as t
 from corpusloom.sources import loaders
-from corpusloom.storage import spread
+from corpusloom.sources.lexical import LexicalIndex
+from corpusloom.storage import shared_dir, spread
 
 #: A stated query set against all rows: every vector whose id is divisible by this.
 QUERY_STEP = 50
@@ -30,28 +31,31 @@ def _dollars(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
 
+def _index(spark, sf_dir):
+    """The stored index of the documents: the first query that asks for it builds it, later ones find it in the shared folder."""
+    return LexicalIndex.of(_docs(spark, sf_dir), shared_dir(spark))
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best documents of every benchmark text."""
-    return retrieval.bm25_top(_docs(spark, sf_dir), _questions(spark, sf_dir)).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return _index(spark, sf_dir).top(_questions(spark, sf_dir)).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = retrieval.tokenized(_docs(spark, sf_dir))
-    idf, _ = retrieval.term_statistics(retrieval.occurrences(toks), toks)
-    return idf.select("term", F.round("idf", 6).alias("idf"))
+    return _index(spark, sf_dir).term_statistics().select("term", F.round("idf", 6).alias("idf"))
 
 
 def filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best documents that a retail reader may see: the filter comes before the cut, statistics cover all documents."""
     docs = t.catalogued_documents(spark, sf_dir)
-    hits = retrieval.bm25_top(docs, _questions(spark, sf_dir), keep=filters.where(filters.access("retail")))
+    hits = _index(spark, sf_dir).top(_questions(spark, sf_dir), keep=docs.where(filters.where(filters.access("retail"))).select("doc_id"))
     return hits.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def leak_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an unfiltered search would leak to a retail reader, query by query."""
     docs = t.catalogued_documents(spark, sf_dir)
-    hits = retrieval.enrich(retrieval.bm25_top(docs, _questions(spark, sf_dir)), docs.drop("text"))
+    hits = retrieval.enrich(_index(spark, sf_dir).top(_questions(spark, sf_dir)), docs.drop("text"))
     return metrics.leaks(hits, "retail", "query_id")
 
 

@@ -145,7 +145,8 @@ def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def closest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.closest(dedupe.near_pairs(_docs(spark, sf_dir))).select("doc_id", "other", F.round("jaccard", 6).alias("jaccard"))
+    """Each text's most similar other one, however little they have in common."""
+    return dedupe.closest(_docs(spark, sf_dir)).select("doc_id", "other", F.round("jaccard", 6).alias("jaccard"))
 
 
 def quote_survival(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,7 +107,7 @@ SQL: dict[str, str] = {
     "near_dups": f"WITH {_PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs",
     "dup_groups": f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT id, id AS other FROM reps UNION SELECT r.id, e.b FROM reach r JOIN e ON r.other = e.a)
       SELECT doc_id, g AS group_id FROM norms JOIN reps USING (norm) JOIN (SELECT id, min(other) AS g FROM reach GROUP BY id) USING (id)""",
-    "closest_documents": f"WITH {_PAIRS}, m AS (SELECT a AS doc_id, b AS other, jaccard FROM pairs UNION ALL SELECT b, a, jaccard FROM pairs) SELECT doc_id, other, round(jaccard, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, other) AS p FROM m) WHERE p = 1",
+    "closest_documents": f"WITH {_PAIRS.replace(' WHERE c / (p.n + q.n - c) >= 0.9', '')}, m AS (SELECT a AS doc_id, b AS other, jaccard FROM pairs UNION ALL SELECT b, a, jaccard FROM pairs) SELECT doc_id, other, round(jaccard, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, other) AS p FROM m) WHERE p = 1",
     "quote_survival": f"SELECT item_id AS quote_id, doc_id FROM benchmark b, documents d WHERE contains({_norm('d.text')}, {_norm('b.text')})",
     "pii_counts": r"""SELECT doc_id, len(regexp_extract_all(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.(?:com|org)\b')) AS emails,
       len(regexp_extract_all(text, '\(555\) ?\d{3}-\d{4}\b|\b555[ .-]\d{3}-\d{4}\b|\b555-01\d{2}\b')) AS phones, len(regexp_extract_all(text, '\b9\d{2}-\d{2}-\d{4}\b')) AS ssns FROM documents""",

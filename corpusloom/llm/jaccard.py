@@ -4,10 +4,10 @@ A document's set holds the distinct hashes of its five-word shingles. Distance i
 documents link at distance EPSILON = 1/4 or less.
 
 1. Equal sets are one entity from here on.
-2. Pivots: in one total order of all shingles, linked sets must share some of their first n - ceil(3n/4) + k shingles, and
-   k at least of them. Shingles that many documents hold, or that common words make by chance, are last in the order
-   (hashed counts over all documents decide; whatever the counts, the join stays exact). The smallest entity that holds a
-   leading shingle is a pivot, and known to all that hold it. So linked entities know a common pivot, and the number of pivots
+2. Pivots: in one total order of all shingles, a set and a smaller one that it links to share k at least of the larger one's first n - ceil(3n/4) + k
+   and the smaller one's first n - ceil(6n/7) + k shingles: the smaller set's prefix is the short one. Shingles that many documents hold, or that common words make by chance, are last in the order
+   (hashed counts over all documents decide; whatever the counts, the join stays exact). The smallest set with a shingle in its short prefix is a pivot, and known to all
+   that hold the shingle in a prefix; a shingle that is in no short prefix, as those of a template, joins nobody. So linked entities know a common pivot, and the number of pivots
    follows the number of neighbourhoods, where pivots drawn at random would be at distance 1 from nearly all documents.
 3. Cells: every entity is at home in the cell of the nearest pivot that it knows (with which it shares the most leading shingles), and a boundary
    replica in the cells of the others. It meets the pivot of its home at its exact distance; within EPSILON it is of its class.
@@ -15,8 +15,9 @@ documents link at distance EPSILON = 1/4 or less.
    sizes that fit). Entities with nobody of another class in their window leave the cell; a replica, whose distance isn't known, is in all windows.
    What two sets can have in common at most is known from short profiles (counts of their shingles in buckets); texts are read only where that allows a link.
 5. Recursion: what is left of a cell elects new pivots among its members outside its largest class; all members meet them
-   and pivots leave, having met everybody. If not all of these can be pivots at once, the cell is divided into the Voronoi cells of the new
-   pivots (all distances are known now), with replicas at 2 EPSILON from a boundary, where that makes smaller cells; and so on.
+   and pivots leave, having met everybody. If not all of these can be pivots at once, few are, and the cell is divided into the Voronoi cells of these
+   (all distances are known now), with replicas at 2 EPSILON from a boundary, where that makes smaller cells; and so on. A cell that can't be divided, since all its
+   members are about as far from each other, goes on whole, and profiles say which members meet the pivots.
 
 A cell is worked on in groups of at most GROUP members with a copy of its pivots, so no cell is in one task, and no task holds
 more than the sets of one group's pivots. Of the links found in a group only those that join classes go on: at most one for each member.
@@ -41,7 +42,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.llm import textkit as tk
 from corpusloom.llm.sketches import chunk_rows, merge_chunks
-from corpusloom.storage import materialize, small_enough
+from corpusloom.storage import discard, materialize, small_enough
 
 NEED, OF = 75, 100
 EPSILON = 1 - NEED / OF
@@ -52,10 +53,8 @@ CHUNKS = 64
 BROADCAST_IDS = 1_000_000
 #: Linked sets must share one more leading shingle for each so many shingles.
 SHARED_OF = 16
-#: Members of a cell that meet its pivots in one group; pivots of a cell in one round, and the shingles these may hold together.
-GROUP, PIVOTS, PIVOT_SHINGLES = 256, 256, 1 << 21
-#: A member this near to more pivots than that isn't replicated: its cell stays whole.
-MOST_REPLICAS = 8
+#: Members of a cell that meet its pivots in one group; pivots of a cell in one round, and the shingles these may hold together; pivots that divide a cell.
+GROUP, PIVOTS, PIVOT_SHINGLES, DIVIDING = 256, 256, 1 << 21, 8
 
 
 def _entity(shingles: np.ndarray) -> int:
@@ -123,7 +122,7 @@ class Order:
 
 
 def leading_shingles(docs: DataFrame, sent) -> DataFrame:
-    """shingle, entity, size: the leading n - ceil(3n/4) + 1 + n // SHARED_OF shingles of each set in the broadcast order."""
+    """shingle, entity, size, short: the leading n - ceil(3n/4) + 1 + n // SHARED_OF shingles of each set in the broadcast order; ``short``: it is among the first n - ceil(6n/7) + 1 + n // SHARED_OF."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o, seen = sent.value, set()
@@ -132,7 +131,7 @@ def leading_shingles(docs: DataFrame, sent) -> DataFrame:
             h, rows, log_shares = tk.shingle_hashes(words, weights=o.words[_word_cells(words)])
             level = o.levels(h, log_shares)
             at = np.searchsorted(rows, np.arange(words.rows + 1))
-            found, names, sizes = [], [], []
+            found, names, sizes, short = [], [], [], []
             for r in np.flatnonzero(at[1:] > at[:-1]):
                 s, first = np.unique(h[at[r] : at[r + 1]], return_index=True)
                 name, n = _entity(s), len(s)
@@ -140,42 +139,49 @@ def leading_shingles(docs: DataFrame, sent) -> DataFrame:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(name)
-                keep = n - -(-NEED * n // OF) + 1 + n // SHARED_OF
+                keep, first_few = (n - -(-part * n // of) + 1 + n // SHARED_OF for part, of in ((NEED, OF), (2 * NEED, OF + NEED)))
                 found.append(s[np.argsort(level[at[r] : at[r + 1]][first], kind="stable")[:keep]])
+                short.append(np.arange(keep) < first_few)
                 names.append(np.full(keep, name))
                 sizes.append(np.full(keep, n))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes).astype(np.int32))], ["shingle", "entity", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(short))], ["shingle", "entity", "size", "short"])
 
-    return docs.select("text").transform(tk.arrow, run, "shingle long, entity long, size int")
+    return docs.select("text").transform(tk.arrow, run, "shingle long, entity long, size int, short boolean")
 
 
 def _known_pivots(rows: DataFrame) -> DataFrame:
-    """cell (its pivot), entity, size, distance (0 for the pivot itself, else null), home: every entity in the cells of the pivots it knows.
+    """Written: cell (its pivot), entity, size, distance (0 for the pivot itself, else null), home: every entity in the cells of the pivots it knows.
 
     An entity's home is the cell of the pivot with which it shares the most leading shingles; in the others it is a boundary replica.
 
-    A shingle's rows are read in order, so that they aren't held in memory; its first entity is the pivot. Linked sets of n and m shingles
+    A shingle's rows are read in order, so that they aren't held in memory; its first entity, the smallest set that has it in its short prefix, is the pivot.
+    Sets smaller than that with the shingle in their long prefixes alone, and shingles in no short prefix, are left out. Linked sets of n and m shingles
     share 1 + min(n, m) // SHARED_OF of their leading ones at least, and the smaller one has 3/4 of the other's size at least: sets
     that share fewer shingles with all others in whose cells somebody is of a fitting size link with nothing.
     """
-    order = Window.partitionBy("shingle").orderBy("entity")
-    rows = rows.withColumn("p", F.first(F.struct("entity", "size")).over(order)).withColumn("before", F.lag("entity").over(order)).withColumn("next", F.lead("entity").over(order))
+    order = Window.partitionBy("shingle").orderBy(F.desc("short"), "size", "entity")
+    rows = rows.withColumn("p", F.first(F.struct("entity", "size", "short")).over(order)).withColumn("before", F.lag("entity").over(order)).withColumn("next", F.lead("entity").over(order))
     own, is_pivot = F.col("entity"), F.col("entity") == F.col("p.entity")
-    once = rows.where(F.when(is_pivot, F.col("next") != own).otherwise(F.col("before") != own))
+    once = rows.where(F.col("p.short") & (F.col("size") >= F.col("p.size"))).where(F.when(is_pivot, F.col("next") != own).otherwise(F.col("before") != own))
     known = once.groupBy(F.col("p.entity").alias("cell"), "entity", "size").agg(F.count(F.lit(1)).alias("n"))
-    cells = materialize(known, "known-pivots").select("cell", "entity", "size", "n", F.lit(None).cast("double").alias("distance"))
+    whole = held = materialize(known, "known-pivots")
+    cells = whole.select("cell", "entity", "size", "n", F.lit(None).cast("double").alias("distance"))
     unlabelled = cells.select("entity", F.col("entity").alias("class")).limit(0)
     for _ in range(3):  # what leaves makes others leave
-        cells = _in_windows(cells, unlabelled, "n")
+        windowed = _in_windows(cells, unlabelled, "n")
+        discard(held)
         least = 1 + F.floor(F.ceil(F.first("size") * NEED / OF) / SHARED_OF)
-        enough = cells.groupBy("entity").agg(F.sum("n").alias("n"), least.alias("least")).where("n >= least").select("entity")
-        cells = materialize(cells.join(enough, "entity", "left_semi"), "known-pivots")
+        enough = windowed.groupBy("entity").agg(F.sum("n").alias("n"), least.alias("least")).where("n >= least").select("entity")
+        cells = held = materialize(windowed.join(enough, "entity", "left_semi"), "known-pivots")
+        discard(windowed)
     # the home's pivot must be one that may link; a pivot that has left only names its cell
     may = cells.where(F.col("cell") == F.col("entity")).select("cell")
     homes = cells.where(F.col("entity") != F.col("cell")).join(may, "cell", "left_semi").groupBy("entity").agg(F.max_by("cell", F.struct("n", "cell")).alias("home"))
     cells = cells.join(homes, "entity", "left")
-    return cells.select("cell", "entity", "size", F.when(F.col("entity") == F.col("cell"), 0.0).alias("distance"), F.coalesce(F.col("home") == F.col("cell"), F.lit(False)).alias("home"))
+    out = materialize(cells.select("cell", "entity", "size", F.when(F.col("entity") == F.col("cell"), 0.0).alias("distance"), F.coalesce(F.col("home") == F.col("cell"), F.lit(False)).alias("home")), "cells")
+    discard(held)
+    return out
 
 
 def _texts(docs: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -259,12 +265,14 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not members[r]:
                 pivots.add(int(entities[r]), int(classes[r]), s)
                 continue
+            if not pivots.names:
+                continue
             common, union = pivots.meet(s)
             links = [{"a": int(classes[r]), "b": pivots.classes[k]} for k in np.flatnonzero(100 * common >= NEED * union) if pivots.join(int(classes[r]), pivots.classes[k])]
             distance = 1 - common / union
             least = float(distance.min())
             near = np.flatnonzero(distance <= least + 2 * EPSILON + 1e-9)
-            near = [{"pivot": pivots.names[k], "distance": float(distance[k])} for k in near] if 1 < len(distance) and len(near) <= MOST_REPLICAS else None
+            near = [{"pivot": pivots.names[k], "distance": float(distance[k])} for k in near] if 1 < len(distance) <= DIVIDING else None
             out.append((int(cells[r]), int(entities[r]), len(s), least, links, near))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), _MET_TYPES, strict=True)], ["cell", "entity", "size", "distance", "links", "near"])
@@ -376,15 +384,18 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialize(both.distinct(), "links")
     labels = materialize(both.groupBy("entity").agg(F.least(F.col("entity"), F.min("other")).alias("class")), "classes")
     while True:
-        near = both.join(labels.withColumnRenamed("entity", "other"), "other").groupBy("entity").agg(F.min("class").alias("near"))
+        near = both.join(labels.select(F.col("entity").alias("other"), "class"), "other").groupBy("entity").agg(F.min("class").alias("near"))
         step = labels.join(near, "entity").select("entity", F.col("class").alias("old"), F.least("class", "near").alias("class"))
         # a label's own label: halves the way that is left
         short = labels.select(F.col("entity").alias("class"), F.col("class").alias("further"))
         step = step.join(short, "class", "left").select("entity", "old", F.least(F.col("class"), F.coalesce("further", "class")).alias("class"))
         step = materialize(step, "classes")
-        labels = step.select("entity", "class")
-        if not step.where(F.col("old") != F.col("class")).limit(1).count():
-            return labels
+        changed = step.where(F.col("old") != F.col("class")).limit(1).count()
+        discard(labels)
+        if not changed:
+            discard(both)
+            return step.drop("old")
+        labels = step
 
 
 def _in_windows(cells: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
@@ -403,29 +414,36 @@ def _in_windows(cells: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
 
 
 def _elect(cells: DataFrame, turn: int) -> DataFrame:
-    """The members with ``pivot`` (is it one in this turn) and ``more`` (the cell has more to elect).
+    """The members with ``pivot`` (is it one in this turn), ``more`` (the cell has more to elect) and ``divide`` (this turn's pivots are to divide it).
 
-    Only members outside a cell's largest class need to meet the others.
+    Only members outside a cell's largest class need to meet the others. The one with the smallest hash is always a pivot, the others are drawn.
     """
-    by_class = cells.groupBy("cell", "class").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
-    by_cell = by_class.groupBy("cell").agg((F.sum("n") - F.max("n")).alias("outside"), F.max_by("class", F.struct("n", "class")).alias("main"), F.greatest(F.lit(8), F.least(F.lit(PIVOTS), F.floor(F.lit(PIVOT_SHINGLES) / F.max("size")))).alias("seats"))
-    drawn = F.pmod(F.xxhash64("entity", F.lit(turn)), F.lit(1 << 30)) < (F.col("seats") / F.col("outside")) * (1 << 30)
+    turned = F.pmod(F.xxhash64("entity", F.lit(turn)), F.lit(1 << 30))
+    by_class = cells.groupBy("cell", "class").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.min(F.struct(turned.alias("h"), "entity")).alias("first"), F.max("flat").alias("flat"))
+    main = F.max_by("class", F.struct("n", "class"))
+    by_cell = by_class.groupBy("cell").agg((F.sum("n") - F.max("n")).alias("outside"), main.alias("main"), F.max("flat").alias("flat"), F.greatest(F.lit(DIVIDING), F.least(F.lit(PIVOTS), F.floor(F.lit(PIVOT_SHINGLES) / F.max("size")))).alias("most"))
+    firsts = by_class.join(by_cell.select("cell", "main"), "cell").where("class <> main").groupBy("cell").agg(F.min("first").alias("first"))
+    by_cell = by_cell.join(firsts, "cell").withColumn("more", F.col("outside") > F.col("most")).withColumn("divide", F.col("more") & ~F.col("flat"))
+    by_cell = by_cell.withColumn("seats", F.when(F.col("divide"), DIVIDING // 2).otherwise(F.col("most"))).drop("flat")
     rows = cells.join(by_cell, "cell")
-    return rows.select(*cells.columns, ((F.col("class") != F.col("main")) & drawn).alias("pivot"), (F.col("outside") > F.col("seats")).alias("more"))
+    drawn = (turned < (F.col("seats") / F.col("outside")) * (1 << 30)) | (F.col("entity") == F.col("first.entity"))
+    return rows.select(*cells.columns, ((F.col("class") != F.col("main")) & drawn).alias("pivot"), "more", "divide")
 
 
 def _divided(elected: DataFrame, met: DataFrame) -> DataFrame:
-    """What goes on of the cells that have more to elect, without this turn's pivots: in Voronoi cells where these are smaller, else whole."""
-    left = elected.where("more AND NOT pivot").select("cell", "entity", "size", "distance")
-    near = met.select("cell", "entity", "near").join(left.select("cell", "entity"), ["cell", "entity"], "left_semi")
-    few = near.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("near"), F.lit(0))).alias("copies"), F.max(F.col("near").isNull()).alias("whole"))
-    few = few.where(~F.col("whole") & (F.col("copies") <= 2 * F.col("n"))).select("cell", "n")
+    """What goes on of the cells that have more to elect, without this turn's pivots: in Voronoi cells where these are smaller, else whole and ``flat``."""
+    left = elected.where("more AND NOT pivot").select("cell", "entity", "size", "distance", "flat", "divide")
+    near = met.where(F.col("near").isNotNull()).select("cell", "entity", "near").join(left.where("divide").select("cell", "entity"), ["cell", "entity"], "left_semi")
+    asked = left.where("divide").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    few = near.groupBy("cell").agg(F.sum(F.size("near")).alias("copies"), F.count(F.lit(1)).alias("known")).join(asked, "cell")
+    few = few.where((F.col("known") == F.col("n")) & (F.col("copies") <= 2 * F.col("n"))).select("cell", "n")
     replicas = near.join(few, "cell").select("cell", "entity", "n", F.explode("near").alias("at"))
     largest = replicas.groupBy("cell", "n", F.col("at.pivot").alias("pivot")).agg(F.count(F.lit(1)).alias("m")).groupBy("cell", "n").agg(F.max("m").alias("m"))
     smaller = largest.where(2 * F.col("m") <= F.col("n")).select("cell")
     new = replicas.join(smaller, "cell", "left_semi").join(left.select("cell", "entity", "size"), ["cell", "entity"])
-    new = new.select(F.xxhash64("cell", "at.pivot").alias("cell"), "entity", "size", F.col("at.distance").alias("distance"))
-    return left.join(smaller, "cell", "left_anti").unionByName(new)
+    new = new.select(F.xxhash64("cell", "at.pivot").alias("cell"), "entity", "size", F.col("at.distance").alias("distance"), F.lit(False).alias("flat"))
+    whole = left.join(smaller, "cell", "left_anti").select("cell", "entity", "size", "distance", (F.col("flat") | F.col("divide")).alias("flat"))
+    return whole.unionByName(new)
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -434,7 +452,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = raw.where(F.col("chunk").isNull()).select("doc_id", "n_shingles", "entity")
     counts = merge_chunks(raw.where(F.col("chunk").isNotNull()).select("chunk", "part"), CELLS + WORD_CELLS, CHUNKS)
     sent = docs.sparkSession.sparkContext.broadcast(Order.of(counts))
-    cells = materialize(_known_pivots(leading_shingles(docs, sent)), "cells")
+    cells = _known_pivots(leading_shingles(docs, sent))
     sent.destroy()
     texts = materialize(_texts(docs, named, cells.select("entity").distinct()), "texts")
     profiles = materialize(_profiles(texts), "profiles")
@@ -444,27 +462,39 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = alive(members, pivots, profiles)
     members, pivots = (materialize(x.join(near, ["cell", "entity"], "left_semi"), "asked") for x in (members, pivots))
     met = materialize(meet(members, pivots, texts), "met")
-    edges = met.select(F.explode("links").alias("l")).select("l.a", "l.b")
+    discard(near, members, pivots)
+    edges = materialize(met.select(F.explode("links").alias("l")).select("l.a", "l.b"), "edges")
     labels = components(edges)
     known = met.select("cell", "entity", F.col("distance").alias("known"))
-    cells, turn = cells.join(known, ["cell", "entity"], "left").select("cell", "entity", "size", F.coalesce("distance", "known").alias("distance")), 0
+    first = cells
+    cells = cells.join(known, ["cell", "entity"], "left").select("cell", "entity", "size", F.coalesce("distance", "known").alias("distance"), F.lit(False).alias("flat"))
+    cells, turn = materialize(cells, "cells"), 0
+    discard(first, met)
     while True:
-        open_ = _in_windows(cells, labels)
+        open_ = _in_windows(cells, labels, "flat")
+        discard(cells)
         if not open_.limit(1).count():
-            return named, labels
+            break
         elected = materialize(_elect(open_, turn), "elected")
-        # cells that don't go on after this turn need only the members that may link; the others need all distances to be divided
-        last = elected.where("NOT more")
-        near = alive(last, last.where("pivot"), profiles)
-        asked = materialize(last.join(near, ["cell", "entity"], "left_semi").unionByName(elected.where("more")), "asked")
+        discard(open_)
+        # cells that are divided need all distances to their few new pivots; in the others, profiles say who meets
+        rest = elected.where("NOT divide")
+        near = alive(rest, rest.where("pivot"), profiles)
+        asked = materialize(rest.join(near, ["cell", "entity"], "left_semi").unionByName(elected.where("divide")), "asked")
         met = materialize(meet(asked, asked.where("pivot"), texts), "met")
         found = met.select(F.explode("links").alias("l")).select("l.a", "l.b")
         if found.limit(1).count():
-            edges = edges.union(found)
+            before, old = edges, labels
+            edges = materialize(edges.union(found), "edges")
             labels = components(edges)
-        if not elected.where("more").limit(1).count():
-            return named, labels
-        cells, turn = materialize(_divided(elected, met), "cells"), turn + 1
+            discard(before, old)
+        more = elected.where("more").limit(1).count()
+        cells, turn = (materialize(_divided(elected, met), "cells") if more else None), turn + 1
+        discard(near, asked, met, elected)
+        if not more:
+            break
+    discard(texts, profiles, edges)
+    return named, labels
 
 
 def judged(docs: DataFrame) -> DataFrame:

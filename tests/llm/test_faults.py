@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_llm import EDGE, brute_classes, brute_secrets, docs_of, prose
 
 from corpusloom.llm import chat, decontamination, jaccard, language, mixing, quality, secrets, toxicity, urlfilter
@@ -257,3 +258,63 @@ def test_mix_carries_texts(spark):
     key = lambda r: (r.doc_id, r.size, r.taken, r.position)
     assert sorted(map(key, plain)) == sorted(map(key, full)) and [r.position for r in full] == sorted(r.position for r in full)
     assert sorted((r.doc_id, r.text or "") for r in full) == sorted((i, t or "") for i, t, *_ in rows)
+
+
+# ------------------------------------------------------------- op6: dense cells
+
+
+def _compared(monkeypatch):
+    """Counts members x pivots that meet by texts, group by group, through a table of what ``meet`` was asked."""
+    seen = []
+    meet = jaccard.meet
+
+    def counted(members, pivots, texts):
+        per = members.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).join(pivots.groupBy("cell").agg(F.count(F.lit(1)).alias("p")), "cell")
+        seen.append(per.agg(F.coalesce(F.sum(F.col("m") * F.col("p")), F.lit(0))).first()[0])
+        return meet(members, pivots, texts)
+
+    monkeypatch.setattr(jaccard, "meet", counted)
+    return seen
+
+
+def _pages(n, common, own, rng):
+    template = [f"t{k}" for k in range(common)]
+    return [(k, " ".join([*template, *(f"u{rng.randrange(10**9)}" for _ in range(own))]), "en", "s") for k in range(n)]
+
+
+def test_jaccard_template_pages_do_not_all_meet(spark, monkeypatch):
+    """3,000 pages at a distance of 0.4 from each other, at production constants."""
+    seen = _compared(monkeypatch)
+    rows = _pages(3000, 300, 100, random.Random(3))
+    got = jaccard.judged(docs_of(spark, rows)).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == 3000
+    assert sum(seen) < 3000 * 2999 / 2 / 10
+
+
+def test_jaccard_dense_cells_divide_or_go_on(spark, monkeypatch):
+    """Cells with more members than seats: groups of near pages at many distances, small constants, exact classes."""
+    monkeypatch.setattr(jaccard, "PIVOTS", 4)
+    monkeypatch.setattr(jaccard, "PIVOT_SHINGLES", 1)
+    monkeypatch.setattr(jaccard, "DIVIDING", 4)
+    monkeypatch.setattr(jaccard, "GROUP", 8)
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(140):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            w[rng.randrange(60)] = f"x{rng.randrange(12)}"
+        if k % 4 == 0:
+            w = w[: rng.choice([46, 50, 55])]
+        rows.append((k, " ".join(w), "en", "s"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.judged(docs_of(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_jaccard_always_elects_a_pivot(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard, "DIVIDING", 1)
+    rows = [(1, e, 10 + e % 2, e, 0.1, False) for e in range(500)]
+    cells = spark.createDataFrame([(c, e, s, d, k, f) for c, e, s, k, d, f in rows], "cell long, entity long, size int, distance double, class long, flat boolean")
+    for turn in range(5):
+        assert jaccard._elect(cells, turn).where("pivot").count() >= 1

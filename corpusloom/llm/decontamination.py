@@ -15,7 +15,7 @@ coverage on the windows joined by template alone, as exchanged parameters leave
 
 Defined cases: null texts count as empty and match nothing; an item shorter than a window is one window of its length; an
 item without tokens matches nothing; an item all of whose windows are joined by their tokens matches exact copies only; repeated rows of a document count once; equal item ids are told apart by
-text, as items of their own; very long texts are read whole; a pair that leaks at several places is reported once, by its best place; other columns
+text, as items of their own; rows with a null doc_id are documents by their texts, each distinct one reported once with a null doc_id; very long texts are read whole; a pair that leaks at several places is reported once, by its best place; other columns
 don't take part; an empty table on either side gives no pair.
 """
 
@@ -45,6 +45,8 @@ NUMBER, UNIT, NAME = 1, 2, 3
 #: Benchmark windows are broadcast up to this many rows (16 bytes each); beyond it they are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
 BROADCAST_PAIRS = 20_000
+#: Leaking ids are broadcast up to this many rows (8 bytes each).
+BROADCAST_IDS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -84,6 +86,30 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, verbatim: float = VERBATIM) -> DataFrame:
     """The leaking pairs: doc_id, item_id, matched (windows of the item), n_windows, coverage, n_slots, n_changed (slots with another value).
 
+    Rows without a doc_id are documents by their texts: each text's leaks are listed once, with a null doc_id.
+    """
+    out = _leaks(docs, benchmark, coverage, verbatim)
+    nameless = docs.where(F.col("doc_id").isNull())
+    if nameless.limit(1).count():
+        out = out.unionByName(_leaks(nameless.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark, coverage, verbatim).withColumn("doc_id", F.lit(None).cast("long")))
+    return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that hold no benchmark item, all columns kept; those without a doc_id are judged by their texts."""
+    leaking = materialize(_leaks(docs, benchmark).select("doc_id").distinct(), "leaking-ids")
+    named = docs.join(F.broadcast(leaking) if small_enough(leaking, BROADCAST_IDS) else leaking, "doc_id", "left_anti").select(*docs.columns)
+    nameless = docs.where(F.col("doc_id").isNull())
+    if not nameless.limit(1).count():
+        return named
+    by_text = materialize(_leaks(nameless.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("leaking_text")).distinct(), "leaking-texts")
+    clean = nameless.join(by_text, F.xxhash64(nameless["text"]) == by_text["leaking_text"], "left_anti").select(*docs.columns)
+    return named.where(F.col("doc_id").isNotNull()).unionByName(clean)
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, verbatim: float = VERBATIM) -> DataFrame:
+    """The leaking pairs of documents that have a doc_id.
+
     All counts are of the windows joined by template if these reach the coverage, else of all windows.
     Documents are scanned once for windows and once more, those with a candidate only, for slots.
     """

@@ -25,7 +25,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
 ROWS_PER_BUCKET = 4096
 OWN = ("size", "source_size", "target", "taken", "position", "positions")
-SCRATCH = ("d_source", "ordinal", "n_docs", "unit", "bucket", "bucket_before", "before")
 #: Relative weight of a source at times 0, 1/2 and 1; repeated over the sources like WEIGHTS.
 SCHEDULES = ((1.0, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 2.0))
 
@@ -92,9 +91,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MOST_
     deal = F.xxhash64(F.lit("deal"), F.col("doc_id"), F.col("size"))
     unit = (F.shiftrightunsigned(deal, 11).cast("double")) / F.lit(float(1 << 53))
     bucket = F.floor(unit * F.ceil(F.col("n_docs") / F.lit(ROWS_PER_BUCKET))).cast("long")
-    taken_names = {"doc_id", "source", *OWN, *SCRATCH}
-    carried = [c for c in docs.columns if c.lower() not in taken_names] if carry else []
-    sizes = docs.select(*own, *carried) if carry else sizes
+    kept = [c for c in docs.columns if c.lower() not in {"doc_id", "source", *OWN}] if carry else []
+    carried = [f"_carried_{k}" for k in range(len(kept))]  # away from the names used on the way
+    sizes = docs.select(*own, *[F.col(f"`{c}`").alias(x) for c, x in zip(kept, carried, strict=True)]) if carry else sizes
     # one row a source: small beside the documents, but its size isn't known beforehand, so the optimizer chooses the join
     rows = sizes.withColumnRenamed("source", "d_source").join(targets, F.col("d_source").eqNullSafe(F.col("source")), "left").drop("d_source")
     rows = rows.withColumn("unit", unit).withColumn("bucket", bucket)
@@ -113,5 +112,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MOST_
     for k, knots in enumerate(schedules):
         one = F.transform(laps, partial(_due, knots, start, lap))
         positions = one if positions is None else F.when(F.col("ordinal") % len(schedules) == k, one).otherwise(positions)
-    out = rows.withColumn("positions", positions).select("doc_id", "source", "size", "source_size", "target", "taken", F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(1.0)).alias("position"), "positions", *carried)
+    out = rows.withColumn("positions", positions).select("doc_id", "source", "size", "source_size", "target", "taken", F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(1.0)).alias("position"), "positions", *[F.col(x).alias(c) for c, x in zip(kept, carried, strict=True)])
     return out.orderBy("position", "source", "doc_id") if sort else out

@@ -318,3 +318,28 @@ def test_jaccard_always_elects_a_pivot(spark, monkeypatch):
     cells = spark.createDataFrame([(c, e, s, d, k, f) for c, e, s, k, d, f in rows], "cell long, entity long, size int, distance double, class long, flat boolean")
     for turn in range(5):
         assert jaccard._elect(cells, turn).where("pivot").count() >= 1
+
+
+# ------------------------------------------------------------- op4: rows without an id; op10: names used on the way
+
+
+def test_leaks_of_documents_without_an_id(spark):
+    item = "the quick brown fox jumps over the lazy dog while seven 12 small cats watch it quietly"
+    items = spark.createDataFrame([(5, item), (6, "another question that nobody holds anywhere in these few texts")], "item_id long, text string")
+    clean, other = "nothing of the sort is said here, nor was it ever said in any other place", "more of nothing " * 9
+    rows = [(1, f"x {item} y"), (None, f"a b {item} c"), (None, f"a b {item} c"), (None, f"{item} again"), (None, clean), (None, None), (2, other)]
+    d = spark.createDataFrame([(i, t, "de", "s", 1, "clash") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, leaking_text string")
+    got = [(r.doc_id, r.item_id) for r in decontamination.find_leaks(d, items).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 5), (None, 5), (None, 5)], key=repr)
+    left = decontamination.without_leaks(d, items)
+    assert left.columns == d.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(None, clean), (None, None), (2, other)], key=repr)
+
+
+def test_mix_carries_columns_named_like_its_own_scratch(spark):
+    names = ["bucket", "unit", "before", "ordinal", "n_docs", "bucket_before", "d_source", "Taken", "text", "_carried_0"]
+    d = spark.createDataFrame([(k, "s", *[f"{n}{k}" for n in names]) for k in range(20)], ", ".join(["doc_id long", "source string", *[f"{n} string" for n in names]]))
+    out = mixing.mix(d, carry=True)
+    kept = [n for n in names if n != "Taken"]
+    assert [c for c in out.columns if c in names] == kept
+    assert all(getattr(r, n) == f"{n}{r.doc_id}" for r in out.collect() for n in kept)

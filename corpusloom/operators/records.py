@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as tx
+from corpusloom.storage import materialize
 
 
 def by_owner(owners: DataFrame, accounts: DataFrame, owner: str) -> DataFrame:
@@ -69,14 +70,21 @@ def latest_source(calls: DataFrame, *keys: str) -> DataFrame:
 
 
 def flatten_json(results: DataFrame, key: str, data: str) -> DataFrame:
-    """Money and id fields of nested tool results as (key, record, name, value): objects of the top list or object."""
-    rows = results.select(key, F.posexplode_outer(F.coalesce(F.from_json(data, "array<map<string,string>>"), F.array(F.from_json(data, "map<string,string>")))).alias("record", "fields"))
-    return rows.select(key, "record", F.explode("fields").alias("name", "value"))
+    """Scalar fields of nested tool results as (key, record, name, value): of every object at any depth, ``record`` being its path.
 
-
-def violations(accounts: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Rows that break the tables' constraints: kinds, states, and transactions without an account."""
-    bad_type = accounts.where(~F.col("type").isin("checking", "savings", "credit")).select(F.lit("account type").alias("rule"), F.col("account_id").alias("id"))
-    bad_id = accounts.where(~F.col("account_id").rlike(r"^ACC-\d{4}$")).select(F.lit("account id").alias("rule"), F.col("account_id").alias("id"))
-    orphans = transactions.join(accounts, "account_id", "left_anti").select(F.lit("orphan transaction").alias("rule"), F.col("transaction_id").alias("id"))
-    return bad_type.unionByName(bad_id).unionByName(orphans)
+    Level by level: a variant is exploded into its elements, scalars of objects are fields, objects and lists go on to the next level until none is left. Texts that aren't JSON, and null
+    values, give nothing.
+    """
+    spark = results.sparkSession
+    level = results.select(F.col(key).alias("_key"), F.lit("$").alias("record"), F.try_parse_json(F.col(data)).alias("v"))
+    out = None
+    while True:
+        parts = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("_key", "record", "pos", F.col("key").alias("name"), F.col("value").alias("v"))
+        parts = materialize(parts.withColumn("kind", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)), "json-level")
+        inner = F.col("kind").isin("OBJECT", "ARRAY")
+        found = parts.where(~inner & F.col("name").isNotNull() & (F.col("kind") != "VOID")).select(F.col("_key").alias(key), "record", "name", F.variant_get("v", "$", "string").alias("value"))
+        out = found if out is None else out.unionByName(found)
+        path = F.when(F.col("name").isNotNull(), F.concat("record", F.lit("."), "name")).otherwise(F.concat("record", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        level = parts.where(inner).select("_key", path.alias("record"), "v")
+        if not level.limit(1).count():
+            return out

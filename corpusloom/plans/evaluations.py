@@ -268,7 +268,7 @@ EVALUATION_SQL: dict[str, str] = {
       cast(0.5 * pow(2, k % 4) AS DOUBLE) AS least, cast(0.5 * pow(2, k % 4) + 0.25 AS DOUBLE) AS most FROM e""",
     "latest_sources": f"WITH {_E} SELECT user_id, k % 10 AS account, max(event_id) AS i, arg_max(event_type, event_id) AS event_type FROM e WHERE event_type <> 'error' GROUP BY ALL",
     "cited_records": """WITH f AS (SELECT l_orderkey AS call_id, l_linenumber AS record, unnest(['part', 'supplier']) AS name, unnest([l_partkey, l_suppkey]) AS value FROM lineitem),
-      c AS (SELECT l_orderkey AS call_id, l_partkey AS value FROM lineitem WHERE l_linenumber = 1) SELECT * FROM f WHERE (call_id, record) IN (SELECT call_id, record FROM f SEMI JOIN c USING (call_id, value))""",
+      c AS (SELECT l_orderkey AS call_id, l_partkey AS value FROM lineitem WHERE l_linenumber = 1), h AS (SELECT DISTINCT call_id, record FROM f SEMI JOIN c USING (call_id, value)) SELECT f.* FROM f SEMI JOIN h USING (call_id, record)""",
     "line_lookup": "SELECT o_orderkey AS l_orderkey, CASE WHEN l.l_orderkey IS NULL THEN 'not_found' ELSE 'ok' END AS outcome, l_partkey FROM orders LEFT JOIN lineitem l ON l.l_orderkey = o_orderkey AND l.l_linenumber = 3",
     "next_steps": f"""WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM e)
       SELECT event_id, CASE WHEN k % 5 = 0 THEN 'generate' WHEN k % 5 = 1 THEN 'finalise' WHEN n < 3 THEN 'planner' ELSE 'not_in_corpus' END AS step,

@@ -119,7 +119,9 @@ def quote_hits(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     keys = F.array_distinct(F.concat(F.split("norm", " "), *[F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in grams]))
     holds = F.col("norm").contains(F.col("quote"))
     if small_enough(q, BROADCAST_QUOTES):
-        tokens = d.select("doc_id", "norm", F.explode(keys).alias("token"))
+        asked = [r.token for r in q.select("token").distinct().collect()]  # BROADCAST_QUOTES at most
+        # only keys that some quote has are listed, so that texts aren't copied to each of their tokens
+        tokens = d.select("doc_id", "norm", F.explode(F.array_intersect(keys, F.split(F.lit("\x01".join(asked)), "\x01"))).alias("token"))
         return tokens.join(F.broadcast(q), "token").where(holds).select("quote_id", "doc_id").distinct()
     d, q = d.withColumn("doc_key", F.xxhash64("doc_id", "norm")), q.withColumn("quote_key", F.xxhash64("quote_id", "quote"))
     pairs = d.select("doc_key", F.explode(keys).alias("token")).join(q.select("quote_key", "token"), "token").select("doc_key", "quote_key").distinct()

@@ -73,6 +73,27 @@ def bm25_top(docs: DataFrame, queries: DataFrame, n: int = params.RETRIEVAL["top
     return ranked(hits, n)
 
 
+#: Ids of one bucket in the order of a label's rows.
+ORDER_BUCKET = 4096
+
+
+def neighbours(rows: DataFrame, asked: DataFrame, key: str, item: str, n: int) -> DataFrame:
+    """query_id, item, score, rank: the n rows of each query's key that are nearest to it by item number (score: minus the distance), itself included.
+
+    ``rows``: key, item; ``asked``: query_id, key, item. The nearest n lie at most n places before or behind a query in its key's order, so places are joined and no query meets all rows of its key.
+    Places are summed up from buckets of item numbers, so no task orders a whole key.
+    """
+    placed = rows.select(key, item, F.floor(F.col(item) / ORDER_BUCKET).alias("_bucket"))
+    sizes = placed.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = Window.partitionBy(key, "_bucket").orderBy(item)
+    placed = placed.withColumn("_in", F.row_number().over(inside)).join(sizes.select(key, "_bucket", before.alias("_before")), [key, "_bucket"])
+    placed = materialize(placed.select(key, item, (F.col("_before") + F.col("_in")).alias("_place")), "places")
+    near = asked.join(placed, [key, item]).select("query_id", key, F.col(item).alias("_own"), F.explode(F.sequence(F.col("_place") - n, F.col("_place") + n)).alias("_place"))
+    hits = near.join(placed, [key, "_place"]).select("query_id", item, (-F.abs(F.col(item) - F.col("_own"))).cast("double").alias("score"))
+    return ranked(hits, n, item=item)
+
+
 #: Queries and vectors that are multiplied at a time: a tile of scores takes 16 MB.
 TILE = (512, 4096)
 

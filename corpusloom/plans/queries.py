@@ -77,9 +77,8 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _label_hits(spark, sf_dir, n):
     """A second retriever: vectors of the query's label, by id distance."""
     v = t.table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    asked = v.where(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), "label")
-    near = v.join(F.broadcast(asked) if asked.count() <= params.BROADCAST_ROWS else asked, "label").withColumn("score", -F.abs(F.col("vec_id") - F.col("query_id")).cast("double"))
-    return retrieval.ranked(near, n, item="vec_id")
+    asked = v.where(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), "label", "vec_id")
+    return retrieval.neighbours(v, asked, "label", "vec_id", n)
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:

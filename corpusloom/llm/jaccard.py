@@ -52,7 +52,7 @@ CHUNKS = 64
 #: Ids are broadcast up to this many rows (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Linked sets must share one more leading shingle for each so many shingles.
-SHARED_OF = 16
+SHARED_OF = 48
 #: Members of a cell that meet its pivots in one group; pivots of a cell in one round, and the shingles these may hold together; pivots that divide a cell.
 GROUP, PIVOTS, PIVOT_SHINGLES, DIVIDING = 256, 256, 1 << 21, 8
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Curly quotes, primes and dashes with their ASCII forms, one to one.
 QUOTES_FROM = "‘’‚′“”„″–—‒−‑"
@@ -25,24 +25,72 @@ MOJIBAKE = "â€.|Ã.|Â(?=\\W)"
 NUMBERED = r"^\d{1,2}(\.\d{1,2})*\.?\s+\S"
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode NFKC, for texts with compatibility characters; Spark SQL has no such function."""
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def _ranges(chars: list[str]) -> str:
+    """A regular expression's class of these characters, in ranges."""
+    out, codes = [], sorted(map(ord, chars))
+    for k, code in enumerate(codes):
+        if k and code == codes[k - 1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "[" + "".join(f"\\u{x:04X}-\\u{y:04X}" for x, y in out) + "]"
+
+
+def _plane() -> list[str]:
+    return [chr(k) for k in range(0xA0, 0x10000) if not 0xD800 <= k < 0xE000]
+
+
+@cache
+def _compatible() -> dict[str, str]:
+    """What NFKC makes of single characters, and of letters with their marks behind them."""
+    nfkc = lambda x: unicodedata.normalize("NFKC", x)
+    single = {c: nfkc(c) for c in _plane() if nfkc(c) != c and not unicodedata.combining(c)}
+    marked = {d: c for c in _plane() if (d := unicodedata.normalize("NFD", c)) != c and nfkc(d) == c and all(map(unicodedata.combining, d[1:]))}
+    voiced = {c + m: nfkc(c + m) for c in map(chr, range(0xFF66, 0xFF9E)) for m in "\uff9e\uff9f"}
+    return voiced | marked | single
+
+
+@cache
+def _folded() -> dict[str, str]:
+    """Characters whose full case folding isn't their lower case."""
+    return {c: c.casefold() for c in _plane() if c.casefold() != c.lower()}
+
+
+def _replaced(text: Column, coarse: str, found: list[str], table: dict[str, str]) -> Column:
+    """The text with what the table lists replaced: one replacement for each different thing that is found; texts outside the coarse class are left as they are."""
+    listed = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+    each = F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(x), F.lit(0)) for x in found]))
+    whole = F.aggregate(each, text, lambda t, x: F.replace(t, x, F.coalesce(F.try_element_at(listed, x), x)))
+    return F.when(text.rlike(coarse), whole).otherwise(text)
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode NFKC in the JVM, by tables made from Unicode's own rules for characters of the basic plane: ligatures, full-width forms, fractions, signs, letters with marks behind them.
+
+    Marks that stand in another than their canonical order, and Hangul in single letters, stay as they are.
+    """
+    table = _compatible()
+    return _replaced(text, r"[\u00A0-\u00BE\u0132-\uFFFF]", [r"[\uFF66-\uFF9D][\uFF9E\uFF9F]", r"\P{M}\p{M}+", _ranges([c for c in table if len(c) == 1])], table)
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding: lower case, and sharp s, final sigma, ligatures and the like by a table."""
+    table = _folded()
+    return F.lower(_replaced(text, r"[\u00B5-\uFFFF]", [_ranges(list(table))], table))
 
 
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
-def normalise(text: Column, compatibility: bool = False) -> Column:
-    """ASCII quotes and dashes, dots for an ellipsis, lower case, single spaces."""
-    base = nfkc(text) if compatibility else text
+def normalise(text: Column | str, compatibility: bool = False) -> Column:
+    """ASCII quotes and dashes, dots for an ellipsis, lower case, single spaces; on request compatibility characters as plain ones."""
+    base = nfkc(F.col(text) if isinstance(text, str) else text) if compatibility else text
     return collapse(F.lower(F.replace(F.translate(base, QUOTES_FROM, QUOTES_TO), F.lit("…"), F.lit("..."))))
 
 
 def bm25_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(normalise(text), F.lit(BM25_TOKEN), F.lit(0))
+    return F.regexp_extract_all(normalise(text, compatibility=True), F.lit(BM25_TOKEN), F.lit(0))
 
 
 def words(text: Column) -> Column:
@@ -79,8 +127,8 @@ def names_version_in_force(text: Column) -> Column:
 
 
 def question_key(text: Column) -> Column:
-    """Case-folded question without trailing marks, for the response cache."""
-    return F.regexp_replace(collapse(F.lower(text)), r"[?!.\s]+$", "")
+    """Case-folded question, compatibility characters as plain ones, without trailing marks, for the response cache."""
+    return F.regexp_replace(collapse(casefold(nfkc(text))), r"[?!.\s]+$", "")
 
 
 def contains_fact(reply: Column, fact: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,20 +17,26 @@ from corpusloom.functions import text as tx
 HEADER_LINE = r"(?i)^(-{3,}\s*Original Message\s*-{3,}|(From|Sent|To|Cc|Subject):.*)$"
 
 
+def _misread() -> dict[str, int]:
+    """Each character that a byte of a longer UTF-8 sequence becomes when read as cp1252 (bytes without a character there as their own number)."""
+    return {bytes([k]).decode("cp1252", "ignore") or chr(k): k for k in range(0x80, 0x100)}
+
+
 @F.pandas_udf(T.StringType())
 def repair_mojibake(text: pd.Series) -> pd.Series:
-    """Undo UTF-8 read as cp1252: runs of such characters are encoded back where that gives valid UTF-8."""
-    import re
-
-    run = re.compile("[ -ÿŒœŠšŸŽžƒˆ˜–-…†‡•‰‹›€™]{2,}")
+    """Undo UTF-8 read as cp1252, sequence by sequence: a lead byte's character and those of its continuation bytes, where these bytes are valid UTF-8. What stands beside them stays."""
+    byte = _misread()
+    chars = lambda low, high: "[" + "".join(re.escape(c) for c, k in byte.items() if low <= k < high) + "]"
+    more = chars(0x80, 0xC0)
+    sequence = re.compile("|".join([chars(0xC2, 0xE0) + more, chars(0xE0, 0xF0) + more + "{2}", chars(0xF0, 0xF5) + more + "{3}"]))
 
     def fix(m: re.Match) -> str:
         try:
-            return m[0].encode("cp1252").decode("utf-8")
-        except (UnicodeEncodeError, UnicodeDecodeError):
+            return bytes(byte[c] for c in m[0]).decode("utf-8")
+        except UnicodeDecodeError:
             return m[0]
 
-    return text.map(lambda x: None if x is None else run.sub(fix, x))
+    return text.map(lambda x: None if x is None else sequence.sub(fix, x))
 
 
 def fix_mojibake(blocks: DataFrame) -> DataFrame:

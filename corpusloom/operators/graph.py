@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.storage import materialize
+from corpusloom.storage import discard, materialize
 
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -18,10 +18,13 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     both = materialize(both, "links")
     labels = materialize(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("group_id")), "groups")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("group_id").alias("near"))
+        near = both.join(labels.select(F.col("id").alias("other"), "group_id"), "other").groupBy("id").agg(F.min("group_id").alias("near"))
         further = labels.select(F.col("id").alias("now"), F.col("group_id").alias("further"))
         step = labels.join(near, "id").select("id", F.col("group_id").alias("old"), F.least("group_id", "near").alias("now")).join(further, "now", "left")
         step = materialize(step.select("id", "old", F.least("now", F.coalesce("further", "now")).alias("group_id")), "groups")
-        labels = step.select("id", "group_id")
-        if not step.where(F.col("old") != F.col("group_id")).limit(1).count():
-            return labels
+        settled = not step.where(F.col("old") != F.col("group_id")).limit(1).count()
+        discard(labels)
+        if settled:
+            discard(both)
+            return step.drop("old")
+        labels = step

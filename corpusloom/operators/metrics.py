@@ -111,11 +111,11 @@ def quote_hits(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """
     inner = F.slice(F.split("quote", " "), 2, F.greatest(F.size(F.split("quote", " ")) - 2, F.lit(0)))
     longest = F.reduce(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    q = quotes.select("quote_id", tx.normalise("quote").alias("quote")).where(F.col("quote") != "")
+    q = quotes.select("quote_id", tx.normalise("quote", compatibility=True).alias("quote")).where(F.col("quote") != "")
     q = q.withColumn("gram", F.when(F.size(inner) == 0, F.least(F.length("quote"), F.lit(GRAM))))
     q = q.withColumn("token", F.when(F.col("gram").isNull(), longest).otherwise(F.substring("quote", 1, GRAM)))
     grams = sorted(r.gram for r in q.select("gram").where(F.col("gram").isNotNull()).distinct().collect())  # at most GRAM values
-    d = docs.select("doc_id", tx.normalise(F.coalesce("text", F.lit(""))).alias("norm"))
+    d = docs.select("doc_id", tx.normalise(F.coalesce("text", F.lit("")), compatibility=True).alias("norm"))
     keys = F.array_distinct(F.concat(F.split("norm", " "), *[F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in grams]))
     holds = F.col("norm").contains(F.col("quote"))
     if small_enough(q, BROADCAST_QUOTES):
@@ -134,11 +134,11 @@ def token_hits(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     A token may start anywhere, so candidates share the first GRAM characters (all, if there are fewer) of the quote's longest token;
     only ids are joined by them, and the texts of candidates are then searched for all tokens.
     """
-    q = quotes.select("quote_id", tx.normalise("quote").alias("quote")).where(F.col("quote") != "")
+    q = quotes.select("quote_id", tx.normalise("quote", compatibility=True).alias("quote")).where(F.col("quote") != "")
     longest = F.reduce(tx.words(F.col("quote")), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
     q = q.withColumn("gram", F.substring(longest, 1, GRAM))
     sizes = sorted(r.n for r in q.select(F.length("gram").alias("n")).distinct().collect())  # at most GRAM values
-    d = docs.select("doc_id", tx.normalise(F.coalesce("text", F.lit(""))).alias("norm")).withColumn("doc_key", F.xxhash64("doc_id", "norm"))
+    d = docs.select("doc_id", tx.normalise(F.coalesce("text", F.lit("")), compatibility=True).alias("norm")).withColumn("doc_key", F.xxhash64("doc_id", "norm"))
     grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *[F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]))
     asked = q.select("quote_id", "gram")
     asked = F.broadcast(asked) if small_enough(asked, BROADCAST_QUOTES) else asked
@@ -153,7 +153,7 @@ def quote_survival(locations: DataFrame, docs: DataFrame) -> DataFrame:
     ``docs``: doc_id, text, status, canonical (set for dropped copies).
     """
     j = locations.join(docs, "doc_id", "left")
-    found = tx.quote_matches(tx.normalise(F.coalesce("text", F.lit(""))), tx.normalise("quote"), F.col("match"))
+    found = tx.quote_matches(tx.normalise(F.coalesce("text", F.lit("")), compatibility=True), tx.normalise("quote", compatibility=True), F.col("match"))
     state = (
         F.when(F.col("canonical").isNotNull(), F.concat(F.lit("n/a: duplicate of "), "canonical"))
         .when(F.col("status").isNull(), "LOST (doc missing)")

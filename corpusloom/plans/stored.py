@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import chunking, cleaning
 from corpusloom.plans import tables as t
-from corpusloom.plans.queries import QUERY_STEP, _docs, _questions
+from corpusloom.plans.queries import QUERY_STEP, _docs, _index, _questions
 from corpusloom.plans.sql import _BM25, _TOP, _VEC, SQL
 from corpusloom.sources.lexical import LexicalIndex, corpus_revision
 from corpusloom.sources.vectors import VectorIndex
@@ -40,6 +40,12 @@ def chunk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "chunk_index", F.col("page_start").cast("long").alias("page_start"), F.col("page_end").cast("long").alias("page_end"), F.sha2("section_path", 256).alias("sha256"), "contains_generated_text")
 
 
+def lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored index of the documents holds; built if it isn't there."""
+    index = _index(spark, sf_dir)
+    return index.term_statistics().agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings")).select(F.lit(index.n_docs).alias("n_docs"), F.round(F.lit(index.avg_length), 6).alias("avg_length"), "terms", "postings")
+
+
 def lexical_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best documents of every benchmark text, from an index that was written in three segments."""
     docs, root = _docs(spark, sf_dir).select("doc_id", "text"), f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}"
@@ -93,6 +99,7 @@ STORED_SQL: dict[str, str] = {
       placed AS (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM paths)
       SELECT doc_id, chunk_index, coalesce(min(nullif(page, 0)), -1) AS page_start, coalesce(max(nullif(page, 0)), -1) AS page_end, sha256(array_to_string(arg_min(CASE WHEN heading THEN list_append(path, p.text) ELSE path END, pos), ' > ')) AS sha256,
         bool_or(generated) AS contains_generated_text FROM chunks c JOIN placed p USING (doc_id) WHERE a < r AND a + length(p.text) > l GROUP BY doc_id, chunk_index""",
+    "lexical_index": f"WITH {_BM25} SELECT n_docs, round(avg_length, 6) AS avg_length, (SELECT count(*) FROM idf) AS terms, (SELECT count(*) FROM post) AS postings FROM whole",
     "lexical_segments": f"WITH {_BM25} " + _TOP.format("scores WHERE score > 0"),
     "stored_vector_topk": f"WITH {_VEC} SELECT query_id, vec_id, score, rank FROM vtop WHERE rank <= 10",
     "filtered_vector_topk": f"WITH {_VEC}, even AS (SELECT s.query_id, s.vec_id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.vec_id) AS rank FROM sim s JOIN v USING (vec_id) WHERE label % 2 = 0) SELECT * FROM even WHERE rank <= 10",

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import constraints, records
+from corpusloom.operators import cleaning, constraints, records
 from corpusloom.plans import tables as t
-from corpusloom.plans.sql import SQL
+from corpusloom.plans.sql import SQL, _norm
 from corpusloom.storage import shared_dir
 from corpusloom.streaming import sinks
 
@@ -66,6 +66,23 @@ def streamed_budget_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.appended(spark, f"{root}/out", "call_id long, correlation_id long, spent_before double, stopped boolean").drop("batch")
 
 
+def mail_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as mails, with quoted lines, header lines and blank lines by the lengths of their lines: the paragraphs that are left."""
+    n, line = F.length, lambda x: F.when(F.length(x) % 7 == 0, F.concat(F.lit("Subject: "), x)).when(F.length(x) % 3 == 0, F.concat(F.lit("> "), x)).otherwise(x)
+    text = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(n(x) % 4 == 0, F.concat(line(x), F.lit("\n"))).otherwise(line(x))), "\n")
+    mails = t.table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("pos"), F.lit("paragraph").alias("type"), text.alias("text"))
+    return cleaning.clean_email(mails).select("doc_id", F.col("pos").cast("long").alias("pos"), F.sha2("text", 256).alias("sha256"))
+
+
+def repaired_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents with planted deletions, wrongly decoded words and odd spaces, as cleaning leaves them."""
+    lines = t.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("type", F.lit("paragraph"))
+    k = F.col("pos") % 4
+    planted = F.when(k == 1, F.concat("text", F.lit(" [DELETED: old]"))).when(k == 2, F.concat("text", F.lit("  ñcafÃ© â€œnaÃ¯veâ€\u009d"))).when(k == 3, F.concat(F.lit("\t"), "text", F.lit("\u00a0 end\r\n"))).otherwise(F.col("text"))
+    out = cleaning.fix_blocks(lines.withColumn("text", planted))
+    return out.select("doc_id", "pos", F.sha2("text", 256).alias("sha256"))
+
+
 _NESTED = """
 made AS (SELECT o_orderkey AS call_id, json_object('id', o_orderkey, 'owner', json_object('id', 'C' || o_custkey, 'balance',
     CASE WHEN o_orderstatus = 'F' THEN json_object('amount', cast(cast(o_totalprice AS DECIMAL(12,2)) AS VARCHAR), 'note', 'final') ELSE json_object('amount', cast(cast(o_totalprice AS DECIMAL(12,2)) AS VARCHAR)) END),
@@ -84,5 +101,15 @@ TRAIL_SQL: dict[str, str] = {
         UNION ALL SELECT 'unique order', k FROM every GROUP BY k HAVING count(*) > 1 UNION ALL SELECT 'known customer', k FROM every WHERE c NOT IN (SELECT c_custkey FROM customer)
         UNION ALL SELECT 'has orders', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c FROM every WHERE c IS NOT NULL))
       SELECT rule, cast(id AS VARCHAR) AS id, count(*) AS n FROM found GROUP BY ALL""",
+    "mail_paragraphs": rf"""WITH m AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(x) % 7 = 0 THEN 'Subject: ' || x WHEN length(x) % 3 = 0 THEN '> ' || x ELSE x END || CASE WHEN length(x) % 4 = 0 THEN chr(10) ELSE '' END), chr(10)) AS t FROM documents WHERE text IS NOT NULL),
+      own AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\s*(>\s?)+', '')), lambda x: NOT regexp_matches(trim(x), '(?i)^(From|Sent|To|Cc|Subject):.*$') AND NOT starts_with(trim(x), 'CONFIDENTIALITY NOTICE')), chr(10)) AS t FROM m),
+      cut AS (SELECT doc_id, unnest(regexp_split_to_array(t, '\n\s*\n')) AS p, generate_subscripts(regexp_split_to_array(t, '\n\s*\n'), 1) AS part FROM own),
+      para AS (SELECT doc_id, part, array_to_string(list_filter(string_split(p, chr(10)), lambda x: trim(x) <> ''), chr(10)) AS p FROM cut),
+      kept AS (SELECT doc_id, part, p FROM para WHERE p <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, {_norm('p')} ORDER BY part) = 1)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS pos, sha256(p) AS sha256 FROM kept""",
+    "repaired_lines": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+      r AS (SELECT doc_id, pos, CASE pos % 4 WHEN 2 THEN x || ' ñcafé “naïve”' WHEN 3 THEN x || ' end' ELSE x END AS x FROM l),
+      c AS (SELECT doc_id, pos, trim(regexp_replace(translate(x, chr(9) || chr(160) || chr(8239), '   '), ' {2,}', ' ', 'g')) AS x FROM r)
+      SELECT doc_id, cast(pos AS INT) AS pos, sha256(x) AS sha256 FROM c WHERE x <> ''""",
     "streamed_budget_guard": SQL["budget_guard"],
 }

@@ -52,9 +52,9 @@ CHUNKS = 64
 #: Ids are broadcast up to this many rows (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Linked sets must share one more leading shingle for each so many shingles.
-SHARED_OF = 48
+SHARED_OF = 512
 #: Members of a cell that meet its pivots in one group; pivots of a cell in one round, and the shingles these may hold together; pivots that divide a cell.
-GROUP, PIVOTS, PIVOT_SHINGLES, DIVIDING = 256, 256, 1 << 21, 8
+GROUP, PIVOTS, PIVOT_SHINGLES, DIVIDING = 256, 1024, 1 << 21, 16
 
 
 def _entity(shingles: np.ndarray) -> int:
@@ -416,18 +416,15 @@ def _in_windows(cells: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
 def _elect(cells: DataFrame, turn: int) -> DataFrame:
     """The members with ``pivot`` (is it one in this turn), ``more`` (the cell has more to elect) and ``divide`` (this turn's pivots are to divide it).
 
-    Only members outside a cell's largest class need to meet the others. The one with the smallest hash is always a pivot, the others are drawn.
+    Only members outside a cell's largest class need to meet the others; if there are more than seats, some are drawn. A cell that by chance draws none goes on as it is.
     """
-    turned = F.pmod(F.xxhash64("entity", F.lit(turn)), F.lit(1 << 30))
-    by_class = cells.groupBy("cell", "class").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.min(F.struct(turned.alias("h"), "entity")).alias("first"), F.max("flat").alias("flat"))
-    main = F.max_by("class", F.struct("n", "class"))
-    by_cell = by_class.groupBy("cell").agg((F.sum("n") - F.max("n")).alias("outside"), main.alias("main"), F.max("flat").alias("flat"), F.greatest(F.lit(DIVIDING), F.least(F.lit(PIVOTS), F.floor(F.lit(PIVOT_SHINGLES) / F.max("size")))).alias("most"))
-    firsts = by_class.join(by_cell.select("cell", "main"), "cell").where("class <> main").groupBy("cell").agg(F.min("first").alias("first"))
-    by_cell = by_cell.join(firsts, "cell").withColumn("more", F.col("outside") > F.col("most")).withColumn("divide", F.col("more") & ~F.col("flat"))
-    by_cell = by_cell.withColumn("seats", F.when(F.col("divide"), DIVIDING // 2).otherwise(F.col("most"))).drop("flat")
-    rows = cells.join(by_cell, "cell")
-    drawn = (turned < (F.col("seats") / F.col("outside")) * (1 << 30)) | (F.col("entity") == F.col("first.entity"))
-    return rows.select(*cells.columns, ((F.col("class") != F.col("main")) & drawn).alias("pivot"), "more", "divide")
+    by_class = cells.groupBy("cell", "class").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.max("flat").alias("flat"))
+    seats = F.greatest(F.lit(DIVIDING // 2), F.least(F.lit(PIVOTS), F.floor(F.lit(PIVOT_SHINGLES) / F.max("size"))))
+    by_cell = by_class.groupBy("cell").agg((F.sum("n") - F.max("n")).alias("outside"), F.max_by("class", F.struct("n", "class")).alias("main"), F.max("flat").alias("is_flat"), seats.alias("most"))
+    more = F.col("outside") > F.col("most")
+    by_cell = by_cell.select("cell", "outside", "main", more.alias("more"), (more & ~F.col("is_flat")).alias("divide"), F.when(more & ~F.col("is_flat"), DIVIDING // 2).otherwise(F.col("most")).alias("seats"))
+    drawn = F.pmod(F.xxhash64("entity", F.lit(turn)), F.lit(1 << 30)) < (F.col("seats") / F.col("outside")) * (1 << 30)
+    return cells.join(by_cell, "cell").select(*cells.columns, ((F.col("class") != F.col("main")) & drawn).alias("pivot"), "more", "divide")
 
 
 def _divided(elected: DataFrame, met: DataFrame) -> DataFrame:
@@ -463,16 +460,13 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members, pivots = (materialize(x.join(near, ["cell", "entity"], "left_semi"), "asked") for x in (members, pivots))
     met = materialize(meet(members, pivots, texts), "met")
     discard(near, members, pivots)
-    edges = materialize(met.select(F.explode("links").alias("l")).select("l.a", "l.b"), "edges")
+    edges = met.select(F.explode("links").alias("l")).select("l.a", "l.b")
     labels = components(edges)
     known = met.select("cell", "entity", F.col("distance").alias("known"))
-    first = cells
+    written, turn = [texts, profiles, cells, met], 0
     cells = cells.join(known, ["cell", "entity"], "left").select("cell", "entity", "size", F.coalesce("distance", "known").alias("distance"), F.lit(False).alias("flat"))
-    cells, turn = materialize(cells, "cells"), 0
-    discard(first, met)
     while True:
         open_ = _in_windows(cells, labels, "flat")
-        discard(cells)
         if not open_.limit(1).count():
             break
         elected = materialize(_elect(open_, turn), "elected")
@@ -484,16 +478,15 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         met = materialize(meet(asked, asked.where("pivot"), texts), "met")
         found = met.select(F.explode("links").alias("l")).select("l.a", "l.b")
         if found.limit(1).count():
-            before, old = edges, labels
-            edges = materialize(edges.union(found), "edges")
+            edges = edges.union(found)
             labels = components(edges)
-            discard(before, old)
-        more = elected.where("more").limit(1).count()
-        cells, turn = (materialize(_divided(elected, met), "cells") if more else None), turn + 1
-        discard(near, asked, met, elected)
-        if not more:
+        written.append(met)
+        if not elected.where("more").limit(1).count():
             break
-    discard(texts, profiles, edges)
+        cells, turn = materialize(_divided(elected, met), "cells"), turn + 1
+        written.append(cells)
+        discard(near, asked, elected)
+    discard(*written)
     return named, labels
 
 

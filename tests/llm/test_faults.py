@@ -311,13 +311,25 @@ def test_jaccard_dense_cells_divide_or_go_on(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
-def test_jaccard_always_elects_a_pivot(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "PIVOTS", 1)
-    monkeypatch.setattr(jaccard, "DIVIDING", 1)
-    rows = [(1, e, 10 + e % 2, e, 0.1, False) for e in range(500)]
-    cells = spark.createDataFrame([(c, e, s, d, k, f) for c, e, s, k, d, f in rows], "cell long, entity long, size int, distance double, class long, flat boolean")
-    for turn in range(5):
-        assert jaccard._elect(cells, turn).where("pivot").count() >= 1
+def test_jaccard_survives_a_round_without_a_pivot(spark, monkeypatch):
+    """Cells that draw no pivot for some turns go on unchanged and end with exact classes."""
+    draw, turns = jaccard._elect, []
+
+    def none_at_first(cells, turn):
+        turns.append(turn)
+        out = draw(cells, turn)
+        return out if turn > 1 else out.withColumn("pivot", F.lit(False)).withColumn("more", F.lit(True)).withColumn("divide", F.lit(turn == 0))
+
+    monkeypatch.setattr(jaccard, "_elect", none_at_first)
+    rng = random.Random(12)
+    rows = []
+    for k in range(40):
+        w = [f"b{j}" for j in range(60)]
+        for _ in range(k % 6):
+            w[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        rows.append((k, " ".join(w), "en", "s"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.judged(docs_of(spark, rows)).collect()}
+    assert got == brute_classes(rows) and len(turns) > 2
 
 
 # ------------------------------------------------------------- op4: rows without an id; op10: names used on the way

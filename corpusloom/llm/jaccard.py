@@ -52,7 +52,7 @@ CHUNKS = 64
 #: Ids are broadcast up to this many rows (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Linked sets must share one more leading shingle for each so many shingles.
-SHARED_OF = 512
+SHARED_OF = 48
 #: Members of a cell that meet its pivots in one group; pivots of a cell in one round, and the shingles these may hold together; pivots that divide a cell.
 GROUP, PIVOTS, PIVOT_SHINGLES, DIVIDING = 256, 1024, 1 << 21, 16
 
@@ -446,8 +446,9 @@ def _divided(elected: DataFrame, met: DataFrame) -> DataFrame:
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, entity of every document; entity, class of every linked entity)."""
     raw = materialize(name_sets(docs), "sets")
-    named = raw.where(F.col("chunk").isNull()).select("doc_id", "n_shingles", "entity")
+    named = materialize(raw.where(F.col("chunk").isNull()).select("doc_id", "n_shingles", "entity"), "named")
     counts = merge_chunks(raw.where(F.col("chunk").isNotNull()).select("chunk", "part"), CELLS + WORD_CELLS, CHUNKS)
+    discard(raw)  # each task's counts are as large as the order itself
     sent = docs.sparkSession.sparkContext.broadcast(Order.of(counts))
     cells = _known_pivots(leading_shingles(docs, sent))
     sent.destroy()
@@ -463,10 +464,11 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = met.select(F.explode("links").alias("l")).select("l.a", "l.b")
     labels = components(edges)
     known = met.select("cell", "entity", F.col("distance").alias("known"))
-    written, turn = [texts, profiles, cells, met], 0
+    written, turn, held = [texts, profiles, met], 0, cells
     cells = cells.join(known, ["cell", "entity"], "left").select("cell", "entity", "size", F.coalesce("distance", "known").alias("distance"), F.lit(False).alias("flat"))
     while True:
         open_ = _in_windows(cells, labels, "flat")
+        discard(held)
         if not open_.limit(1).count():
             break
         elected = materialize(_elect(open_, turn), "elected")
@@ -483,8 +485,8 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         written.append(met)
         if not elected.where("more").limit(1).count():
             break
-        cells, turn = materialize(_divided(elected, met), "cells"), turn + 1
-        written.append(cells)
+        cells = held = materialize(_divided(elected, met), "cells")
+        turn += 1
         discard(near, asked, elected)
     discard(*written)
     return named, labels

@@ -83,14 +83,20 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
-def normalise(text: Column | str, compatibility: bool = False) -> Column:
-    """ASCII quotes and dashes, dots for an ellipsis, lower case, single spaces; on request compatibility characters as plain ones."""
+def plain(text: Column | str, compatibility: bool = False) -> Column:
+    """ASCII quotes and dashes, dots for an ellipsis, lower case; on request compatibility characters as plain ones."""
     base = nfkc(F.col(text) if isinstance(text, str) else text) if compatibility else text
-    return collapse(F.lower(F.replace(F.translate(base, QUOTES_FROM, QUOTES_TO), F.lit("…"), F.lit("..."))))
+    return F.lower(F.replace(F.translate(base, QUOTES_FROM, QUOTES_TO), F.lit("…"), F.lit("...")))
+
+
+def normalise(text: Column | str, compatibility: bool = False) -> Column:
+    """Plain text with single spaces."""
+    return collapse(plain(text, compatibility))
 
 
 def bm25_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(normalise(text, compatibility=True), F.lit(BM25_TOKEN), F.lit(0))
+    """Tokens of the plain text; none holds a space, so how many there are doesn't matter."""
+    return F.regexp_extract_all(plain(text, compatibility=True), F.lit(BM25_TOKEN), F.lit(0))
 
 
 def words(text: Column) -> Column:

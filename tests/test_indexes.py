@@ -164,3 +164,16 @@ def test_section_paths_reset(spark):
     df = spark.createDataFrame([(1, k, *x) for k, x in enumerate(levels)], "doc_id long, pos int, type string, text string, level int")
     got = {r.pos: r.section_path for r in chunking.section_paths(df).collect()}
     assert got == {0: [], 1: ["A"], 2: ["A", "B"], 3: ["A"], 4: ["A", "C"], 5: ["A", "C"], 6: ["A"], 7: ["A", "E"], 8: [], 9: ["F"]}
+
+
+def test_postings_are_counted_without_a_shuffle_of_them_and_scored_in_blocks(spark, corpus, tmp_path, monkeypatch):
+    docs, asked = corpus
+    index = LexicalIndex.add(docs, str(tmp_path / "i"), "a")
+    listed = LexicalIndex._documents(spark, index.root, index.segments)
+    assert {(r.doc_id, r.length) for r in listed.collect()} >= {(90, 0), (91, 0)} and listed.count() == 92
+    monkeypatch.setattr(lexical, "BLOCK", 3)
+    blocks, few = index.top(asked), docs.where("doc_id % 2 = 0").select("doc_id")
+    assert "MapInArrow" in plan(blocks)
+    want = hits(blocks), hits(index.top(asked, keep=few))
+    monkeypatch.setattr(lexical, "WEIGHTS", 0)
+    assert (hits(index.top(asked)), hits(index.top(asked, keep=few))) == want

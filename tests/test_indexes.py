@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chunking, cleaning, retrieval
-from corpusloom.sources import lexical
+from corpusloom.sources import lexical, loaders
 from corpusloom.sources.lexical import LexicalIndex
 from corpusloom.sources.vectors import VectorIndex, fit
+from corpusloom.storage import BATCH_BYTES
 
 
 def plan(df):
@@ -177,3 +178,15 @@ def test_postings_are_counted_without_a_shuffle_of_them_and_scored_in_blocks(spa
     want = hits(blocks), hits(index.top(asked, keep=few))
     monkeypatch.setattr(lexical, "WEIGHTS", 0)
     assert (hits(index.top(asked)), hits(index.top(asked, keep=few))) == want
+
+
+def test_python_is_sent_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    blocks = spark.createDataFrame([(1, 0, "paragraph", "x", [])], "doc_id long, pos int, type string, text string, section_path array<string>")
+    pages = spark.createDataFrame([("1", "html", bytearray(b"<p>x</p>"))], "path string, format string, content binary")
+    for make in (lambda: chunking.fixed_chunks(blocks), lambda: chunking.structure_chunks(blocks), lambda: loaders.parse(pages)):
+        spark.conf.set(key, before)
+        make()
+        assert spark.conf.get(key) == str(BATCH_BYTES)
+    spark.conf.set(key, before)

@@ -169,14 +169,20 @@ def drop_tracked_changes(text: Column) -> Column:
     return F.regexp_replace(text, DELETED, "")
 
 
-def near_empty_reason(text: Column, min_words: int, phrases: tuple[str, ...], max_words: int) -> Column:
-    """Why a text counts as near-empty, or null."""
-    n = F.size(words(collapse(text)))
+def word_count(text: Column) -> Column:
+    """How many words the text has between white space."""
+    return F.size(words(collapse(text)))
+
+
+def near_empty_reason(text: Column, min_words: int, phrases: tuple[str, ...], max_words: int, n: Column | None = None) -> Column:
+    """Why a text counts as near-empty, or null. ``n``: its word count, if it is there as a column already."""
+    n = word_count(text) if n is None else n
     norm = normalise(text)
     phrase = F.coalesce(*[F.when(norm.rlike(rf"\b{p}\b"), F.lit(p)) for p in phrases])
-    return F.when(n < min_words, F.concat(F.lit("near-empty: "), n, F.lit(" words"), F.coalesce(F.concat(F.lit('; placeholder text ("'), phrase, F.lit('")')), F.lit("")))).when(
-        phrase.isNotNull() & (n < max_words), F.concat(F.lit("near-empty: "), n, F.lit(' words; placeholder text ("'), phrase, F.lit('")'))
-    )
+    short = F.concat(F.lit("near-empty: "), n, F.lit(" words"), F.coalesce(F.concat(F.lit('; placeholder text ("'), phrase, F.lit('")')), F.lit("")))
+    named = F.concat(F.lit("near-empty: "), n, F.lit(' words; placeholder text ("'), phrase, F.lit('")'))
+    # long texts are only counted: phrases are looked for in those that they can decide about
+    return F.when(n >= max(min_words, max_words), F.lit(None)).when(n < min_words, short).when((n < max_words) & phrase.isNotNull(), named)
 
 
 def looks_like_heading(line: Column) -> Column:

@@ -93,8 +93,8 @@ def remove_running_lines(lines: DataFrame) -> DataFrame:
 
 def near_empty(docs: DataFrame) -> DataFrame:
     """status, reason of each active document after cleaning: dropped as near-empty, or cleaned."""
-    reason = tx.near_empty_reason(F.coalesce("text", F.lit("")), params.CLEAN["min_words"], params.CLEAN["placeholder_phrases"], params.CLEAN["placeholder_max_words"])
-    return docs.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "cleaned").otherwise("dropped"))
+    reason = tx.near_empty_reason(F.coalesce("text", F.lit("")), params.CLEAN["min_words"], params.CLEAN["placeholder_phrases"], params.CLEAN["placeholder_max_words"], F.col("_words"))
+    return docs.withColumn("_words", tx.word_count(F.coalesce("text", F.lit("")))).withColumn("reason", reason).drop("_words").withColumn("status", F.when(F.col("reason").isNull(), "cleaned").otherwise("dropped"))
 
 
 def load_note(info: Column) -> Column:

@@ -137,10 +137,14 @@ def question_key(text: Column) -> Column:
     return F.regexp_replace(collapse(casefold(nfkc(text))), r"[?!.\s]+$", "")
 
 
-def contains_fact(reply: Column, fact: Column) -> Column:
-    """Any of the fact's alternatives (split at bars) occurs; commas, dollar signs and case don't count."""
-    plain = lambda x: F.lower(F.translate(x, ",$", ""))
-    return F.exists(F.split(fact, r"\|"), lambda alt: plain(reply).contains(plain(alt)))
+def fact_text(text: Column) -> Column:
+    return F.lower(F.translate(text, ",$", ""))
+
+
+def contains_fact(reply: Column, fact: Column, plain: bool = False) -> Column:
+    """Any of the fact's alternatives (split at bars) occurs; commas, dollar signs and case don't count. ``plain``: the reply is its ``fact_text`` already."""
+    said = reply if plain else fact_text(reply)
+    return F.exists(F.split(fact, r"\|"), lambda alt: said.contains(fact_text(alt)))
 
 
 def quote_matches(text: Column, quote: Column, match: Column) -> Column:

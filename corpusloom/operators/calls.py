@@ -239,26 +239,29 @@ def relabelled(items: DataFrame, relabels: DataFrame, tools: DataFrame) -> DataF
 
 def tool_grades(rows: DataFrame) -> DataFrame:
     """Checks of tool questions as a map, the failed ones, and invented ids (mentioned, but neither own nor returned)."""
-    invented = F.array_sort(F.array_except(tx.record_ids(F.col("reply")), "known_ids"))
+    unknown = F.array_except(tx.record_ids(F.col("reply")), "known_ids")
+    # a text in a list of one is made plain once a row, not once for each alternative
+    said = lambda text, test: F.element_at(F.transform(F.array(tx.fact_text(text)), test), 1)
     body, source = F.regexp_replace("reply", r"(?s)\n\n[^\n]*$", ""), F.element_at(F.split("reply", "\n\n"), -1)
     checks = F.create_map(
         F.lit("gate"), F.col("gate_actual") == F.col("gate_expected"),
         F.lit("tools"), F.size(F.array_except("tools_expected", "tools_called")) == 0,
         F.lit("outcome"), F.array_contains("outcomes_expected", F.col("outcome")),
-        F.lit("facts"), F.forall("facts", lambda f: tx.contains_fact(F.col("reply"), f)),
-        F.lit("must_not"), ~F.exists("must_not", lambda f: tx.contains_fact(body, f)),
+        F.lit("facts"), said(F.col("reply"), lambda r: F.forall("facts", lambda f: tx.contains_fact(r, f, plain=True))),
+        F.lit("must_not"), ~said(body, lambda r: F.exists("must_not", lambda f: tx.contains_fact(r, f, plain=True))),
         F.lit("source_line"), source.startswith("Source:") & ((F.col("outcome") != "answered_from_records") | source.rlike(tx.RECORD_ID)),
-        F.lit("no_invented_ids"), F.size(invented) == 0,
+        F.lit("no_invented_ids"), F.size(unknown) == 0,
         F.lit("no_forbidden_write"), ~F.array_contains("tools_ok", "freeze_card"),
     )
-    out = rows.withColumn("invented_ids", invented).withColumn("checks", checks)
+    out = rows.withColumn("invented_ids", F.array_sort(unknown)).withColumn("checks", checks)
     out = out.withColumn("failed", F.array_sort(F.map_keys(F.map_filter("checks", lambda k, v: ~v))))
     return out.withColumn("passed", F.size("failed") == 0)
 
 
 def check_rates(grades: DataFrame) -> DataFrame:
     """passed and n of each check."""
-    each = grades.select(F.explode("checks").alias("check", "ok"))
+    # for a plain explode Spark infers a filter on the map's size, which computes every check twice and all their inputs anew for each use
+    each = grades.select(F.explode_outer("checks").alias("check", "ok")).where(F.col("check").isNotNull())
     return each.groupBy("check").agg(F.count_if("ok").alias("passed"), F.count(F.lit(1)).alias("n"))
 
 

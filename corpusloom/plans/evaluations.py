@@ -86,7 +86,7 @@ def _tool_rows(spark, sf_dir):
     k = F.col("k")
     card = F.concat(F.lit("CARD-"), F.lpad(k.cast("string"), 4, "0"))
     source = F.when(k % 4 == 0, "Source: general").when(k % 4 == 1, "none").otherwise("Source: record ACC-0001")
-    return _events(spark, sf_dir).select(
+    return spread(_events(spark, sf_dir).select("event_id", "event_type", "k")).select(
         "event_id",
         F.concat(F.lit("Card "), card, F.lit(" is frozen, fee $1,"), k.cast("string"), F.lit(".\n\n"), source).alias("reply"),
         F.when(k % 3 == 0, F.array(F.lit("ACC-0001"))).otherwise(F.array(F.lit("ACC-0001"), card)).alias("known_ids"),

@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from corpusloom.functions import text as tx
 from corpusloom.storage import materialize
 
+#: Nested results are opened so many levels at a time.
+LEVELS = 5
+
 
 def by_owner(owners: DataFrame, accounts: DataFrame, owner: str) -> DataFrame:
     """Accounts of each asked owner; an owner without accounts gives none."""
@@ -69,22 +72,38 @@ def latest_source(calls: DataFrame, *keys: str) -> DataFrame:
     return calls.where(F.col("status") == "ok").groupBy(*keys).agg(F.max_by(F.struct(*calls.columns), F.col("i")).alias("call"))
 
 
+def _opened(level: DataFrame) -> DataFrame:
+    """Each object or list (``_v``) as its elements; scalars (``_text``) stay as they are. ``record``: of an object or list its own path, of a scalar that of its object."""
+    spark = level.sparkSession
+    parts = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer())).drop("_v")
+    # casts that leave the contents out: the schema of a variant walks all of them
+    inner = F.try_variant_get("value", "$", "struct<>").isNotNull() | F.try_variant_get("value", "$", "array<struct<>>").isNotNull()
+    path = F.when(F.col("key").isNotNull(), F.concat("record", F.lit("."), "key")).otherwise(F.concat("record", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+    old = F.col("pos").isNull()
+    return parts.withColumn("inner", inner).select(
+        "_key",
+        F.when(F.col("inner"), path).otherwise(F.col("record")).alias("record"),
+        F.when(old, F.col("_name")).otherwise(F.col("key")).alias("_name"),
+        F.when(old, F.col("_text")).when(~F.col("inner") & F.col("key").isNotNull(), F.variant_get("value", "$", "string")).alias("_text"),
+        F.when(F.col("inner"), F.col("value")).alias("_v"),
+    )
+
+
 def flatten_json(results: DataFrame, key: str, data: str) -> DataFrame:
     """Scalar fields of nested tool results as (key, record, name, value): of every object at any depth, ``record`` being its path.
 
-    Level by level: a variant is exploded into its elements, scalars of objects are fields, objects and lists go on to the next level until none is left. Texts that aren't JSON, and null
-    values, give nothing.
+    LEVELS levels at a time: a variant is exploded into its elements, scalars of objects are fields, objects and lists go on to the next level. Only what these levels
+    give is written, and what lies deeper is opened in further rounds until none is left. Texts that aren't JSON, and null values, give nothing.
     """
-    spark = results.sparkSession
-    level = results.select(F.col(key).alias("_key"), F.lit("$").alias("record"), F.try_parse_json(F.col(data)).alias("v"))
+    none = F.lit(None).cast("string")
+    level = results.select(F.col(key).alias("_key"), F.lit("$").alias("record"), none.alias("_name"), none.alias("_text"), F.try_parse_json(F.col(data)).alias("_v"))
     out = None
     while True:
-        parts = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("_key", "record", "pos", F.col("key").alias("name"), F.col("value").alias("v"))
-        parts = materialize(parts.withColumn("kind", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)), "json-level")
-        inner = F.col("kind").isin("OBJECT", "ARRAY")
-        found = parts.where(~inner & F.col("name").isNotNull() & (F.col("kind") != "VOID")).select(F.col("_key").alias(key), "record", "name", F.variant_get("v", "$", "string").alias("value"))
+        for _ in range(LEVELS):
+            level = _opened(level)
+        level = materialize(level.withColumn("_deep", F.col("_v").isNotNull()), "json-levels")
+        found = level.where(F.col("_text").isNotNull()).select(F.col("_key").alias(key), "record", F.col("_name").alias("name"), F.col("_text").alias("value"))
         out = found if out is None else out.unionByName(found)
-        path = F.when(F.col("name").isNotNull(), F.concat("record", F.lit("."), "name")).otherwise(F.concat("record", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        level = parts.where(inner).select("_key", path.alias("record"), "v")
+        level = level.where("_deep").select("_key", "record", none.alias("_name"), none.alias("_text"), "_v")
         if not level.limit(1).count():
             return out

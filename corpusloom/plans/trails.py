@@ -18,7 +18,7 @@ def _results(spark, sf_dir):
     """Orders as tool results in JSON: the owner's balance two levels below, taxes of lines three."""
     text = lambda c: F.col(c).cast("decimal(12,2)").cast("string")
     line = F.struct(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("part"), text("l_extendedprice").alias("amount"), F.array(F.struct(text("l_tax").alias("amount"))).alias("taxes"))
-    lines = t.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("lines"))
+    lines = t.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("lines"))
     orders = t.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     j = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     owner = F.struct(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("id"), F.struct(text("o_totalprice").alias("amount"), F.when(F.col("o_orderstatus") == "F", "final").alias("note")).alias("balance"))

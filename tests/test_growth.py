@@ -1,8 +1,11 @@
 """Work that must not be done over again as tables grow."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import calls
+from corpusloom.operators import calls, records
 
 
 def optimized(df):
@@ -14,3 +17,25 @@ def test_checks_are_computed_once(spark):
     rated = calls.check_rates(rows.select(F.when(F.col("id") < 3, F.create_map(F.lit("gate"), F.col("text").contains("b"), F.lit("tools"), F.col("id") > 1)).alias("checks")))
     assert sorted(tuple(r) for r in rated.collect()) == [("gate", 1, 2), ("tools", 1, 2)]
     assert optimized(rated).count("map(gate") == 1
+
+
+def flat(value, path="$"):
+    """Fields of a parsed JSON value, by recursion."""
+    for k, v in value.items() if isinstance(value, dict) else enumerate(value):
+        inner = f"{path}.{k}" if isinstance(value, dict) else f"{path}[{k}]"
+        if isinstance(v, (dict, list)):
+            yield from flat(v, inner)
+        elif isinstance(value, dict) and v is not None:
+            yield path, k, v
+
+
+@pytest.mark.parametrize("depth, written", [(3, 1), (12, 4)])
+def test_levels_are_written_together(spark, monkeypatch, depth, written):
+    value = {"a": "0", "empty": {}, "none": [], "braces": "{}", "brackets": "[]", "null": None}
+    for k in range(1, depth):
+        value = {"a": str(k), "in": [value, [], "x", None, [{"b": "y"}]]} if k % 2 else {"a": str(k), "in": value, "empty": ""}
+    tables = []
+    monkeypatch.setattr(records, "materialize", lambda df, name, keep=records.materialize: tables.append(name) or keep(df, name))
+    got = records.flatten_json(spark.createDataFrame([(1, json.dumps(value)), (2, "7"), (3, '"{}"'), (4, "{}")], "call_id long, data string"), "call_id", "data")
+    assert sorted(tuple(r) for r in got.collect()) == sorted((1, *f) for f in flat(value))
+    assert len(tables) <= written

@@ -131,20 +131,25 @@ def quote_hits(docs: DataFrame, quotes: DataFrame) -> DataFrame:
 def token_hits(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """quote_id, doc_id of every document in which each of the quote's tokens occurs somewhere, also inside a longer word; both sides normalised.
 
-    A token may start anywhere, so candidates share the first GRAM characters (all, if there are fewer) of the quote's longest token;
-    only ids are joined by them, and the texts of candidates are then searched for all tokens.
+    A token may start anywhere in a word, so candidates share the first GRAM characters (all, if there are fewer) of the quote's longest token, looked for
+    in a text's different words of at least that length. Few quotes are broadcast, and candidates searched for all tokens where they are read; else ids are joined.
     """
     q = quotes.select("quote_id", tx.normalise("quote", compatibility=True).alias("quote")).where(F.col("quote") != "")
     longest = F.reduce(tx.words(F.col("quote")), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
     q = q.withColumn("gram", F.substring(longest, 1, GRAM))
     sizes = sorted(r.n for r in q.select(F.length("gram").alias("n")).distinct().collect())  # at most GRAM values
-    d = docs.select("doc_id", tx.normalise(F.coalesce("text", F.lit("")), compatibility=True).alias("norm")).withColumn("doc_key", F.xxhash64("doc_id", "norm"))
-    grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *[F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]))
-    asked = q.select("quote_id", "gram")
-    asked = F.broadcast(asked) if small_enough(asked, BROADCAST_QUOTES) else asked
-    pairs = d.select("doc_key", F.explode(grams).alias("gram")).join(asked, "gram").select("doc_key", "quote_id").distinct()
+    d = docs.select("doc_id", tx.normalise(F.coalesce("text", F.lit("")), compatibility=True).alias("norm")).withColumn("words", F.array_distinct(F.split("norm", " ")))
+    long = lambda n: F.array_join(F.filter("words", lambda w: F.length(w) >= n), " ")
+    grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *[F.regexp_extract_all(long(n), F.lit(f"(?s)(?=([^ ]{{{n}}}))"), F.lit(1)) for n in sizes]))
     every = tx.quote_matches(F.col("norm"), F.col("quote"), F.lit("all_tokens"))
-    return pairs.join(q.select("quote_id", "quote"), "quote_id").join(d, "doc_key").where(every).select("quote_id", "doc_id").distinct()
+    # outer explodes, since for plain ones Spark infers a filter that lists everything a second time
+    if small_enough(q, BROADCAST_QUOTES):
+        asked = [r.gram for r in q.select("gram").distinct().collect()]  # BROADCAST_QUOTES at most; normalised texts hold no \x1f
+        found = d.select("doc_id", "norm", F.explode_outer(F.array_intersect(grams, F.split(F.lit("\x1f".join(asked)), "\x1f"))).alias("gram"))
+        return found.join(F.broadcast(q), "gram").where(every).select("quote_id", "doc_id").distinct()
+    d = d.withColumn("doc_key", F.xxhash64("doc_id", "norm"))
+    pairs = d.select("doc_key", F.explode_outer(grams).alias("gram")).join(q.select("quote_id", "gram"), "gram").select("doc_key", "quote_id").distinct()
+    return pairs.join(q.select("quote_id", "quote"), "quote_id").join(d.select("doc_key", "doc_id", "norm"), "doc_key").where(every).select("quote_id", "doc_id").distinct()
 
 
 def quote_survival(locations: DataFrame, docs: DataFrame) -> DataFrame:

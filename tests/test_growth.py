@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import calls, records
+from corpusloom.operators import calls, metrics, records
 
 
 def optimized(df):
@@ -39,3 +39,17 @@ def test_levels_are_written_together(spark, monkeypatch, depth, written):
     got = records.flatten_json(spark.createDataFrame([(1, json.dumps(value)), (2, "7"), (3, '"{}"'), (4, "{}")], "call_id long, data string"), "call_id", "data")
     assert sorted(tuple(r) for r in got.collect()) == sorted((1, *f) for f in flat(value))
     assert len(tables) <= written
+
+
+@pytest.mark.parametrize("bound", [10_000, 0])
+def test_texts_are_listed_once_and_stay_in_place(spark, monkeypatch, bound):
+    monkeypatch.setattr(metrics, "BROADCAST_QUOTES", bound)
+    docs = [(1, "unabashedly\x01so the long-worded text"), (2, "abashed ly"), (3, None), (4, "the " * 3000 + "Abashedly"), (5, "ab\x01cdefgh"), (5, "so"), (6, "y" * 50_000 + "abashedly so")]
+    quotes = [(1, "abashedly so"), (2, "AB\x01CDEFGH"), (3, "abashedly"), (4, "so"), (5, " ")]
+    got = metrics.token_hits(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(quotes, "quote_id int, quote string"))
+    want = {(q, d) for q, quote in quotes for d, text in docs if quote.split() and all(w in (text or "").lower() for w in quote.lower().split())}
+    assert sorted((r.quote_id, r.doc_id) for r in got.collect()) == sorted(want)
+    plan = optimized(got)
+    assert "size(" not in plan and plan.count("regexp_extract_all(array_join(") <= 8
+    if bound:
+        assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("hashpartitioning(") == 1  # of the ids that are found

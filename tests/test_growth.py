@@ -53,3 +53,12 @@ def test_texts_are_listed_once_and_stay_in_place(spark, monkeypatch, bound):
     assert "size(" not in plan and plan.count("regexp_extract_all(array_join(") <= 8
     if bound:
         assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("hashpartitioning(") == 1  # of the ids that are found
+
+
+def test_nested_cited_writes_its_fields_once(spark, monkeypatch):
+    from corpusloom.plans import trails
+
+    tables = []
+    monkeypatch.setattr(records, "materialize", lambda df, name, keep=records.materialize: tables.append(name) or keep(df, name))
+    assert trails.nested_cited(spark, "/root/testdata/sf0.001").limit(1).count() == 1
+    assert len(tables) == 1

@@ -16,13 +16,15 @@ from corpusloom.streaming import sinks
 
 def _results(spark, sf_dir):
     """Orders as tool results in JSON: the owner's balance two levels below, taxes of lines three."""
-    text = lambda c: F.col(c).cast("decimal(12,2)").cast("string")
-    line = F.struct(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("part"), text("l_extendedprice").alias("amount"), F.array(F.struct(text("l_tax").alias("amount"))).alias("taxes"))
-    lines = t.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("lines"))
+    text = lambda c: c.cast("decimal(12,2)").cast("string")
+    line = lambda x: F.struct(F.concat(F.lit("P"), x["l_partkey"].cast("string")).alias("part"), text(x["l_extendedprice"]).alias("amount"), F.array(F.struct(text(x["l_tax"]).alias("amount"))).alias("taxes"))
+    # numbers are gathered, and made texts in the order's row: nested texts cost more to move
+    lines = t.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_tax")).alias("lines"))
     orders = t.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     j = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    owner = F.struct(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("id"), F.struct(text("o_totalprice").alias("amount"), F.when(F.col("o_orderstatus") == "F", "final").alias("note")).alias("balance"))
-    data = F.to_json(F.struct(F.col("o_orderkey").alias("id"), owner.alias("owner"), F.transform("lines", lambda x: x["line"]).alias("lines")))
+    lines = F.sort_array(F.transform("lines", lambda x: F.struct(x["l_linenumber"].alias("l_linenumber"), line(x).alias("line"))))
+    owner = F.struct(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("id"), F.struct(text(F.col("o_totalprice")).alias("amount"), F.when(F.col("o_orderstatus") == "F", "final").alias("note")).alias("balance"))
+    data = F.to_json(F.struct(F.col("o_orderkey").alias("id"), owner.alias("owner"), F.transform(lines, lambda x: x["line"]).alias("lines")))
     return j.select(F.col("o_orderkey").alias("call_id"), F.when(F.col("o_orderkey") % 50 == 0, "not json").otherwise(data).alias("data"))
 
 
@@ -34,7 +36,7 @@ def nested_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nested_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of the records, at any depth, that hold the part of the order's first line."""
     asked = t.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("call_id"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("id"))
-    return records.cited_records(nested_fields(spark, sf_dir), asked).select("call_id", "record", "name", "value")
+    return records.flatten_json(_results(spark, sf_dir), "call_id", "data", asked)
 
 
 def broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,32 @@ def test_nested_cited_writes_its_fields_once(spark, monkeypatch):
     monkeypatch.setattr(records, "materialize", lambda df, name, keep=records.materialize: tables.append(name) or keep(df, name))
     assert trails.nested_cited(spark, "/root/testdata/sf0.001").limit(1).count() == 1
     assert len(tables) == 1
+
+
+@pytest.mark.parametrize("depth", [3, 12])
+def test_fields_of_uncited_records_are_not_written(spark, monkeypatch, depth):
+    value = {"a": "0", "b": "x", "empty": {}, "braces": "{}", "null": None}
+    for k in range(1, depth):
+        value = {"a": str(k), "n": 2.5, "in": [value, [], "x", None, [{"b": "y", "c": True}, {"b": "}"}]]} if k % 2 else {"a": str(k), "in": value, "empty": ""}
+    ids = [(1, "0"), (1, "2.5"), (1, "y"), (1, None), (2, "{}"), (3, "true"), (3, "true"), (3, '{"b":"}"}'), (4, "1"), (6, "t")]
+    data = [(k, json.dumps(value)) for k in (1, 2, 3, 4, 5)] + [(4, json.dumps({"a": "1", "b": "twice"})), (6, "no json"), (7, "7")]
+    tables = []
+    monkeypatch.setattr(records, "materialize", lambda df, name, keep=records.materialize: tables.append(keep(df, name)) or tables[-1])
+    got = records.flatten_json(spark.createDataFrame(data, "call_id long, data string"), "call_id", "data", spark.createDataFrame(ids, "call_id long, id string"))
+    text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
+    want = []
+    for k, d in data[:6]:
+        fields = [(r, n, text(v)) for r, n, v in flat(json.loads(d))]
+        hit = {r for r, _, v in fields if (k, v) in ids}
+        want += [(k, *f) for f in fields if f[0] in hit]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and {k for k, *_ in want} == {1, 2, 3, 4}
+    assert sum(df.where("not _deep").count() for df in tables) == len(want)
+
+
+def test_nested_cited_writes_cited_records_only(spark, monkeypatch):
+    from corpusloom.plans import trails
+
+    tables = []
+    monkeypatch.setattr(records, "materialize", lambda df, name, keep=records.materialize: tables.append(keep(df, name)) or tables[-1])
+    rows = trails.nested_cited(spark, "/root/testdata/sf0.001").count()
+    assert rows == sum(df.count() for df in tables) > 0

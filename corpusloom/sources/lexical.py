@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from corpusloom import params
 from corpusloom.functions import text as tx
 from corpusloom.operators.retrieval import _first_of_each, ranked
-from corpusloom.storage import materialize, small_enough
+from corpusloom.storage import materialize, small_batches, small_enough
 
 BUCKETS = 16
 #: The bucket of documents, whether they have terms or not.
@@ -202,39 +202,36 @@ class LexicalIndex:
         matrix[weights["term"].map(number), weights["query_id"].map({x: k for k, x in enumerate(columns)})] = weights["weight"]
         sent = self.spark.sparkContext.broadcast((matrix, columns))
         named = self.spark.createDataFrame(list(number.items()), "term string, t int")
-        dealt = rows.join(F.broadcast(named), "term").select("doc_id", "t", "part").repartition("doc_id")
+        dealt = rows.join(F.broadcast(named), "term").select("doc_id", "t", "part")
         if keep is not None:
             dealt = dealt.join(keep.select("doc_id").distinct(), "doc_id", "left_semi")
+        # a row for each document: where parts only lie side by side after a join, Spark may read them in other pieces
+        whole = dealt.groupBy("doc_id").agg(F.collect_list(F.struct("t", "part")).alias("parts")).select("doc_id", F.col("parts.t").alias("t"), F.col("parts.part").alias("part"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matrix, columns = sent.value
             best = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
-            rest = (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0))
-
-            def scored(docs, t, part):
-                begins = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1))
-                rows, ids = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(docs))), docs[begins]
-                for at in range(0, len(ids), BLOCK):
-                    here = (rows >= at) & (rows < at + BLOCK)
-                    parts = np.zeros((min(BLOCK, len(ids) - at), len(matrix)))
-                    parts[rows[here] - at, t[here]] = part[here]
-                    s = np.round(parts @ matrix, places)
-                    d, q = np.nonzero((s > 0) & (s >= (np.partition(s, -n, axis=0)[-n] if len(s) > n else -np.inf)))
-                    yield q, s[d, q], ids[at + d]
+
+            def scored(ids, sizes, t, part):
+                rows = np.repeat(np.arange(len(ids)), sizes)
+                parts = np.zeros((len(ids), len(matrix)))
+                parts[rows, t] = part
+                s = np.round(parts @ matrix, places)
+                d, q = np.nonzero((s > 0) & (s >= (np.partition(s, -n, axis=0)[-n] if len(s) > n else -np.inf)))
+                return q, s[d, q], ids[d]
 
             for batch in batches:
-                docs, t, part = (np.concatenate([a, batch.column(k).to_numpy()]) for k, a in enumerate(rest))
-                cut = np.searchsorted(docs, docs[-1]) if len(docs) else 0  # the last document may go on
-                rest = (docs[cut:], t[cut:], part[cut:])
-                if cut:
-                    best = _first_of_each(*[np.concatenate([b, *x]) for b, x in zip(best, zip(*scored(docs[:cut], t[:cut], part[:cut]), strict=True), strict=True)], n)
-            if len(rest[0]):
-                best = _first_of_each(*[np.concatenate([b, *x]) for b, x in zip(best, zip(*scored(*rest), strict=True), strict=True)], n)
+                found = []
+                for at in range(0, batch.num_rows, BLOCK):
+                    ids, t, part = batch.slice(at, BLOCK).columns
+                    found.append(scored(ids.to_numpy(), t.value_lengths().to_numpy(), t.flatten().to_numpy(), part.flatten().to_numpy()))
+                if found:
+                    best = _first_of_each(*[np.concatenate([b, *x]) for b, x in zip(best, zip(*found, strict=True), strict=True)], n)
             if len(best[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[best[0]]), pa.array(best[2]), pa.array(best[1])], ["query_id", "doc_id", "score"])
 
         schema = f"query_id {dict(asked.dtypes)['query_id']}, doc_id long, score double"
-        return dealt.sortWithinPartitions("doc_id").mapInArrow(run, schema)
+        return small_batches(whole).mapInArrow(run, schema)
 
     def top(self, queries: DataFrame, n: int = params.RETRIEVAL["top_k"], keep: DataFrame | None = None, places: int = 6) -> DataFrame:
         """Top hits of each query. ``keep`` (doc_id) says which documents may be hits, before the cut; statistics cover all of them."""

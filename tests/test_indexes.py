@@ -38,6 +38,24 @@ def test_stored_index_scores_like_an_unstored_one(spark, corpus, tmp_path):
     assert hits(index.top(asked, keep=few)) == hits(retrieval.bm25_top(docs, asked, keep=F.col("doc_id") % 2 == 0))
 
 
+def test_documents_stay_whole_when_the_filter_turns_into_a_broadcast(spark, tmp_path):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(2 + 9 * k)) for k in range(60)]  # of such lengths that files differ by bucket, not by document
+    docs = spark.createDataFrame([(d, " ".join(rng.sample(words, 30))) for d in range(40)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, " ".join(words))], "query_id long, text string")
+    index = LexicalIndex.add(docs, str(tmp_path / "i"), "a")
+    few = docs.where("doc_id % 2 = 0").select("doc_id")
+    sizes = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        got = hits(index.top(asked, keep=few))
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+    assert got == hits(retrieval.bm25_top(docs, asked, keep=F.col("doc_id") % 2 == 0)) != []
+
+
 def test_segments_add_up(spark, corpus, tmp_path, monkeypatch):
     docs, asked = corpus
     monkeypatch.setattr(lexical.params, "BROADCAST_ROWS", 1)  # postings are joined by shuffle, in shares
